@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of what isn't an ASCII blank; ``bytes.split()`` cuts at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_BYTES = 16 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,7 +21,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty), and the columns named; any others of the input are left behind."""
+    """doc_id and text (null: empty), and the columns named; any others of the input are left behind.
+
+    The session's Arrow batches are bounded by bytes from here on: by rows alone, a batch of long texts wouldn't fit a worker.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -39,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def without(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is among ids; rows of a null doc_id stay.  ids are broadcast up to a number of 8-byte rows, else shuffled."""
+    ids = cut(ids.select("doc_id").where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "doc_id", "left_anti")
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
@@ -52,21 +63,6 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(0))
 
 
-def per_batch(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list]], schema: str, at_most: int = 16 << 20) -> DataFrame:
-    """f over Python lists of each column, for runs of rows of about at_most bytes, so that memory doesn't follow the length of texts."""
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, at_most):
-                out = f(part.to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(out[x.name], x.type) for x in arrow], schema=arrow)
-
-    return df.mapInArrow(run, schema)
-
-
 def slices(batch: pa.RecordBatch, at_most: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     step = max(1, int(n * at_most / max(batch.nbytes, 1)))
@@ -74,15 +70,6 @@ def slices(batch: pa.RecordBatch, at_most: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def to_arrow(schema) -> pa.Schema:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
-
-    def one(kind):
-        return pa.list_(one(kind.elementType)) if kind.typeName() == "array" else kinds[kind.simpleString()]
-
-    return pa.schema([(x.name, one(x.dataType)) for x in schema.fields])
-
-
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, dict[str, list]]]:
     """Of batches sorted by key: each key with the lists of its rows' columns.  A key's rows must be few enough to hold."""
     now, held = None, None

@@ -3,17 +3,83 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larder.llm import ngram_jaccard
-from larder.llm.common import load
+from larder.llm import byte_bpe, decontamination, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, superkmer_dedup, token_frames, toxic_grammar
+from larder.llm.common import load, new_path
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge(load(spark, sf_dir, "documents"))
+
+
+def op2_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op4_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_deobfuscation.report(pii_deobfuscation.find_spans(load(spark, sf_dir, "documents")))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.link_clusters(load(spark, sf_dir, "documents"))
 
 
+def op6_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    manifest = token_frames.write(load(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, folder)
+    return token_frames.summary(token_frames.read(manifest, folder))
+
+
+def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = superkmer_dedup.remove_repeats(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(load(spark, sf_dir, "documents"), reject=False)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(load(spark, sf_dir, "documents"), *file), *file))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_robust_outliers": op1_robust_outliers,
+    "op2_toxic_grammar": op2_toxic_grammar,
+    "op3_quality_gam": op3_quality_gam,
+    "op4_pii_deobfuscation": op4_pii_deobfuscation,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_token_frames": op6_token_frames,
+    "op7_superkmer_dedup": op7_superkmer_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 
 ORACLE = {
@@ -35,4 +101,16 @@ reach AS (
   UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.c)
 SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.c) AS component_id
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id""",
+    "op7_superkmer_dedup": r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM words WHERE len(w) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM starts),
+taken AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM taken WHERE first < doc_id),
+lost AS (SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM words WHERE len(w) > 0),
+stay AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t FROM pos p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256
+FROM words w LEFT JOIN lost l USING (doc_id) LEFT JOIN stay s USING (doc_id)""",
 }
