@@ -121,9 +121,7 @@ def parsed_live(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def exploded(df: DataFrame, joined: str, sep: str = "|") -> DataFrame:
     """A row a line of the joined list: trimmed, blanks dropped, then numbered from 1."""
-    import re
-
-    parts = F.filter(F.transform(F.split(joined, re.escape(sep)), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(joined, rf"\Q{sep}\E"), lambda x: F.trim(x)), lambda x: x != "")
     return df.select(*(c for c in df.columns if c != joined), F.posexplode(parts).alias("_p", "raw")).withColumn("ingredient_index", F.col("_p") + 1).drop("_p")
 
 

@@ -1,50 +1,77 @@
-"""String similarity as column expressions: normalised indel similarity by a bit-parallel longest common subsequence."""
+"""String similarity of pairs: normalised indel similarity by a bit-parallel longest common subsequence.
+
+Arrow batches carry the pairs; a string's bit masks are made once for the pairs that repeat it.  Callers compare distinct
+names, and only pairs that share a token or whose lengths can reach the threshold.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from larder.functions.text import col
 
-#: The shorter string's positions are bits of one long, with room for a carry.
-MOST = 62
-
 
 def sorted_tokens(c) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(col(c), r"\s+"), lambda t: t != "")), " ")
 
 
-def chars(c) -> Column:
-    return F.filter(F.split(col(c), ""), lambda x: x != "")
+def masks(a: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(a):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def lcs(m: dict[str, int], n: int, b: str) -> int:
+    """Length of the longest common subsequence of b and the string of n characters with masks m (Hyyrö, 2004)."""
+    full = state = (1 << n) - 1
+    for c in b:
+        u = state & m.get(c, 0)
+        state = (state + u | state - u) & full
+    return n - state.bit_count()
+
+
+def _each(a: pd.Series, b: pd.Series, f) -> pd.Series:
+    known: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append(None)
+            continue
+        if x not in known:
+            known[x] = masks(x)
+        out.append(f(x, known[x], y))
+    return pd.Series(out, dtype="float64")
+
+
+def _whole(x: str, m: dict[str, int], y: str) -> float:
+    return 200.0 * lcs(m, len(x), y) / (len(x) + len(y)) if x or y else 100.0
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence; null where both are longer than MOST."""
-    swap = F.length(a) > F.length(b)
-    s, t = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    n = F.length(s)
-    full = F.when(n <= MOST, F.call_function("shiftleft", F.lit(1).cast("long"), n) - 1)
+def _window(x: str, m: dict[str, int], y: str) -> float:
+    if len(x) > len(y):
+        return _window(y, masks(y), x)
+    if not x:
+        return 0.0 if y else 100.0
+    return max(_whole(x, m, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1))
 
-    def bits(c: Column) -> Column:
-        spots = F.transform(chars(s), lambda x, i: F.when(x == c, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(spots, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x))
 
-    masks = F.map_from_entries(F.transform(F.array_distinct(chars(s)), lambda c: F.struct(c, bits(c))))
+@F.pandas_udf(DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(a, b, _whole)
 
-    def step(v: Column, c: Column) -> Column:
-        u = v.bitwiseAND(F.coalesce(F.try_element_at(masks, c), F.lit(0).cast("long")))
-        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
 
-    rest = F.aggregate(chars(t), full, step)
-    return F.when(n == 0, 0).otherwise(n - F.bit_count(rest))
+@F.pandas_udf(DoubleType())
+def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(a, b, _window)
 
 
 def ratio(a, b) -> Column:
     """0 to 100: twice the common subsequence over both lengths; two empty strings are equal."""
-    a, b = col(a), col(b)
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 100.0).otherwise(200.0 * lcs(a, b) / total)
+    return _ratio(col(a), col(b))
 
 
 def token_sort_ratio(a, b) -> Column:
@@ -59,8 +86,4 @@ def ratio_bound(a, b) -> Column:
 
 def partial_ratio(a, b) -> Column:
     """The best ratio of the shorter string with any window of its length in the longer."""
-    a, b = col(a), col(b)
-    swap = F.length(a) > F.length(b)
-    s, t = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    windows = F.transform(F.sequence(F.lit(1), F.length(t) - F.length(s) + 1), lambda i: ratio(s, F.substring(t, i, F.length(s))))
-    return F.when(F.length(s) == 0, F.when(F.length(t) == 0, 100.0).otherwise(0.0)).otherwise(F.array_max(windows))
+    return _partial(col(a), col(b))

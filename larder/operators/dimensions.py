@@ -27,7 +27,7 @@ def get_or_create(names: DataFrame, master: DataFrame, key: str, order: str, id_
     seen = names.groupBy(key).agg(F.min(order).alias("_ord"))
     new = seen.join(master, key, "left_anti")
     top = master.agg(F.coalesce(F.max(id_name), F.lit(0)).alias("_top"))
-    made = assign_ids(new, "_ord", 1, "_n").crossJoin(top).select(key, (F.col("_top") + F.col("_n")).cast("long").alias(id_name))
+    made = assign_ids(new, "_ord", 1, "_place").crossJoin(top).select(key, (F.col("_top") + F.col("_place")).cast("long").alias(id_name))
     return seen.join(master, key).select(key, id_name).unionByName(made)
 
 

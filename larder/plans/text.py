@@ -14,6 +14,11 @@ from larder.sources import html, tables
 
 SHARED["line"] = """SELECT i.recipe_id, i.ingredient_id, i.ingredient_index, i.unit, i.qty_expected, i.unit_grams, f.ingredient_name, f.description,
   concat_ws(' ', qty_text, nullif(unit, ''), ingredient_name) AS raw FROM recipe_ingredient i JOIN food f ON f.ingredient_id = i.ingredient_id"""
+# A name that starts with a size, after no other unit, reads as a counted size of the rest.
+SIZED = "unit = '' AND split_part(ingredient_name, ' ', 1) IN ('large', 'medium', 'small')"
+SHARED["read"] = f"""SELECT *, CASE WHEN {SIZED} THEN split_part(ingredient_name, ' ', 1) ELSE unit END AS unit2,
+  CASE WHEN {SIZED} THEN substr(ingredient_name, strpos(ingredient_name, ' ') + 1) ELSE ingredient_name END AS name2,
+  CAST(qty_expected * CASE WHEN {SIZED} THEN CASE split_part(ingredient_name, ' ', 1) WHEN 'large' THEN 150 WHEN 'medium' THEN 110 ELSE 70 END ELSE unit_grams END AS DOUBLE) AS grams2 FROM line"""
 
 
 def line(s: SparkSession, d: str) -> DataFrame:
@@ -31,25 +36,25 @@ G = "CAST(qty_expected * unit_grams AS DOUBLE)"
 # ---------------------------------------------------------------- lines
 
 query("explode_lines", "SELECT recipe_id, ingredient_index, raw FROM line")(lambda s, d: lines.exploded(joined(s, d), "ingredients").select("recipe_id", "ingredient_index", "raw"))
-query("unit_standardise", "SELECT recipe_id, ingredient_index, concat_ws(' ', regexp_extract(raw, '^[0-9/ ]+[0-9]'), CASE unit WHEN 'tsp' THEN 'teaspoon' WHEN 'tbsp' THEN 'tablespoon' ELSE nullif(unit, '') END, ingredient_name) AS line FROM line")(
+query("unit_standardise", "SELECT recipe_id, ingredient_index, concat_ws(' ', regexp_extract(raw, '^[0-9/ ]*[0-9]'), CASE unit WHEN 'tsp' THEN 'teaspoon' WHEN 'tbsp' THEN 'tablespoon' ELSE nullif(unit, '') END, ingredient_name) AS line FROM line")(
     lambda s, d: line(s, d).select("recipe_id", "ingredient_index", text.standard_units("raw").alias("line"))
 )
 query("paren_measure", "SELECT recipe_id, ingredient_index, concat(CAST(ingredient_index AS STRING), ' g') AS actual_measure, raw AS standard_unit FROM line")(
     lambda s, d: line(s, d).withColumn("p", F.concat("raw", F.lit(" ("), F.col("ingredient_index").cast("string"), F.lit(" g)"))).select("recipe_id", "ingredient_index", text.paren_measure("p").alias("actual_measure"), text.without_parens("p").alias("standard_unit"))
 )
-query("measure_only", "SELECT recipe_id, ingredient_index, CASE WHEN unit IN ('cup', 'tbsp', 'tsp', 'cloves') THEN regexp_extract(raw, '^[0-9/ ]+[0-9]') || ' ' || unit END AS measure FROM line")(
+query("measure_only", "SELECT recipe_id, ingredient_index, CASE WHEN unit IN ('cup', 'tbsp', 'tsp', 'cloves') THEN regexp_extract(raw, '^[0-9/ ]*[0-9]') || ' ' || unit END AS measure FROM line")(
     lambda s, d: line(s, d).select("recipe_id", "ingredient_index", text.measure_only("raw").alias("measure"))
 )
-query("extract_measures", f"SELECT recipe_id, ingredient_index, {G} AS grams_total, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN 'volume_unit' WHEN unit_grams IS NOT NULL THEN 'count_estimate' ELSE 'no_match' END AS extraction_method FROM line")(
+query("extract_measures", "SELECT recipe_id, ingredient_index, grams2 AS grams_total, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN 'volume_unit' WHEN grams2 IS NOT NULL THEN 'count_estimate' ELSE 'no_match' END AS extraction_method FROM read")(
     lambda s, d: lines.extracted(line(s, d)).select("recipe_id", "ingredient_index", "grams_total", "extraction_method")
 )
-query("method_breakdown", "SELECT extraction_method, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM line)) AS INTEGER) AS pct FROM (SELECT CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN 'volume_unit' WHEN unit_grams IS NOT NULL THEN 'count_estimate' ELSE 'no_match' END AS extraction_method FROM line) GROUP BY 1")(
+query("method_breakdown", "SELECT extraction_method, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM line)) AS INTEGER) AS pct FROM (SELECT CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN 'volume_unit' WHEN grams2 IS NOT NULL THEN 'count_estimate' ELSE 'no_match' END AS extraction_method FROM read) GROUP BY 1")(
     lambda s, d: analysis.method_breakdown(lines.extracted(line(s, d)))
 )
-query("parse_lines_batch", f"SELECT recipe_id, ingredient_index, concat_ws(' ', regexp_extract(raw, '^[0-9/ ]+[0-9]'), nullif(unit, '')) AS measure_only, {G} AS grams, ingredient_name AS remainder FROM line WHERE unit <> '' OR qty_expected NOT IN (0.5, 1.5)")(
-    lambda s, d: lines.parsed_batch(line(s, d).where("unit <> '' or qty_expected not in (0.5, 1.5)")).select("recipe_id", "ingredient_index", "measure_only", "grams", "remainder")
+query("parse_lines_batch", "SELECT recipe_id, ingredient_index, concat_ws(' ', regexp_extract(raw, '^[0-9/ ]*[0-9]'), nullif(unit2, '')) AS measure_only, grams2 AS grams, name2 AS remainder FROM read WHERE unit2 <> '' OR qty_expected NOT IN (0.5, 1.5)")(
+    lambda s, d: lines.parsed_batch(line(s, d).where("unit <> '' or ingredient_name rlike '^(large|medium|small) ' or qty_expected not in (0.5, 1.5)")).select("recipe_id", "ingredient_index", "measure_only", "grams", "remainder")
 )
-query("parse_lines_live", f"SELECT recipe_id, ingredient_index, CAST(qty_expected AS DOUBLE) AS qty, unit, coalesce({G}, CAST(qty_expected * 150 AS DOUBLE)) AS grams, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN {G} END AS volume_ml, ingredient_name AS name_raw FROM line")(
+query("parse_lines_live", f"SELECT recipe_id, ingredient_index, CAST(qty_expected AS DOUBLE) AS qty, unit2 AS unit, coalesce(grams2, CAST(qty_expected * 150 AS DOUBLE)) AS grams, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN {G} END AS volume_ml, name2 AS name_raw FROM read")(
     lambda s, d: lines.parsed_live(line(s, d).drop("unit")).select("recipe_id", "ingredient_index", "qty", "unit", "grams", "volume_ml", "name_raw")
 )
 query("name_from_remainder", "SELECT recipe_id, ingredient_index, ingredient_name AS name FROM line")(
@@ -59,7 +64,7 @@ query("parse_servings", "SELECT recipe_id, servings_expected AS servings FROM re
 query("parse_yield", "SELECT recipe_id, CASE servings_raw WHEN 'MAKES 4 TO 7 SERVINGS' THEN 4 WHEN '6 servings' THEN 6 WHEN '4 - 5' THEN 4 WHEN 'Makes a 900 g loaf' THEN 900 WHEN '99' THEN 99 WHEN '2' THEN 2 END AS servings FROM recipes")(
     lambda s, d: table(s, d, "recipes").select("recipe_id", text.yield_count("servings_raw").alias("servings"))
 )
-query("fallback_grams", f"SELECT recipe_id, ingredient_index, CASE WHEN ingredient_index % 2 = 0 THEN CAST(ingredient_index * 10 AS DOUBLE) ELSE {G} END AS grams FROM line")(
+query("fallback_grams", "SELECT recipe_id, ingredient_index, CASE WHEN ingredient_index % 2 = 0 THEN CAST(ingredient_index * 10 AS DOUBLE) ELSE grams2 END AS grams FROM read")(
     lambda s, d: line(s, d).withColumn("actual", F.when(F.col("ingredient_index") % 2 == 0, F.concat((F.col("ingredient_index") * 10).cast("string"), F.lit(" ml")))).select("recipe_id", "ingredient_index", lines.fallback_grams("actual", "raw").alias("grams"))
 )
 query("clean_scraped_line", "SELECT recipe_id, ingredient_index, concat(CAST(ingredient_index * 20 AS STRING), ' g ', ingredient_name) AS cleaned FROM line")(
@@ -159,7 +164,7 @@ query("density_summary", f"SELECT count(*) AS n, median(g_per_ml) AS mid, min(g_
 SHARED["density"] = DENSITY
 FOOD_DENSITY = "SELECT f.fdc_id, coalesce(p.g_per_ml, CASE " + " ".join(f"WHEN regexp_matches(lower(f.description), '{'|'.join(w.split())}') THEN CAST({v} AS DOUBLE)" for w, v in density.CATEGORIES) + " ELSE 1.0 END) AS density FROM food f LEFT JOIN density p ON p.fdc_id = f.fdc_id"
 query("density_resolve", FOOD_DENSITY)(lambda s, d: density.resolve(table(s, d, "food"), density.build(portions(s, d)), "description").select("fdc_id", "density"))
-query("volume_to_grams", f"SELECT l.recipe_id, l.ingredient_index, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN CAST(round(CAST({G} * v.density AS DECIMAL(20,8)), 1) AS DOUBLE) ELSE coalesce({G}, CAST(qty_expected * 150 AS DOUBLE)) END AS grams FROM line l JOIN food f ON f.ingredient_id = l.ingredient_id JOIN ({FOOD_DENSITY}) v ON v.fdc_id = f.fdc_id")(
+query("volume_to_grams", f"SELECT l.recipe_id, l.ingredient_index, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN CAST(round(CAST({G} * v.density AS DECIMAL(20,8)), 1) AS DOUBLE) ELSE coalesce(grams2, CAST(qty_expected * 150 AS DOUBLE)) END AS grams FROM read l JOIN food f ON f.ingredient_id = l.ingredient_id JOIN ({FOOD_DENSITY}) v ON v.fdc_id = f.fdc_id")(
     lambda s, d: (
         lambda v: lines.parsed_live(line(s, d).drop("unit")).join(table(s, d, "food").select("ingredient_id", "fdc_id"), "ingredient_id").join(v, "fdc_id").select("recipe_id", "ingredient_index", density.grams("volume_ml", "density", "grams").alias("grams"))
     )(density.resolve(table(s, d, "food"), density.build(portions(s, d)), "description").select("fdc_id", "density"))
@@ -182,7 +187,7 @@ query("reference_pool", "SELECT DISTINCT m.fdc_id, f.description FROM ingredient
     lambda s, d: table(s, d, "ingredient_mapping").join(table(s, d, "food").select("fdc_id", "description"), "fdc_id").select("fdc_id", "description").dropna().distinct()
 )
 query("match_ladder", f"SELECT n.name, c.fdc_id FROM (SELECT DISTINCT ingredient_name AS name FROM food) n JOIN ({CURATED}) c ON c.key = n.name")(
-    lambda s, d: resolve.match_ladder(food_names(s, d).select(F.concat(F.lit("fresh "), "name", F.lit("")).alias("name")), curated(s, d)).select(F.regexp_replace("name", "^fresh ", "").alias("name"), "fdc_id")
+    lambda s, d: resolve.match_ladder(food_names(s, d).select(F.concat("name", F.lit("s")).alias("name")), curated(s, d)).select(F.regexp_replace("name", "s$", "").alias("name"), "fdc_id")
 )
 query("match_fuzzy_keys", None)(lambda s, d: resolve.match_fuzzy(food_names(s, d).select(F.concat("name", F.lit("x")).alias("name")), curated(s, d).select("key", F.col("fdc_id").alias("ord")), 78.0))
 query("match_fuzzy_foods", None)(lambda s, d: resolve.match_fuzzy(food_names(s, d), table(s, d, "food").groupBy(F.lower("description").alias("key")).agg(F.min("fdc_id").alias("ord")), 70.0))
