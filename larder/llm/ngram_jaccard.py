@@ -22,11 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, cut, partitions, per_batch, runs, slices, texts
+from larder.llm.common import components, cut, partitions, runs, slices, texts
 
-CELLS = 1 << 18
+#: Cells of the count sketch; a corpus of very many tokens tells common ones better with more.
+CELLS = 1 << 22
 #: Representatives of a token that are paired outright.
-BUCKET = 32
+BUCKET = 128
 #: A block's rows are about this many documents or tokens.
 BLOCK_DOCS, BLOCK_TOKENS = 512, 400_000
 #: More members than this are joined by a shuffle, not by a broadcast (24 bytes each).
@@ -41,7 +42,7 @@ class Words(dict):
     """A word's hash, kept for words seen before; emptied when it is large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[w] = h = xxhash.xxh3_64_intdigest(w)
         return h
@@ -73,18 +74,20 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: (doc_id, n, signature of the set); kind 1: (cell of the sketch, count), summed over a task."""
 
     def run(batches):
-        words, cells = Words(), np.zeros(CELLS, np.int64)
-        for batch in (s for b in batches for s in slices(b, 16 << 20)):
+        words, cells = Words(), np.zeros(CELLS, np.int32)
+        for batch in (s for b in batches for s in slices(b, 8 << 20)):
             sets = [shingles(t, k, words) for t in batch.column("text").to_pylist()]
             ns = [len(s) for s in sets]
             sigs = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-            cells += np.bincount((np.concatenate(sets) % CELLS).astype(np.int64), minlength=CELLS)
-            yield rows(np.zeros(len(ns)), batch.column("doc_id"), ns, sigs)
-        full = np.flatnonzero(cells)
-        yield rows(np.ones(len(full)), full, cells[full], [None] * len(full))
+            np.add.at(cells, (np.concatenate(sets) % CELLS).astype(np.int64), 1)
+            yield rows([0] * len(ns), batch.column("doc_id"), ns, sigs)
+        # A task tells of the cells that stand out in it, and at cell -1 how many tokens it has seen.
+        full = np.flatnonzero(cells >= max(2, 4 * cells.sum() / CELLS))
+        yield rows([1], [-1], [int(cells.sum())], [None])
+        yield rows([1] * len(full), full, cells[full], [None] * len(full))
 
     def rows(kind, a, n, sig):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32(), safe=False), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.string())], ["kind", "a", "n", "sig"])
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.string())], ["kind", "a", "n", "sig"])
 
     return docs.mapInArrow(run, "kind int, a long, n long, sig string")
 
@@ -100,12 +103,13 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
     docs = texts(docs)
     made = cut(profiles(docs, k))
     own = made.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "sig")
-    # A fixed number of cells comes to the driver.
-    cells = made.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).toPandas()
-    rank = np.zeros(CELLS, np.uint64)
+    total = made.where("kind = 1 and a = -1").agg(F.sum("n")).first()[0] or 0
+    common = max(16, 4 * total // CELLS)
+    # There are fewer cells than CELLS / 4 with so many tokens; their ranks are CELLS bytes at every size of the corpus.
+    cells = made.where("kind = 1 and a >= 0").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= common).toPandas()
+    rank = np.zeros(CELLS, np.uint8)
     if len(cells):
-        common = 4 * max(1.0, cells.n.sum() / CELLS)
-        rank[cells.a.to_numpy()] = np.clip(1 + np.log2(cells.n.to_numpy() / common), 0, 15).astype(np.uint64)
+        rank[cells.a.to_numpy()] = np.clip(1 + np.log2(cells.n.to_numpy() / common), 0, 15)
     rank = spark.sparkContext.broadcast(rank)
 
     reps = own.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
@@ -113,8 +117,8 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
 
     def first_tokens(batches):
         words = Words()
-        for batch in (s for b in batches for s in slices(b, 16 << 20)):
-            ids, ns, tokens = [], [], []
+        for batch in (s for b in batches for s in slices(b, 8 << 20)):
+            ids, ns, lasts, tokens = [], [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingles(t, k, words)
                 if i is None or not len(s):
@@ -122,25 +126,32 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
                 p = prefix(len(s), percent)
                 ids.append(i)
                 ns.append(len(s))
-                tokens.append(s[np.argsort((rank.value[s % CELLS] << np.uint64(59)) | (s >> np.uint64(5)), kind="stable")[:p]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "n", "tokens"])
+                key = (rank.value[s % CELLS].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
+                first = np.argsort(key, kind="stable")[:p]
+                lasts.append(int(key[first[-1]]))
+                tokens.append(s[first].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(lasts, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc", "n", "last", "tokens"])
 
     # A row for each document is joined with the representatives; only what stays becomes a row for each token.
-    rows = docs.mapInArrow(first_tokens, "doc long, n long, tokens array<long>")
+    rows = docs.mapInArrow(first_tokens, "doc long, n long, last long, tokens array<long>")
     rows = rows.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    rows = rows.select("doc", "n", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("at") + 1)
+    rows = rows.select("doc", "n", "last", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("at") + 1)
     shared = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("doc").alias("pivot")).where("k > 1")
     rows = cut(rows.join(shared, "token"))
     hot = rows.where(F.col("k") > bucket)
     ties = hot.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     allowed = hot.groupBy("doc").agg(F.count("*").alias("hot"))
     size = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
-    cold = rows.where(F.col("k") <= bucket).select("token", "doc", "at", "n").join(allowed, "doc", "left").na.fill(0, ["hot"])
-    x, y = (cold.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "at", "n", "hot"))) for s in "xy")
+    cold = rows.where(F.col("k") <= bucket).select("token", "doc", "at", "n", "last").join(allowed, "doc", "left").na.fill(0, ["hot"])
+    x, y = (cold.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "at", "n", "last", "hot"))) for s in "xy")
     pairs = x.join(y, "token").where(f"doc_x < doc_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    pairs = pairs.groupBy("doc_x", "doc_y").agg(F.count("*").alias("s"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "hot_x", "hot_y")))
+    pairs = pairs.groupBy("doc_x", "doc_y").agg(F.count("*").alias("s"), F.max("at_x").alias("at_x"), F.max("at_y").alias("at_y"), *(F.first(c).alias(c) for c in ("n_x", "n_y", "last_x", "last_y", "hot_x", "hot_y")))
+    shared_most = "s + least(hot_x, hot_y)"
     # Of the tokens after the last shared one, no more can be shared than either document has left.
-    pairs = pairs.where(f"(s + least(hot_x, hot_y) + least(n_x - at_x, n_y - at_y)) * {100 + percent} >= {percent} * (n_x + n_y)")
+    pairs = pairs.where(f"({shared_most} + least(n_x - at_x, n_y - at_y)) * {100 + percent} >= {percent} * (n_x + n_y)")
+    # A prefix token of the document whose prefix ends first is in the other's prefix, or not in the other at all.
+    n = "IF(last_x <= last_y, n_x, n_y)"
+    pairs = pairs.where(f"({n} - ({n} - ceil({percent} * {n} / 100) + 1) + {shared_most}) * {100 + percent} >= {percent} * (n_x + n_y)")
     cluster = components(ties.union(pairs.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))))
 
     links = compare(docs, cut(cluster.join(size.withColumnRenamed("doc", "node"), "node")), k, percent, block_docs, broadcast_rows)
@@ -178,7 +189,7 @@ def compare(docs: DataFrame, members: DataFrame, k: int, percent: int, block_doc
 
     def tokens(batches):
         words = Words()
-        for batch in (s for b in batches for s in slices(b, 16 << 20)):
+        for batch in (s for b in batches for s in slices(b, 8 << 20)):
             out = []
             for i, t, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
                 s = shingles(t, k, words).tobytes()
