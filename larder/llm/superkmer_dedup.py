@@ -6,8 +6,8 @@ minimiser's bucket.  There the windows themselves are sorted and compared word b
 
 1. One pass gives the minimisers of each document.  Those of one document only can't hold a repeated window; a bitmap of
    fixed size remembers the others (a false hit costs some transport and nothing else).
-2. A second pass writes the super-k-mers of remembered minimisers to the shared folder.  Equal strings are summed into one
-   before they are dealt out, so copies of a document cost a bucket nothing.
+2. A second pass writes the super-k-mers of remembered minimisers to the shared folder: where each one starts, and the string
+   itself once for all the documents of a batch, with the smallest and the largest of them, so copies cost a bucket little.
 3. Each bucket sorts its windows; a string learns, for each window, the smallest document that has it.  A bucket of more
    than ``hot`` strings is dealt out again by the windows themselves and summed on the way.
 4. Documents drop the words covered by windows that a smaller document has.
@@ -21,12 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import new_path, partitions, runs, slices, texts
+from larder.llm.common import cut, new_path, partitions, runs, slices, texts
 from larder.llm.ngram_jaccard import Words, mixed
 
 BITS = 1 << 26
 HOT = 20_000
 BROADCAST_ROWS = 200_000
+SUPERKMER = "v long, s1 long, s2 long, packed binary, doc long, own long, at int"
+NAMES = [x.split()[0] for x in SUPERKMER.split(", ")]
+KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,30 +50,22 @@ def minimisers(h: np.ndarray, k: int, m: int) -> np.ndarray:
     return low
 
 
-def found(docs: DataFrame, k: int, m: int, f, schema: str) -> DataFrame:
-    """f(words, minimisers of the windows) -> rows for each text of k words or more; doc_id and a hash of the text come before them."""
+def repeated_minimisers(docs: DataFrame, k: int, m: int) -> np.ndarray:
+    """A bitmap of BITS bits: those of minimisers that two documents or more have."""
 
     def run(batches):
         words = Words()
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
-            out = []
-            for i, own, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "text")), strict=True):
+            ids, found = [], []
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ws = t.encode("utf-8", "surrogatepass").split()
-                if i is None or len(ws) < k:
-                    continue
-                low = minimisers(np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)), k, m).view(np.int64)
-                out += [(i, own, *row) for row in f(ws, low)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
-
-    full = f"doc long, own long, {schema}"
-    names, kinds = zip(*((n, {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[kind]) for n, kind in (x.split() for x in full.split(", "))), strict=True)
-    return docs.mapInArrow(run, full)
-
+                if i is not None and len(ws) >= k:
+                    found.append(np.unique(minimisers(np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)), k, m)).view(np.int64))
+                    ids.append(np.full(len(found[-1]), i, np.int64))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found))], ["doc", "v"])
 
-def repeated_minimisers(docs: DataFrame, k: int, m: int) -> np.ndarray:
-    """A bitmap of BITS bits: those of minimisers that two documents or more have."""
-    each = found(docs, k, m, lambda ws, low: [(int(v),) for v in np.unique(low)], "v long")
+    each = docs.mapInArrow(run, "doc long, v long")
     twice = each.groupBy("v").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     # The low bits of a least hash are as even as those of any.
     cells = twice.select(F.col("v").bitwiseAND(F.lit(BITS - 1)).alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toPandas()
@@ -81,21 +76,25 @@ def repeated_minimisers(docs: DataFrame, k: int, m: int) -> np.ndarray:
 
 def bucket(rows: dict[str, list], k: int) -> list[tuple[int, int, list[int]]]:
     """Of one minimiser's strings: for each that is in two documents, or has a window that a smaller one has, its windows' smallest documents."""
+    strings: dict[tuple[int, int], list] = {}
+    for s1, s2, packed, lo, hi in zip(*(rows[c] for c in ("s1", "s2", "packed", "lo", "hi")), strict=True):
+        x = strings.setdefault((s1, s2), [packed, lo, hi])
+        x[1], x[2] = min(x[1], lo), max(x[2], hi)
     windows = []
-    for r, (packed, lo) in enumerate(zip(rows["packed"], rows["lo"], strict=True)):
+    for r, (packed, lo, _) in enumerate(strings.values()):
         ends = [-1]
         while (e := packed.find(b" ", ends[-1] + 1)) >= 0:
             ends.append(e)
         ends.append(len(packed))
         windows += [(packed[ends[j] + 1 : ends[j + k]], lo, r) for j in range(len(ends) - k)]
     order = sorted(windows)
-    least: list[list[int]] = [[] for _ in rows["lo"]]
+    least: list[list[int]] = [[] for _ in strings]
     first: dict[bytes, int] = {}
     for w, lo, _ in order:
         first.setdefault(w, lo)
     for w, _, r in windows:
         least[r].append(first[w])
-    return [(s1, s2, x) for s1, s2, x, hi in zip(rows["s1"], rows["s2"], least, rows["hi"], strict=True) if min(x) < hi]
+    return [(*sid, x) for (sid, (_, _, hi)), x in zip(strings.items(), least, strict=True) if min(x) < hi]
 
 
 def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -109,22 +108,47 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = HOT, bro
     docs = texts(docs).withColumn("own", F.xxhash64("text"))  # tells rows of one doc_id apart
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(docs, k, m))
 
-    def kmers(ws, low):
-        ends = np.append(np.flatnonzero(low[1:] != low[:-1]) + 1, len(low))
-        start = 0
-        for end in ends.tolist():
-            v = int(low[start])
-            if bitmap.value[(v & (BITS - 1)) >> 5] >> np.uint32(v & 31) & np.uint32(1):
-                packed = b" ".join(ws[start : end + k - 1])
-                d = xxhash.xxh3_128_digest(packed)
-                yield v, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), start, packed
-            start = end
+    def cut_up(batches):
+        words = Words()
+        for batch in (s for b in batches for s in slices(b, 16 << 20)):
+            places, strings = [], {}
+            for i, own, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "text")), strict=True):
+                ws = t.encode("utf-8", "surrogatepass").split()
+                if i is None or len(ws) < k:
+                    continue
+                low = minimisers(np.fromiter(map(words.__getitem__, ws), np.uint64, len(ws)), k, m).view(np.int64)
+                ends = np.append(np.flatnonzero(low[1:] != low[:-1]) + 1, len(low))
+                starts = np.concatenate([[0], ends[:-1]])
+                v = low[starts]
+                bit = v & (BITS - 1)
+                shared = np.flatnonzero(bitmap.value[bit >> 5] >> (bit & 31).astype(np.uint32) & np.uint32(1))
+                for at, end, own_v in zip(starts[shared].tolist(), ends[shared].tolist(), v[shared].tolist(), strict=True):
+                    packed = b" ".join(ws[at : end + k - 1])
+                    d = xxhash.xxh3_128_digest(packed)
+                    sid = int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+                    places.append((i, own, at, *sid))
+                    if sid in strings:
+                        x = strings[sid]
+                        x[4], x[5] = min(x[4], i), max(x[5], i)
+                    else:
+                        strings[sid] = [own_v, *sid, packed, i, i]
+            if places:
+                doc, own, at, s1, s2 = zip(*places, strict=True)
+                none = [None] * len(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((none, s1, s2, none, doc, own, at), KINDS, strict=True)], NAMES)
+                v, s1, s2, packed, lo, hi = zip(*strings.values(), strict=True)
+                none = [None] * len(v)
+                # A string's smallest and largest document stand in doc and own.
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip((v, s1, s2, packed, lo, hi, none), KINDS, strict=True)], NAMES)
 
     path = new_path(spark, "superkmers")
-    found(docs, k, m, kmers, "v long, s1 long, s2 long, at int, packed binary").write.parquet(path)
-    stored = spark.read.schema("doc long, own long, v long, s1 long, s2 long, at int, packed binary").parquet(path)
-    strings = stored.groupBy("v", "s1", "s2", "packed").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-    crowded = strings.groupBy("v").count().where(F.col("count") > hot).select("v")
+    docs.mapInArrow(cut_up, SUPERKMER).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(SUPERKMER).parquet(path)
+    strings = stored.where("v is not null").select("v", "s1", "s2", "packed", F.col("doc").alias("lo"), F.col("own").alias("hi"))
+    crowded = cut(strings.groupBy("v").count().where(F.col("count") > hot).select("v"))
+    few = crowded.count()
+    if few <= 1_000_000:
+        crowded = F.broadcast(crowded)
 
     def sort_windows(batches):
         out = []
@@ -140,13 +164,14 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = HOT, bro
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["s1", "s2", "least"])
 
-    cold = strings.join(crowded, "v", "left_anti").repartition(partitions(spark), "v").sortWithinPartitions("v")
+    cold = (strings.join(crowded, "v", "left_anti") if few else strings).repartition(partitions(spark), "v").sortWithinPartitions("v")
     learned = cold.mapInArrow(sort_windows, "s1 long, s2 long, least array<long>")
     apart = strings.join(crowded, "v", "left_semi").withColumn("w", F.split(F.col("packed").cast("string"), " "))
     windows = apart.select("s1", "s2", "lo", "hi", F.posexplode(F.expr(f"transform(sequence(1, size(w) - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))")).alias("j", "window"))
     least = windows.groupBy("window").agg(F.min("lo").alias("least"))
-    dealt = windows.join(least, "window").groupBy("s1", "s2").agg(F.max("hi").alias("hi"), F.array_sort(F.collect_list(F.struct("j", "least"))).alias("all"))
-    learned = learned.union(dealt.select("s1", "s2", F.col("all.least").alias("least")))
+    dealt = windows.join(least, "window").groupBy("s1", "s2").agg(F.max("hi").alias("hi"), F.array_sort(F.collect_set(F.struct("j", "least"))).alias("all"))
+    if few:
+        learned = learned.union(dealt.select("s1", "s2", F.col("all.least").alias("least")))
 
     def cover(batches):
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
@@ -163,7 +188,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = HOT, bro
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc", "own", "spans"])
 
-    covered = stored.select("doc", "own", "at", "s1", "s2").join(learned, ["s1", "s2"]).mapInArrow(cover, "doc long, own long, spans array<int>")
+    covered = stored.where("v is null").select("doc", "own", "at", "s1", "s2").join(learned, ["s1", "s2"]).mapInArrow(cover, "doc long, own long, spans array<int>")
     # A document's spans are no more than its words.
     path = new_path(spark, "covered")
     covered.groupBy(F.col("doc").alias("doc_id"), "own").agg(F.flatten(F.collect_list("spans")).alias("spans")).write.parquet(path)
