@@ -26,22 +26,23 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 #: Pieces of more bytes take the same steps from a heap: the query makes a round for each contraction.
 LONG = 300
 MEMORY = "250MB"
-REMEMBERED = 400_000
+#: Chunks of a generation.  A chunk of the one before is taken over when it is seen again, so frequent ones stay known.
+REMEMBERED = 450_000
 
+#: k is the word's number and, in its low 16 bits, the position; a contraction moves what stands behind it one to the left,
+#: so positions stay next to each other and a row finds its neighbour by k + 1.
 CONTRACT = """
-WITH RECURSIVE step(round, w, pos, id) AS (
-  SELECT 0, w, pos, id FROM start
+WITH RECURSIVE step(round, w, k, id) AS (
+  SELECT 0, w, CAST(w AS BIGINT) * 65536 + pos, id FROM start
   UNION ALL
-  SELECT round + 1, w, pos, CASE WHEN key = least THEN merged ELSE id END
-  FROM (
-    SELECT *, min(key) OVER (PARTITION BY w) AS least, lag(key) OVER (PARTITION BY w ORDER BY pos) AS before
+  SELECT n.round + 1, n.w, n.k - CASE WHEN n.k > b.k THEN 1 ELSE 0 END, CASE WHEN n.k = b.k THEN b.id ELSE n.id END
+  FROM step n JOIN (
+    SELECT w, w * CAST(65536 AS BIGINT) + (least & 65535) AS k, CAST(least >> 16 AS INTEGER) AS id
     FROM (
-      SELECT n.*, m.id AS merged, CAST(m.id AS BIGINT) * 4294967296 + pos AS key
-      FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS next FROM step) n
-      LEFT JOIN merges m ON m.l = n.id AND m.r = n.next))
-  WHERE least IS NOT NULL AND (before IS NULL OR before <> least))
-SELECT w, list(id ORDER BY pos) AS ids
-FROM (SELECT *, max(round) OVER (PARTITION BY w) AS last FROM step) WHERE round = last GROUP BY w
+      SELECT x.w, min(m.id * CAST(65536 AS BIGINT) + (x.k & 65535)) AS least
+      FROM step x JOIN step y ON y.k = x.k + 1 JOIN merges m ON m.l = x.id AND m.r = y.id GROUP BY x.w)) b ON b.w = n.w
+  WHERE n.k <> b.k + 1)
+SELECT w, list(id ORDER BY k) AS ids FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) GROUP BY w
 """
 
 DECODE = "SELECT d, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d"
@@ -51,7 +52,8 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.pattern = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.remembered: dict[str, tuple[int, ...]] = {}
+        self.remembered: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
         words = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [b.hex() for b in self.ranks]})
         self.db.register("words", words)
@@ -113,17 +115,20 @@ class Coder:
         for i in range(0, len(short), 20_000):
             known.update(zip(short[i : i + 20_000], self.contract(short[i : i + 20_000]), strict=True))
         for c, ps in own.items():
-            self.remembered[c] = tuple(i for p in ps for i in ((self.ranks[p],) if p in self.ranks else known[p]))
+            self.remembered[c] = np.array([i for p in ps for i in ((self.ranks[p],) if p in self.ranks else known[p])], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t) for t in texts]
         if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        new = {c for cs in cut for c in cs if c not in self.remembered}
+            self.before, self.remembered = self.remembered, {}
+        at = self.remembered
+        new = {c for cs in cut for c in cs if c not in at}
+        for c in [c for c in new if c in self.before]:
+            at[c] = self.before[c]
+            new.discard(c)
         if new:
             self.learn(new)
-        at = self.remembered
-        return [np.array([i for c in cs for i in at[c]], np.uint32) for cs in cut]
+        return [np.frombuffer(b"".join(map(at.__getitem__, cs)), "<u4") for cs in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of tokens; an id that is not in the vocabulary adds none."""
