@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import struct
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,8 @@ from larder.llm.common import new_path, partitions, slices, texts
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
-REMEMBERED = 300_000
+#: Words of a generation.  A word of the one before is taken over when it is seen again, so frequent ones stay known.
+REMEMBERED = 450_000
 NULL_ID = -(1 << 63)
 
 
@@ -41,19 +41,26 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.remembered: dict[bytes, list[int]] = {}
+        self.remembered: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, as they stand in the files."""
         words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
         if len(self.remembered) > REMEMBERED:
-            self.remembered.clear()
-        new = list({w for ws in words for w in ws if w not in self.remembered})
+            self.before, self.remembered = self.remembered, {}
+        at = self.remembered
+        new = []
+        for w in {w for ws in words for w in ws if w not in at}:
+            if w in self.before:
+                at[w] = self.before[w]
+            else:
+                new.append(w)
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                self.remembered[w] = e.ids
-        at = self.remembered
-        return [[i for w in ws for i in at[w]] for ws in words]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
+                at[w] = np.array(e.ids, "<u4").tobytes()
+        return [b"".join(map(at.__getitem__, ws)) for ws in words]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -64,8 +71,7 @@ class Writer:
         self.out, self.entries, self.ids = out, [], []
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        raw = ids.astype("<u4").tobytes()
+    def add(self, doc_id: int | None, raw: bytes) -> None:
         frame = self.compressor.compress(raw)
         self.out.write(frame)
         self.entries.append(struct.pack("<III", len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
@@ -126,7 +132,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
         from pyspark import TaskContext
 
         own = writer = None
-        tokens = 0
+        tokens, end = 0, struct.pack("<I", end_id)
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
             if own is None:
                 encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
@@ -137,8 +143,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
                 stream = store.open_output_stream(own)
                 writer = Writer(stream)
             for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                writer.add(i, np.array([*ids, end_id], np.uint32))
-                tokens += len(ids) + 1
+                writer.add(i, ids + end)
+                tokens += len(ids) // 4 + 1
         if own is not None:
             writer.finish()
             stream.close()
@@ -152,7 +158,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, start, ids) of every document of the files; start counts the ids of all documents before it."""
+    """(doc_id, start, ids) of every document of the files: ids as they stand there, start counting those of all documents before it."""
     # A row for each file, so one task can hold the running total.
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.withColumn("base", F.coalesce(before, F.lit(0))).select("file", "base")
@@ -164,25 +170,15 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_file(f"{base}/{file}") as source:
                     r = Reader(source)
                     for at in range(0, len(r), 500):
-                        ids = [r.document(i) for i in range(at, min(at + 500, len(r)))]
-                        starts = start + np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                        ids = [r.document(i).tobytes() for i in range(at, min(at + 500, len(r)))]
+                        starts = start + np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
                         start = int(starts[-1])
                         doc = [None if i == NULL_ID else int(i) for i in r.ids[at : at + len(ids)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
-
-    return files.repartition(partitions(manifest.sparkSession), "file").mapInArrow(run, "doc_id long, start long, ids array<long>")
-
+                        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
-def crc32(ids: list[int]) -> int:
-    return zlib.crc32(np.array(ids, "<u4").tobytes())
+    return files.repartition(partitions(manifest.sparkSession), "file").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def summary(documents: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read() gives."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("ids").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([len(x) for x in ids], pa.int64()), pa.array([crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return documents.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
