@@ -1,6 +1,6 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-A word is the bag of its character n-grams and itself, hashed to a fixed number of rows of an embedding; a text is the mean of
+A word is the bag of its character n-grams, hashed to a fixed number of rows of an embedding; a text is the mean of
 its subwords' rows, classified by a linear layer.  Both are trained together by stochastic gradient descent in numpy.  A
 temperature, fitted on rows kept from training, makes scores probabilities; a text whose best one is below the threshold
 learned from the same rows is marked as rejected.
@@ -8,9 +8,6 @@ learned from the same rows is marked as rejected.
 
 from __future__ import annotations
 
-import re
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,19 +18,39 @@ from larder.llm.common import remainder, slices, texts
 ROWS, DIMS, SIZES = 4096, 16, (1, 2, 3, 4)
 #: Documents of a language that the fit takes, evenly by a hash of the id.
 PER_LANG = 400
+#: Tokens that a task remembers.
+FULL = 500_000
 EPOCHS, RATE, BATCH = 40, 2.0, 32
-LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-
-
-def subwords(token: str) -> list[int]:
-    """Rows of the n-grams of the token's runs of letters, in lower case, with marks at both ends."""
-    out = []
-    for word in LETTERS.findall(token.lower()):
-        w = f"<{word}>"
-        out += [zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % ROWS for n in SIZES for i in range(len(w) - n + 1)]
-        out.append(zlib.crc32(w.encode("utf-8", "surrogatepass"), 1) % ROWS)
-    return out
+P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grams(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(token, row) of every n-gram of the tokens' runs of letters, in lower case; a mark at either end of a run counts as a character."""
+    chars = np.frombuffer("\n".join(["", *tokens, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, which = np.unique(chars, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in kinds.tolist()])[which]
+    a = np.where(letter, chars, 0).astype(np.uint64)
+    token = np.cumsum(chars == 10) - 1
+    owners, rows = [], []
+    for n in SIZES:
+        m = max(0, len(a) - n + 1)
+        inside = np.ones(m, bool)
+        for j in range(1, n - 1):
+            inside &= letter[j : j + m]
+        if n == 1:
+            inside, owner = letter[:m], token[:m]
+        elif n == 2:
+            inside, owner = letter[:m] | letter[1 : 1 + m], np.where(letter[:m], token[:m], token[1 : 1 + m])
+        else:
+            owner = token[1 : 1 + m]
+        h = np.full(m, n, np.uint64)
+        for j in range(n):
+            h = (h + a[j : j + m]) * P
+        h = h[inside]
+        rows.append(((h ^ (h >> np.uint64(31))) * P >> np.uint64(40)).astype(np.int64) % ROWS)
+        owners.append(owner[inside])
+    return np.concatenate(owners), np.concatenate(rows)
 
 
 class Known(dict):
@@ -42,22 +59,26 @@ class Known(dict):
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights = weights
-        self.table = np.zeros((200_000, weights.shape[1] + 1), np.float64)
+        self.table = np.zeros((FULL + 60_000, weights.shape[1] + 1))
 
-    def __missing__(self, token: str) -> int:
-        rows = subwords(token)
-        at = self[token] = len(self)
-        self.table[at, :-1] = self.weights[rows].sum(0)
-        self.table[at, -1] = len(rows)
-        return at
+    def learn(self, tokens: list[str]) -> None:
+        owner, rows = grams(tokens)
+        out = self.table[len(self) : len(self) + len(tokens)]
+        for c in range(self.weights.shape[1]):
+            out[:, c] = np.bincount(owner, self.weights[rows, c], len(tokens))
+        out[:, -1] = np.bincount(owner, minlength=len(tokens))
+        self.update(zip(tokens, range(len(self), len(self) + len(tokens)), strict=True))
 
     def sums(self, text: str) -> np.ndarray:
         """The summed weights of all subwords, and how many there are."""
         total, tokens = np.zeros(self.table.shape[1]), text.split()
         for i in range(0, len(tokens), 50_000):
-            if len(self) > 150_000:
+            part = tokens[i : i + 50_000]
+            if len(self) > FULL:
                 self.clear()
-            total += self.table[list(map(self.__getitem__, tokens[i : i + 50_000]))].sum(0)
+            if new := [t for t in dict.fromkeys(part) if t not in self]:
+                self.learn(new)
+            total += self.table[list(map(self.__getitem__, part))].sum(0)
         return total
 
 
@@ -117,7 +138,7 @@ def train(docs: DataFrame, fold: int, folds: int, per_lang: int) -> Model | None
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             at, share = [], []
             for t in batch.column("text").to_pylist():
-                n = np.bincount(np.array([r for w in t.split() for r in subwords(w)], int), minlength=ROWS)
+                n = np.bincount(grams(t.split())[1], minlength=ROWS)
                 at.append(np.flatnonzero(n).astype(np.int32))
                 share.append((n[n > 0] / max(n.sum(), 1)).astype(np.float32))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.list_(pa.int32())), pa.array(share, pa.list_(pa.float32()))], ["doc_id", "lang", "at", "share"])
