@@ -34,7 +34,7 @@ HARM = sorted(w for w, s in SYMBOL.items() if s in "IT")
 REACH = {"Y": 6, "N": 3}
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.;!?\n]")
 #: The grammar's own weights in logits: what the fit starts from and is drawn back to.
-OWN = {"none": -2.5, "I": 3.0, "T": 1.5, "directed": 1.0, "negated": -1.5, "reported": -1.0, "again": 1.0}
+OWN = {"none": -2.5, "I": 4.0, "T": 1.5, "directed": 1.0, "negated": -1.5, "reported": -1.0, "again": 1.0}
 MOST = 3
 MAX_PATTERNS = 20_000
 
