@@ -11,6 +11,7 @@ into place when it is whole, so that a repeated task leaves one whole file.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 
@@ -29,7 +30,7 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
 #: Words of a generation.  A word of the one before is taken over when it is seen again, so frequent ones stay known.
-REMEMBERED = 450_000
+REMEMBERED = 200_000
 NULL_ID = -(1 << 63)
 
 
@@ -37,6 +38,8 @@ class Encoder:
     """The tokens of texts by a tokenizer that never looks across ASCII white space, so that words are encoded once."""
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library's own would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
