@@ -27,7 +27,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0                
 LONG = 300
 MEMORY = "250MB"
 #: Chunks of a generation.  A chunk of the one before is taken over when it is seen again, so frequent ones stay known.
-REMEMBERED = 450_000
+REMEMBERED = 250_000
 
 #: k is the word's number and, in its low 16 bits, the position; a contraction moves what stands behind it one to the left,
 #: so positions stay next to each other and a row finds its neighbour by k + 1.
