@@ -139,3 +139,31 @@ def layers(names: DataFrame, steps: list[Layer]) -> DataFrame:
         left = left.join(found, "name", "left_anti")
     rest = left.select("name", F.lit(None).cast("long").alias("fdc_id"), F.lit("no_match").alias("match_type"))
     return rest if out is None else out.unionByName(rest)
+
+
+def clean_names(names: DataFrame, proxies: DataFrame, brands: list[str], noise: list[str]) -> DataFrame:
+    """names(name), proxies(local, proxy, display) -> each distinct name with cleaned, tag and display.
+
+    A local name gives way to its proxy, with its brand or without; any other name loses brands and noise (patterns, in
+    their order), unwraps brackets and is trimmed.  Proxies and patterns are lists that people keep.
+    """
+    low = F.lower(F.trim("name"))
+    bare = low
+    for p in brands:
+        bare = F.regexp_replace(bare, rf"(?i)^{p}\s+", "")
+    df = names.select("name").distinct().withColumns({"_a": low, "_b": F.trim(bare)})
+    p = F.broadcast(proxies)
+    df = df.join(p.select(F.col("local").alias("_a"), F.struct("proxy", "display").alias("_pa")), "_a", "left").join(p.select(F.col("local").alias("_b"), F.struct("proxy", "display").alias("_pb")), "_b", "left")
+    quiet = F.col("_b")
+    for x in noise:
+        quiet = F.regexp_replace(quiet, rf"(?i){x}", " ")
+    # Most names have no noise; one look at all patterns together spares them the rest.
+    quiet = F.when(F.col("_b").rlike("(?i)" + "|".join(f"(?:{x})" for x in noise)), quiet).otherwise(F.col("_b")) if noise else quiet
+    quiet = F.btrim(F.regexp_replace(F.regexp_replace(quiet, r"\(([^)]+)\)", "$1"), r"\s{2,}", " "), F.lit(" .,_-"))
+    hit = F.coalesce("_pa", "_pb")
+    return df.select("name", F.coalesce(hit["proxy"], quiet).alias("cleaned"), F.when(hit.isNotNull(), "african_proxy").otherwise("cleaned").alias("tag"), F.coalesce(hit["display"], quiet).alias("display"))
+
+
+def proxy_dimension(proxies: DataFrame, regions: DataFrame, default: str = "Africa") -> DataFrame:
+    """One row a local name, with its region or the default."""
+    return proxies.join(F.broadcast(regions), "local", "left").withColumn("region", F.coalesce("region", F.lit(default))).dropDuplicates(["local"])

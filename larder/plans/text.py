@@ -219,8 +219,25 @@ query("build_mapping", "SELECT f.fdc_id, CASE WHEN m.fdc_id IS NOT NULL THEN 'ma
     lambda s, d: table(s, d, "food").join(table(s, d, "ingredient_mapping").select("fdc_id", F.lit(True).alias("hit")), "fdc_id", "left").select("fdc_id", analysis.mapping_status(F.col("hit"), F.col("fdc_id") % 2 == 0, F.col("fdc_id") % 3 == 0).alias("match_status"))
 )
 
+query("clean_ingredient", "SELECT DISTINCT name, CASE WHEN k = 0 THEN concat('proxy of ', ingredient_name) ELSE ingredient_name END AS cleaned, CASE WHEN k = 0 THEN 'african_proxy' ELSE 'cleaned' END AS tag, ingredient_name AS display FROM (SELECT ingredient_name, x.k, CASE x.k WHEN 0 THEN concat('ACME ', ingredient_name) WHEN 1 THEN concat('acme the coarsely ', ingredient_name, ' .') ELSE concat('(', ingredient_name, ')') END AS name FROM food, (VALUES (0), (1), (2)) AS x(k))")(
+    lambda s, d: resolve.clean_names(
+        food_names(s, d).select(F.explode(F.array(F.concat(F.lit("ACME "), "name"), F.concat(F.lit("acme the coarsely "), "name", F.lit(" .")), F.concat(F.lit("("), "name", F.lit(")")))).alias("name")),
+        food_names(s, d).select(F.col("name").alias("local"), F.concat(F.lit("proxy of "), "name").alias("proxy"), F.col("name").alias("display")),
+        ["acme"],
+        [r"\bcoarsely\b", r"\bthe\b"],
+    )
+)
+query("proxy_dimension", "SELECT DISTINCT p_name AS local, CASE WHEN strpos(p_name, 'red') > 0 THEN 'North' ELSE 'Africa' END AS region FROM part")(
+    lambda s, d: (lambda n: resolve.proxy_dimension(n, n.where("contains(local, 'red')").distinct().withColumn("region", F.lit("North"))))(table(s, d, "part").select(F.col("p_name").alias("local"))).select("local", "region")
+)
+query("fix_bad_matches", "SELECT fdc_id, CASE WHEN fdc_id % 8 = 0 THEN 'corrected' ELSE description END AS description FROM food")(
+    lambda s, d: analysis.fixed(table(s, d, "food").select("fdc_id", "description"), table(s, d, "food").where("fdc_id % 8 = 0").select("fdc_id", F.lit("corrected").alias("description")), "fdc_id", F.lit(True))
+)
+
 # ---------------------------------------------------------------- analysis of recipes
 
+query("analyse_overrides", None)(lambda s, d: (lambda x: analysis.analyse_lines(x, analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient")), x.where("ingredient_index = 1").select("recipe_id", "ingredient_index", F.lit(2700001).cast("long").alias("fdc_id"), F.lit("chosen").alias("food"))))(line(s, d).select("recipe_id", "ingredient_index", "raw")))
+
 query("analyse_lines", None)(lambda s, d: analysis.analyse_lines(line(s, d).select("recipe_id", "ingredient_index", "raw"), analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient"))))
 query("analyse_recipes", None)(lambda s, d: analysis.analyse_recipes(line(s, d).select("recipe_id", "ingredient_index", "raw"), analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient")), table(s, d, "recipes").select("recipe_id", F.col("servings_expected").alias("servings"))))
 query("review_queue", None)(lambda s, d: analysis.review_queue(line(s, d).select("recipe_id", "ingredient_index", F.concat("raw", F.when(F.col("ingredient_index") % 3 == 0, " and seasoning mix").otherwise("")).alias("raw"))))
