@@ -67,6 +67,32 @@ def test_toxicity(spark, table):
     assert tg.toxicity(table([]), labels).count() == 0
 
 
+def test_toxicity_beyond_the_lexicon(spark, table):
+    r = random.Random(6)
+    ends = ["ba", "co", "du", "fe", "gi", "ho", "ju", "ka", "lem", "nor"]
+    plain = [a + b for a in ("mira", "sole", "tavo", "runi") for b in ends]
+    rows, marks = [], []
+    for i in range(900):
+        bad = r.random() < 0.2
+        words = r.choices(plain, k=r.randint(60, 400))
+        if bad and i % 2:
+            words.insert(5, "zlo")  # toxic by itself
+        else:  # words of a stem, each in another form; clean documents hold some by chance
+            for _ in range(max(4, len(words) // 30) if bad else r.random() < 0.2):
+                words.insert(r.randrange(len(words)), "quarz" + r.choice(ends) + r.choice(ends))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(bad)))
+    rows += [(1000, " ".join(plain) + " zlo"), (1001, " ".join(plain * 5)), (1002, " ".join(plain * 5) + " quarzbaco")]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    out = {x.doc_id: x for x in tg.toxicity(table(rows), labels).collect()}
+    held = [(out[i].predicted, bad) for i, bad in marks if out[i].held_out]
+    assert sum(p for p, bad in held if bad) >= 0.9 * sum(bad for _, bad in held) > 0
+    assert sum(p for p, bad in held if not bad) <= 0.01 * len(held)
+    assert [out[i].predicted for i in (1000, 1001, 1002)] == [1, 0, 0]
+    learned = tg.learn(table(rows).join(labels.withColumnRenamed("toxic", "y"), "doc_id").select("text", "y"))
+    assert learned.symbol("zlo") == "I" and learned.symbol("quarzxyz") in "IS" and learned.symbol("miraba") == "O" and learned.symbol("idiots") == "I"
+
+
 def test_quality(spark, table):
     r = random.Random(3)
     rows, marks = [], []
