@@ -178,14 +178,17 @@ def disguised(text: str) -> Traced | None:
 
 
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
-    """(kind, start, end, added) by kind, then start.  Spans that only the rewritten text shows are added; they never touch a plain one of their kind."""
+    """(kind, start, end, added) by kind, then start.  Spans that the rewritten text shows are added unless a plain one of their kind holds them.
+
+    A plain address of which a disguise hides only the first digits stays as it is.
+    """
     base = plain(text)
     more = {}
     if (t := disguised(text)) is not None:
         for kind, found in plain(t.text).items():
             own = base[kind]
             places = sorted({(int(t.start[a]), int(t.end[b - 1])) for a, b in found})
-            more[kind] = [(a, b) for a, b in places if not any(a < y and x < b for x, y in own)]
+            more[kind] = [(a, b) for a, b in places if not any((x <= a or kind == "ip") and a < y and x < b and b <= y for x, y in own)]
     return [(k, a, b, added) for k in KINDS for a, b, added in sorted([(a, b, False) for a, b in base[k]] + [(a, b, True) for a, b in more.get(k, [])])]
 
 

@@ -60,6 +60,16 @@ def test_disguises():
     assert added("one or two of the three") == []
 
 
+def test_disguises_that_leave_a_plain_fragment():
+    assert added("to jоhn.smith@example.com now") == [("email", "jоhn.smith@example.com")]  # Cyrillic o; hn.smith@example.com is plain
+    assert added("to user@example.cоm now") == [("email", "user@example.cоm")]
+    assert added("host 10.0.0.1​23 here") == [("ip", "10.0.0.1​23")]
+    assert added("call +1 555 555 77​13 now") == [("phone", "+1 555 555 77​13")]
+    assert added("to a@b.co and １") == []
+    text = "to jоhn.smith@example.com or user@example.cоm, 10.0.0.1​23"
+    assert pii.mask(text, pii.spans(text)) == "to <email> or <email>, <ip>"
+
+
 def test_over_a_table(spark, table):
     long = "x" * 200_000 + " a@b.co " + "9" * 100_000 + " +" * 5000
     rows = [(1, None), (2, ""), (3, "a@b.co and 1.2.3.4"), (4, long), (5, "mail jane (at) example (dot) com"), (5, "mail jane (at) example (dot) com"), (None, "+1 (017) 555-7713")]
