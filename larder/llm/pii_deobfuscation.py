@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ DIGIT_WORDS = {
 }
 INVISIBLE = "­​‌‍⁠﻿"
 SIGNS = {"․": ".", "。": ".", "﹒": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "﹫": "@", " ": " ", " ": " "}
-#: Fewer spelled digits in a row than this are prose.
+#: Fewer spelled digits in a row than this are prose, unless three dots make them an address.
 SPELLED = 7
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -44,10 +45,17 @@ OUTSIDE = re.compile(r"[^\x00-\x9f\xa1-\xac\xae-\xb1\xb4-\xb8\xba-\xff]")
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 RUN = re.compile(rf"(?i)(?<!\w)(?:(?:{_WORD}|[0-9]+|plus|dot|point|punkt|punto)(?:[\x20,-]{{1,3}}|(?=\.|\n|$)|(?!\w)))+")
 PART = re.compile(rf"(?i){_WORD}|[0-9]+|plus|dot|point|punkt|punto")
-AT = re.compile(r"(?i)\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\s(?:at)\s")
+AT = re.compile(r"(?i)\s?[(\[{<]\s?(?:at|@)\s?[)\]}>]\s?|\s(?:at)\s|@")
 DOT = r"(?:\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>]\s?|\s(?:dot)\s|\.)"
 HOST = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)+")
 DOTS = re.compile(rf"(?i){DOT}")
+HIDDEN_DOT = re.compile(rf"(?i){DOT.removesuffix('|\\.)')})")
+OCTET_DOT = re.compile(rf"(?i){DOT.removesuffix(')')}|\s(?:point|punkt|punto)\s)")
+OCTETS = re.compile(rf"(?<![0-9])[0-9]++(?:{OCTET_DOT.pattern.removeprefix('(?i)')}[0-9]++){{3}}", re.I)
+# Each is necessary for an edit: of signs() a bracketed sign or a spelled dot, of spelled_digits() a digit word.
+SIGN_GATE = re.compile(r"[(\[{<]\s?(?:at|@|dot|\.)\s?[)\]}>]|\s(?:dot|point|punkt|punto)\s")
+TOKEN = re.compile(r"\w+")
+DOT_WORDS = ("dot", "point", "punkt", "punto")
 
 
 def luhn(digits: str) -> bool:
@@ -137,18 +145,20 @@ def spelled_digits(t: Traced) -> Traced:
     edits = []
     for run in RUN.finditer(t.text):
         parts = list(PART.finditer(t.text, run.start(), run.end()))
-        words = sum(p[0].lower() in DIGIT_WORDS for p in parts)
-        if words == 0 or sum(len(p[0]) if p[0].isdigit() else p[0].lower() in DIGIT_WORDS for p in parts) < SPELLED:
+        lows = [p[0].lower() for p in parts]
+        if not any(x in DIGIT_WORDS for x in lows):
+            continue
+        new = [x if x.isdigit() else DIGIT_WORDS.get(x) or ("+" if x == "plus" else ".") for x in lows]
+        if sum(len(x) for x in new if x.isdigit()) < SPELLED and not IP.search("".join(new)):
             continue
         for i, p in enumerate(parts):
-            low = p[0].lower()
-            new = p[0] if low.isdigit() else DIGIT_WORDS.get(low) or ("+" if low == "plus" else ".")
-            edits.append((p.start(), parts[i + 1].start() if i + 1 < len(parts) else p.end(), new))
+            edits.append((p.start(), parts[i + 1].start() if i + 1 < len(parts) else p.end(), new[i]))
     return t.rewritten(edits)
 
 
 def signs(t: Traced) -> Traced:
     edits, at = [], 0
+    before = {d.end(): d for d in HIDDEN_DOT.finditer(t.text)}
     for m in AT.finditer(t.text):
         if m.start() < at or m.start() == 0 or t.text[m.start() - 1] not in LOCAL:
             continue
@@ -156,12 +166,27 @@ def signs(t: Traced) -> Traced:
         if not host:
             continue
         dots = [d for d in DOTS.finditer(t.text, host.start(), host.end())]
-        if m[0].strip().lower() == "at" and all(d[0] == "." for d in dots):
+        local, start = [], m.start()
+        while start > at:
+            while start > at and t.text[start - 1] in LOCAL:
+                start -= 1
+            d = before.get(start)
+            if d is None or d.start() <= at or t.text[d.start() - 1] not in LOCAL:
+                break
+            local.append(d)
+            start = d.start()
+        if m[0].strip().lower() in ("at", "@") and all(d[0] == "." for d in dots) and not any(d[0].strip()[0] in "([{<" for d in local):
             continue  # "look at example.com" hides nothing
+        edits += [(d.start(), d.end(), ".") for d in reversed(local)]
         edits.append((m.start(), m.end(), "@"))
         edits += [(d.start(), d.end(), ".") for d in dots]
         at = host.end()
-    return t.rewritten(edits)
+    starts, ends = [a for a, _, _ in edits], [b for _, b, _ in edits]
+    for m in OCTETS.finditer(t.text):
+        i = bisect_left(starts, m.end())
+        if i == 0 or ends[i - 1] <= m.start():
+            edits += [(d.start(), d.end(), ".") for d in OCTET_DOT.finditer(t.text, m.start(), m.end()) if d[0] != "."]
+    return t.rewritten(sorted(edits))
 
 
 def disguised(text: str) -> Traced | None:
@@ -170,17 +195,23 @@ def disguised(text: str) -> Traced | None:
     if not text.isascii() and OUTSIDE.search(text):
         t = homoglyphs(t)
     low = t.text.lower()
-    if len(set(low.replace("-", " ").replace(",", " ").split()) & DIGIT_WORDS.keys()) > 1 or any(low.count(w) >= SPELLED for w in DIGIT_WORDS if len(w) > 2):
-        t = spelled_digits(t)
-    if any(x in low for x in ("(at", "[at", "{at", "<at", "( at", "[ at", "{ at", "< at", "(@", "[@", "{@")) or "dot" in low and " at " in low:
+    if words := DIGIT_WORDS.keys() & set(TOKEN.findall(low)):
+        if sum(low.count(w) for w in DOT_WORDS) >= 3 or sum(low.count(w) for w in (*words, *"0123456789")) >= SPELLED:
+            t = spelled_digits(t)
+    if SIGN_GATE.search(low):
         t = signs(t)
     return t if t.text is not text else None
 
 
+def digit_words(text: str) -> int:
+    return sum(w in DIGIT_WORDS for w in TOKEN.findall(text.lower()))
+
+
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, added) by kind, then start.  Spans that the rewritten text shows are added unless a plain one of their kind holds them.
 
-    A plain address of which a disguise hides only the first digits stays as it is.
+    A plain address of which a disguise hides only the first digits stays as it is, and so does a number beside which one
+    digit word stands, which is prose ("+1 (848) 555-1373. Un an").
     """
     base = plain(text)
     more = {}
@@ -188,7 +219,7 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
         for kind, found in plain(t.text).items():
             own = base[kind]
             places = sorted({(int(t.start[a]), int(t.end[b - 1])) for a, b in found})
-            more[kind] = [(a, b) for a, b in places if not any((x <= a or kind == "ip") and a < y and x < b and b <= y for x, y in own)]
+            more[kind] = [(a, b) for a, b in places if not any(a < y and x < b and ((x <= a or kind == "ip") and b <= y or digit_words(text[a:x] + " " + text[y:b]) == 1) for x, y in own)]
     return [(k, a, b, added) for k in KINDS for a, b, added in sorted([(a, b, False) for a, b in base[k]] + [(a, b, True) for a, b in more.get(k, [])])]
 
 

@@ -66,10 +66,20 @@ def test_disguises_that_leave_a_plain_fragment():
     assert added("host 10.0.0.1​23 here") == [("ip", "10.0.0.1​23")]
     assert added("call +1 555 555 77​13 now") == [("phone", "+1 555 555 77​13")]
     assert added("to a@b.co and １") == []
+    assert added("vi. +1 (848) 555-1373 Un an oule") == []
     text = "to jоhn.smith@example.com or user@example.cоm, 10.0.0.1​23"
     assert pii.mask(text, pii.spans(text)) == "to <email> or <email>, <ip>"
 
 
+def test_dot_disguises():
+    for x in ("jane@example (dot) com", "jane@example dot com", "first dot last at example dot com", "first[.]last@example.com", "jane\tat\texample\tdot\tcom"):
+        assert added(f"mail {x}") == [("email", x)]
+    for x in ("192[.]168[.]1[.]1", "192 dot 168 dot 1 dot 1", "one dot two dot three dot four", "one dot one dot one dot one", "192.168[.]1.1"):
+        assert added(f"host: {x}; up") == [("ip", x)]
+    assert added("the dot a@b.co and 1 dot 2, look at example.com") == []
+    assert added("one two dot three") == []
+
+
 def test_over_a_table(spark, table):
     long = "x" * 200_000 + " a@b.co " + "9" * 100_000 + " +" * 5000
     rows = [(1, None), (2, ""), (3, "a@b.co and 1.2.3.4"), (4, long), (5, "mail jane (at) example (dot) com"), (5, "mail jane (at) example (dot) com"), (None, "+1 (017) 555-7713")]
