@@ -1,86 +1,141 @@
 """Byte-level BPE by recursive SQL, in a DuckDB of each task.
 
-A piece of text is rows (word, position, token), one for each byte at first.  A recursive query joins neighbours with the
-merge table and contracts each word's leftmost pair of least rank, until no word has a pair left.  Decoding joins tokens with
-the vocabulary and puts their bytes together by an ordered aggregation.  Equal pieces are encoded once a task as long as they
-are remembered; Spark deals out the documents.
+A piece of text falls apart where two bytes meet that stand together in no token, since no contraction crosses such a
+place.  Each part is rows (word, position, token), one for each byte at first.  A recursive query joins neighbours with the
+merge table and contracts each word's leftmost pair of least rank, until no word has a pair left; parts of more than ``WIDE``
+bytes contract all places of that pair in a round where nothing of a lesser rank can come of it, so that long runs of one
+character take few rounds.  A query goes a bounded number of rounds and the next one goes on from there, so that only
+``ROWS`` rows are held.  Decoding joins tokens with the vocabulary and puts their bytes together by an ordered aggregation.
+
+Equal parts of texts are encoded once a worker as long as they are remembered, and equal runs of tokens of a batch are decoded
+once; Spark deals out the documents.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import slices, texts
+from larder.llm.ngram_jaccard import mixed
 
 #: White space as the pattern's \s has it.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
-#: Pieces of more bytes take the same steps from a heap: the query makes a round for each contraction.
-LONG = 300
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MEMORY = "250MB"
-#: Chunks of a generation.  A chunk of the one before is taken over when it is seen again, so frequent ones stay known.
-REMEMBERED = 250_000
-
-#: k is the word's number and, in its low 16 bits, the position; a contraction moves what stands behind it one to the left,
-#: so positions stay next to each other and a row finds its neighbour by k + 1.
+#: Bytes of a batch of words, and rows of all rounds of a query.
+BATCH, ROWS = 200_000, 2_000_000
+#: Bytes of a part from which on all places of its least pair are contracted at once.
+WIDE = 64
+#: Bytes of a generation's keys and values.  What the one before has is taken over when it is seen again, so frequent parts stay known.
+REMEMBERED = 56 << 20
+#: What an entry takes beside them, about.
+ENTRY = 180
+
+#: k is the word's number and, in its low 20 bits, the position; a contraction drops the left token, puts the new one in
+#: place of the right, and moves what stands before it one to the right, so positions stay next to each other.
 CONTRACT = """
-WITH RECURSIVE step(round, w, k, id) AS (
-  SELECT 0, w, CAST(w AS BIGINT) * 65536 + pos, id FROM start
+WITH RECURSIVE step(round, k, id, after) AS (
+  SELECT 0, k, id, after FROM start
   UNION ALL
-  SELECT n.round + 1, n.w, n.k - CASE WHEN n.k > b.k THEN 1 ELSE 0 END, CASE WHEN n.k = b.k THEN b.id ELSE n.id END
+  SELECT n.round + 1, n.k + CASE WHEN n.k < b.k THEN 1 ELSE 0 END, CASE WHEN n.k = b.k + 1 THEN b.id ELSE n.id END, CASE WHEN n.k = b.k - 1 THEN b.id ELSE n.after END
   FROM step n JOIN (
-    SELECT w, w * CAST(65536 AS BIGINT) + (least & 65535) AS k, CAST(least >> 16 AS INTEGER) AS id
+    SELECT w, least & ((CAST(1 AS BIGINT) << 40) - 1) AS k, CAST(least >> 40 AS INTEGER) AS id
+    FROM (
+      SELECT x.k >> 20 AS w, min((CAST(m.id AS BIGINT) << 40) | x.k) AS least
+      FROM step x JOIN merges m ON m.l = x.id AND m.r = x.after GROUP BY 1)) b ON b.w = n.k >> 20
+  WHERE n.k <> b.k AND n.round < $rounds)
+SELECT w, k & 1048575 AS pos, id, round
+FROM (SELECT *, k >> 20 AS w FROM step) JOIN (SELECT k >> 20 AS w, max(round) AS round FROM step GROUP BY 1) USING (w, round) ORDER BY w, pos
+"""
+#: ``alone``: no pair that holds the new token has a lesser rank, so that contracting one place after another is the same.
+CONTRACT_ALL = """
+WITH RECURSIVE step(round, w, pos, id) AS (
+  SELECT 0, w, pos, id FROM start
+  UNION ALL
+  SELECT round + 1, w, pos, CASE WHEN taken THEN new ELSE id END
+  FROM (
+    SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
-      SELECT x.w, min(m.id * CAST(65536 AS BIGINT) + (x.k & 65535)) AS least
-      FROM step x JOIN step y ON y.k = x.k + 1 JOIN merges m ON m.l = x.id AND m.r = y.id GROUP BY x.w)) b ON b.w = n.w
-  WHERE n.k <> b.k + 1)
-SELECT w, list(id ORDER BY k) AS ids FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) GROUP BY w
+      SELECT *, least AND CASE WHEN best & 1 = 1 THEN (n - coalesce(max(CASE WHEN NOT least THEN n END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1
+        ELSE n = min(CASE WHEN least THEN n END) OVER (PARTITION BY w) END AS taken
+      FROM (
+        SELECT *, coalesce(new = best >> 1, false) AS least
+        FROM (
+          SELECT x.*, m.id AS new, min(m.id * 2 + m.alone) OVER (PARTITION BY w) AS best
+          FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS after, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM step WHERE round < $rounds) x
+          LEFT JOIN merges m ON m.l = x.id AND m.r = x.after))
+      WHERE best IS NOT NULL))
+  WHERE NOT gone)
+SELECT w, pos, id, round FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) ORDER BY w, pos
 """
 
-DECODE = "SELECT d, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d"
+#: Tokens of a group of the ordered aggregation that decodes.
+STRETCH = 256
+DECODE = "SELECT d, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
+
+
+class Remembered:
+    """Two generations of what a worker has worked out, bounded by bytes."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+        self.held = 0
+
+    def missing(self, keys: set) -> set:
+        """Those of keys that neither generation knows; the others are in ``now`` then."""
+        if self.held > REMEMBERED:
+            self.before, self.now, self.held = self.now, {}, 0
+        new = keys.difference(self.now)
+        for k in new.intersection(self.before):
+            self.put(k, self.before[k])
+        return new.difference(self.now)
+
+    def put(self, key, value: bytes) -> None:
+        self.now[key] = value
+        self.held += len(key) + len(value) + ENTRY
 
 
 class Coder:
     def __init__(self, path: str, pattern: str):
         self.pattern = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-        self.remembered: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.texts = Remembered()
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        self.met = np.zeros((256, 256), bool)
+        for token in self.ranks:
+            at = np.frombuffer(token, np.uint8)
+            self.met[at[:-1], at[1:]] = True
+        #: Tokens that begin with a blank; runs of tokens are cut before them.
+        self.leads = np.zeros(max(self.ranks.values()) + 1, bool)
+        self.leads[[i for b, i in self.ranks.items() if b[0] in b" \n"]] = True
+        #: Bytes of each token; the last is that of no token, where ids below 0 and beyond the others look.
+        self.lengths = np.zeros(len(self.leads) + 1, np.int64)
+        self.lengths[list(self.ranks.values())] = [len(b) for b in self.ranks]
+        # A worker writes nothing to the disk of its machine: without a folder for it, what doesn't fit is an error.
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         words = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [b.hex() for b in self.ranks]})
         self.db.register("words", words)
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM words")
         self.db.execute("""
-            CREATE TABLE merges AS SELECT a.id AS l, b.id AS r, v.id
-            FROM (SELECT id, hex, unnest(range(2, len(hex), 2)) AS cut FROM vocabulary) v
-            JOIN vocabulary a ON a.hex = left(v.hex, cut) JOIN vocabulary b ON b.hex = substr(v.hex, cut + 1)""")
+            CREATE TABLE merges AS
+            WITH pair AS (
+              SELECT a.id AS l, b.id AS r, v.id
+              FROM (SELECT id, hex, unnest(range(2, len(hex), 2)) AS cut FROM vocabulary) v
+              JOIN vocabulary a ON a.hex = left(v.hex, cut) JOIN vocabulary b ON b.hex = substr(v.hex, cut + 1)),
+            less AS (SELECT l AS id FROM pair WHERE id < l UNION SELECT r FROM pair WHERE id < r)
+            SELECT pair.*, CASE WHEN less.id IS NULL THEN 1 ELSE 0 END AS alone FROM pair LEFT JOIN less USING (id)""")
         self.db.unregister("words")
 
-    def contract(self, pieces: list[bytes]) -> list[list[int]]:
-        """Tokens of each piece, by the recursive query."""
-        flat = np.frombuffer(b"".join(pieces), np.uint8)
-        lens = np.array([len(p) for p in pieces])
-        single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-        self.db.register("start", pa.table({"w": w, "pos": pos.astype(np.int64), "id": single[flat]}))
-        found = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("start")
-        out: list[list[int]] = [[] for _ in pieces]
-        for i, ids in zip(found.column("w").to_pylist(), found.column("ids").to_pylist(), strict=True):
-            out[i] = ids
-        return out
-
     def from_heap(self, piece: bytes) -> list[int]:
-        """The same contractions for a long piece, in time n log n."""
+        """The same contractions one by one from a heap, for checks of the queries."""
         parts: list[bytes | None] = [bytes([b]) for b in piece]
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap = []
@@ -106,42 +161,128 @@ class Coder:
             offer(i)
         return [self.ranks[p] for p in parts if p is not None]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Remembers the tokens of chunks that are not known yet."""
-        own = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in chunks}
-        new = {p for ps in own.values() for p in ps if p not in self.ranks}
-        short = sorted(p for p in new if len(p) <= LONG)
-        known = {p: self.from_heap(p) for p in new if len(p) > LONG}
-        for i in range(0, len(short), 20_000):
-            known.update(zip(short[i : i + 20_000], self.contract(short[i : i + 20_000]), strict=True))
+    def query(self, sql: str, start: pa.Table, rounds: int) -> dict[str, np.ndarray]:
+        self.db.register("start", start)
+        found = self.db.sql(sql, params={"rounds": rounds}).to_arrow_table()
+        self.db.unregister("start")
+        return {c: found.column(c).to_numpy() for c in found.column_names}
+
+    def fixpoint(self, w: np.ndarray, pos: np.ndarray, ids: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (word, position, token), ordered, until no word has a pair left."""
+        done = []
+        while len(w):
+            rounds = max(1, ROWS // len(w))
+            if wide:
+                start, sql = pa.table({"w": w, "pos": pos, "id": ids}), CONTRACT_ALL
+            else:
+                after = np.append(ids[1:], -1).astype(np.int32)
+                after[np.append(w[1:] != w[:-1], True)] = -1
+                pos = np.arange(len(w)) - np.repeat(*_starts(w))
+                start, sql = pa.table({"k": (w << 20) | pos, "id": ids, "after": after}), CONTRACT
+            found = self.query(sql, start, rounds)
+            more = found["round"] >= rounds
+            w, pos, ids = found["w"], found["pos"], found["id"]
+            done.append((w[~more], pos[~more], ids[~more]))
+            w, pos, ids = w[more], pos[more], ids[more]
+        w, pos, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.lexsort((pos, w)) if len(done) > 1 else slice(None)
+        return w[order], pos[order], ids[order]
+
+    def contracted(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces one after another, and how many each has."""
+        flat = np.frombuffer(b"".join(pieces), np.uint8)
+        lens = np.array([len(p) for p in pieces], np.int64)
+        piece = np.repeat(np.arange(len(pieces)), lens)
+        begins = np.append(True, ~self.met[flat[:-1], flat[1:]] | (piece[1:] != piece[:-1]))
+        part = np.cumsum(begins) - 1
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, len(flat)))
+        alone = np.flatnonzero(size[part] == 1)
+        kept = [(part[alone], self.single[flat[alone]], alone)]
+        for wide, chosen in ((False, (size > 1) & (size <= WIDE)), (True, size > WIDE)):
+            own, rows = np.flatnonzero(chosen), np.flatnonzero(chosen[part])
+            ends = np.cumsum(size[own])
+            for a, b in _batches(ends, BATCH):
+                at = rows[ends[a] - size[own[a]] : ends[b - 1]]
+                w, pos, ids = self.fixpoint(np.repeat(np.arange(b - a), size[own[a:b]]), at - first[part[at]], self.single[flat[at]], wide)
+                kept.append((own[a:b][w], ids, first[own[a:b][w]] + pos))
+        part, ids, place = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((place, part))
+        return ids[order].astype(np.int32), np.bincount(piece[first[part]], minlength=len(pieces))
+
+    def contract(self, pieces: list[bytes]) -> list[list[int]]:
+        """Tokens of each piece, by the recursive queries."""
+        ids, n = self.contracted(pieces)
+        return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+    def learn(self, parts: set[str]) -> None:
+        """Remembers the tokens of parts of texts that are not known yet.  A piece that is a token is that token, before any contraction, as in the library."""
+        own = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in parts}
+        pieces = {p for ps in own.values() for p in ps}
+        known = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
+        new = [p for p in pieces if p not in known]
+        for a, b in _batches(np.cumsum([len(p) for p in new]), 4 * BATCH):
+            ids, n = self.contracted(new[a:b])
+            raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+            known.update(zip(new[a:b], (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
         for c, ps in own.items():
-            self.remembered[c] = np.array([i for p in ps for i in ((self.ranks[p],) if p in self.ranks else known[p])], "<u4").tobytes()
+            self.texts.put(c, known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut = [chunks(t) for t in texts]
-        if len(self.remembered) > REMEMBERED:
-            self.before, self.remembered = self.remembered, {}
-        at = self.remembered
-        new = {c for cs in cut for c in cs if c not in at}
-        for c in [c for c in new if c in self.before]:
-            at[c] = self.before[c]
-            new.discard(c)
-        if new:
+        if new := self.texts.missing(set().union(*cut)):
             self.learn(new)
-        return [np.frombuffer(b"".join(map(at.__getitem__, cs)), "<u4") for cs in cut]
+        at = self.texts.now.__getitem__
+        return [np.frombuffer(b"".join(map(at, cs)), "<u4") for cs in cut]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of tokens; an id that is not in the vocabulary adds none."""
         lens = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids).astype(np.int32) if len(ids) else np.empty(0, np.int32)
-        d = np.repeat(np.arange(len(ids), dtype=np.int32), lens)
-        self.db.register("tokens", pa.table({"d": d, "pos": np.arange(len(flat)), "id": flat}))
+        if not lens.sum():
+            return [b""] * len(ids)
+        flat = np.concatenate(ids).astype(np.int64)
+        # Tokens are cut before those that begin with a blank: such runs recur.
+        begins = self.leads[np.clip(flat, 0, len(self.leads) - 1)]
+        begins[(np.cumsum(lens) - lens)[lens > 0]] = True
+        first = np.flatnonzero(begins)
+        size = np.diff(np.append(first, len(flat)))
+        pos = np.arange(len(flat)) - np.repeat(first, size)
+        _, one, same = np.unique(np.add.reduceat(mixed(flat.astype(np.uint64) + mixed(pos.astype(np.uint64) + np.uint64(1))), first), return_index=True, return_inverse=True)
+        if (size[one][same] != size).any() or (flat[np.repeat(first[one][same], size) + pos] != flat).any():
+            one = same = np.arange(len(first))  # two runs of one hash: each is decoded by itself
+        own = np.repeat(first[one] - (np.cumsum(size[one]) - size[one]), size[one])
+        runs = flat[own + np.arange(len(own))]
+        long = np.add.reduceat(self.lengths[np.clip(runs, -1, len(self.lengths) - 1)], np.cumsum(size[one]) - size[one])
+        part = np.frombuffer(b"".join(self.joined(runs[a : a + BATCH]) for a in range(0, len(runs), BATCH)), np.uint8)
+        at, n, out = (np.cumsum(long) - long)[same], long[same], []
+        for a, b in _batches(np.cumsum(n), 32 * BATCH):
+            ends = np.cumsum(n[a:b])
+            out.append(part[np.repeat(at[a:b] - ends + n[a:b], n[a:b]) + np.arange(ends[-1])].tobytes())
+        raw = b"".join(out)
+        ends = np.append(0, np.cumsum(n))[np.searchsorted(first, np.cumsum(lens))].tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of a sequence of tokens, by the ordered aggregation over stretches of it."""
+        pos = np.arange(len(ids))
+        self.db.register("tokens", pa.table({"d": pos // STRETCH, "pos": pos, "id": ids}))
         found = self.db.sql(DECODE).to_arrow_table()
         self.db.unregister("tokens")
-        out = [b""] * len(ids)
-        for i, x in zip(found.column("d").to_pylist(), found.column("bytes").to_pylist(), strict=True):
-            out[i] = bytes.fromhex(x)
-        return out
+        return bytes.fromhex("".join(found.column("bytes").to_pylist()))
+
+
+def _starts(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+    return first, np.diff(np.append(first, len(w)))
+
+
+def _batches(ends: np.ndarray, most: int):
+    """Ranges of what ends at these running totals, each of about ``most``, one at least."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def chunks(text: str) -> list[str]:
@@ -204,14 +345,28 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256); ids as little-endian unsigned 32-bit integers."""
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, text, ...) -> (doc_id, ids, decoded): encode() and decode() in one worker, ids as little-endian unsigned
+    32-bit integers.  Nulls, repeated rows and empty tables are treated as there.
+    """
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b, 8 << 20)):
-            ids = [np.array(x, "<u4").tobytes() for x in batch.column("ids").to_pylist()]
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            back = [hashlib.sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c = coder(path, pattern)
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+            ids = c.encode(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
 
-    return decoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def little_endian(ids: Column) -> Column:
+    """An array of ids as the bytes of little-endian unsigned 32-bit integers."""
+    turned = lambda i: F.shiftleft(i.bitwiseAND(255), 24).bitwiseOR(F.shiftleft(F.shiftright(i, 8).bitwiseAND(255), 16)).bitwiseOR(F.shiftleft(F.shiftright(i, 16).bitwiseAND(255), 8)).bitwiseOR(F.shiftright(i, 24).bitwiseAND(255))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(turned(i.cast("long"))), 8, "0")), ""))
+
+
+def digests(decoded: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what decode() or round_trip() gives."""
+    ids = F.col("ids") if decoded.schema["ids"].dataType.typeName() == "binary" else little_endian(F.col("ids"))
+    out = decoded.select("doc_id", ids.alias("ids"), "decoded")
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

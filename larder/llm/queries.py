@@ -55,7 +55,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(load(spark, sf_dir, "documents"), *file), *file))
+    return byte_bpe.digests(byte_bpe.round_trip(load(spark, sf_dir, "documents"), *file))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

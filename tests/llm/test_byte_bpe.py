@@ -54,3 +54,33 @@ def test_over_a_table(table):
     ids = LIBRARY.encode_ordinary(rows[-1][1])
     assert d[5].n_tokens == len(ids) and d[5].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and d[5].decoded_sha256 == hashlib.sha256(rows[-1][1].encode()).hexdigest()
     assert bb.encode(table([]), PATH, PATTERN).count() == 0
+
+
+def test_long_pieces_take_bounded_rows(tmp_path, monkeypatch):
+    tmp_path.chmod(0o500)
+    monkeypatch.chdir(tmp_path)  # nothing may be written to the folder of the worker
+    c = bb.Coder(PATH, PATTERN)
+    r = np.random.default_rng(1)
+    texts = ["".join(map(chr, r.integers(0x4E00, 0x9FA5, 90))) for _ in range(3000)]
+    texts += ["".join(r.choice(list("abcXYZ019+/"), 3000)) for _ in range(3)] + ["etaoin" * 300, "=" * 5000, "ab" * 900 + "ba" * 900]
+    assert [x.tolist() for x in c.encode(texts)] == [LIBRARY.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(bb, "ROWS", 500)  # queries of a few rounds each
+    pieces = [t.encode() for t in texts[-6:]] + [b"antidisestablishmentarianism" * 2, b"a"]
+    assert c.contract(pieces) == [c.from_heap(p) for p in pieces]
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_decoding_any_ids():
+    c = bb.coder(PATH, PATTERN)
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        ids = [r.integers(-3, 50_300, r.integers(0, 400)) for _ in range(r.integers(0, 5))]
+        back = {i: b for b, i in RANKS.items()}
+        assert c.decode(ids) == [b"".join(back.get(int(i), b"") for i in x) for x in ids]
+
+
+def test_both_ways_in_one_worker(table):
+    rows = [(1, None), (2, ""), (3, "Hello  world\n\nagain"), (3, "twice"), (None, "no id")]
+    two = bb.digests(bb.decode(bb.encode(table(rows), PATH, PATTERN), PATH, PATTERN)).collect()
+    assert sorted(map(str, bb.digests(bb.round_trip(table(rows), PATH, PATTERN)).collect())) == sorted(map(str, two))
+    assert bb.digests(bb.round_trip(table([]), PATH, PATTERN)).count() == 0
