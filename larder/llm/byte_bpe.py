@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import slices, texts
+from larder.llm.common import Remembered, slices, texts
 from larder.llm.ngram_jaccard import mixed
 
 #: White space as the pattern's \s has it.
@@ -33,11 +33,6 @@ MEMORY = "250MB"
 BATCH, ROWS = 200_000, 2_000_000
 #: Bytes of a part from which on all places of its least pair are contracted at once.
 WIDE = 64
-#: Bytes of a generation's keys and values.  What the one before has is taken over when it is seen again, so frequent parts stay known.
-REMEMBERED = 56 << 20
-#: What an entry takes beside them, about.
-ENTRY = 180
-
 #: k is the word's number and, in its low 20 bits, the position; a contraction drops the left token, puts the new one in
 #: place of the right, and moves what stands before it one to the right, so positions stay next to each other.
 CONTRACT = """
@@ -81,28 +76,6 @@ STRETCH = 256
 DECODE = "SELECT d, string_agg(hex, '' ORDER BY pos) AS bytes FROM tokens JOIN vocabulary USING (id) GROUP BY d ORDER BY d"
 
 
-class Remembered:
-    """Two generations of what a worker has worked out, bounded by bytes."""
-
-    def __init__(self):
-        self.now: dict = {}
-        self.before: dict = {}
-        self.held = 0
-
-    def missing(self, keys: set) -> set:
-        """Those of keys that neither generation knows; the others are in ``now`` then."""
-        if self.held > REMEMBERED:
-            self.before, self.now, self.held = self.now, {}, 0
-        new = keys.difference(self.now)
-        for k in new.intersection(self.before):
-            self.put(k, self.before[k])
-        return new.difference(self.now)
-
-    def put(self, key, value: bytes) -> None:
-        self.now[key] = value
-        self.held += len(key) + len(value) + ENTRY
-
-
 class Coder:
     def __init__(self, path: str, pattern: str):
         self.pattern = regex.compile(pattern)
@@ -215,25 +188,20 @@ class Coder:
         ids, n = self.contracted(pieces)
         return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
-    def learn(self, parts: set[str]) -> None:
-        """Remembers the tokens of parts of texts that are not known yet.  A piece that is a token is that token, before any contraction, as in the library."""
-        own = {c: [p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in parts}
-        pieces = {p for ps in own.values() for p in ps}
+    def learn(self, parts: list[str]) -> list[bytes]:
+        """The tokens of parts of texts.  A piece that is a token is that token, before any contraction, as in the library."""
+        own = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in parts]
+        pieces = {p for ps in own for p in ps}
         known = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
         new = [p for p in pieces if p not in known]
         for a, b in _batches(np.cumsum([len(p) for p in new]), 4 * BATCH):
             ids, n = self.contracted(new[a:b])
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
             known.update(zip(new[a:b], (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
-        for c, ps in own.items():
-            self.texts.put(c, known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)))
+        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in own]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [chunks(t) for t in texts]
-        if new := self.texts.missing(set().union(*cut)):
-            self.learn(new)
-        at = self.texts.now.__getitem__
-        return [np.frombuffer(b"".join(map(at, cs)), "<u4") for cs in cut]
+        return [np.frombuffer(x, "<u4") for x in self.texts.joined([chunks(t) for t in texts], self.learn)]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of tokens; an id that is not in the vocabulary adds none."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 16 << 20
+#: Bytes of a generation's keys and values.  What the one before has is taken over when it is seen again, so frequent parts stay known.
+REMEMBERED = 56 << 20
+#: What an entry takes beside them, about.
+ENTRY = 180
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -91,6 +95,36 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object,
         yield now, held
 
 
+class Remembered:
+    """Two generations of what a worker has worked out, bounded by bytes."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
+        self.now: dict = {}
+        self.before: dict = {}
+        self.held = 0
+
+    def joined(self, sequences: list[list], learn: Callable[[list], list[bytes]]) -> list[bytes]:
+        """The values of each sequence of keys, put together; ``learn`` gives those of keys that neither generation knows."""
+        if self.held > self.most:
+            self.before, self.now, self.held = self.now, {}, 0
+        found = [list(map(self.now.get, keys)) for keys in sequences]
+        gaps = [[i for i, x in enumerate(values) if x is None] for values in found]
+        new = {keys[i] for keys, own in zip(sequences, gaps, strict=True) for i in own}
+        known = list(new.intersection(self.before))
+        self.put(known, list(map(self.before.__getitem__, known)))
+        if new := list(new.difference(known)):
+            self.put(new, learn(new))
+        for keys, values, own in zip(sequences, found, gaps, strict=True):
+            for i in own:
+                values[i] = self.now[keys[i]]
+        return [b"".join(values) for values in found]
+
+    def put(self, keys: list, values: list[bytes]) -> None:
+        self.now.update(zip(keys, values, strict=True))
+        self.held += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to, for each node of an edge between two nodes.
 

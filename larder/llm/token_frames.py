@@ -12,6 +12,7 @@ into place when it is whole, so that a repeated task leaves one whole file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 
@@ -23,19 +24,29 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import new_path, partitions, slices, texts
+from larder.llm.common import Remembered, new_path, partitions, slices, texts
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
-#: Words of a generation.  A word of the one before is taken over when it is seen again, so frequent ones stay known.
-REMEMBERED = 200_000
+#: Marks that may close a word; the apostrophe may begin a part of its own.
+MARKS = ".,;:!?()*#$%&|<>-"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of a generation of words.
+WORDS = 80 << 20
 NULL_ID = -(1 << 63)
 
 
 class Encoder:
-    """The tokens of texts by a tokenizer that never looks across ASCII white space, so that words are encoded once."""
+    """The tokens of texts by a tokenizer that never looks across ASCII white space, so that words are encoded once.
+
+    New words go to the library many at a time, as one text.  Where the tokenizer marks the ends of what it splits texts
+    into, words of letters are joined by spaces and told apart by these ends; if there are more or fewer ends than words, or
+    for other words, a special token stands between them, at which the library cuts texts before anything else.  Words that
+    hold a special token go alone.  Where the tokenizer splits closing marks off and writes ASCII in lower case, as it says of
+    itself, they are put together from what is known of the word and the marks.
+    """
 
     def __init__(self, path: str):
         # A task has one core; threads of the library's own would only wait for each other.
@@ -43,27 +54,70 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.remembered: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, as they stand in the files."""
-        words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.remembered) > REMEMBERED:
-            self.before, self.remembered = self.remembered, {}
-        at = self.remembered
-        new = []
-        for w in {w for ws in words for w in ws if w not in at}:
-            if w in self.before:
-                at[w] = self.before[w]
+        self.words = Remembered(WORDS)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = re.compile("|".join(re.escape(x.content) for x in added.values()) or "(?!)")
+        self.between = next(((i, x.content) for i, x in added.items() if x.special and not (x.normalized or x.lstrip or x.rstrip or x.single_word)), None)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
+
+        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str("az" + MARKS)
+        #: Whether marks are split off the letters before them, and whether ASCII letters are written in lower case.
+        self.apart = bool(split) and [x for _, x in split] == [(0, 2), (2, 2 + len(MARKS))] and self.last.any()
+        self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(UPPER) == UPPER.lower()
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        cores, rest = [], []
+        for i, w in enumerate(words):
+            core = w.rstrip(MARKS) if self.apart else w
+            if self.between is not None and core.isalpha():
+                cores.append((i, core.lower() if self.folds and core.isascii() else core, w[len(core) :]))
             else:
-                new.append(w)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                at[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(at.__getitem__, ws)) for ws in words]
+                rest.append(i)
+        at = self.words.now
+        new = [c for c in {c for _, c, _ in cores} if c.encode() not in at]
+        text = " ".join(new)
+        ids = self.ids(text)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(new) and (not new or ends[-1] == len(ids)) and not self.special.search(text):
+            own: list[bytes] = [b""] * len(new)
+            self.place(own, range(len(new)), ids, np.append(0, ends[:-1]), ends)
+            known = dict(zip(new, own, strict=True))
+            for i, c, tail in cores:
+                if tail not in self.tails:
+                    self.tails[tail] = self.ids(tail).tobytes()
+                out[i] = (known.get(c) or at[c.encode()]) + self.tails[tail]
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.words.put([c.encode() for c in new], own)
+        else:
+            rest += [i for i, _, _ in cores]
+        for i in [i for i in rest if self.between is None or self.special.search(words[i])]:
+            out[i] = self.ids(words[i]).tobytes()
+        rest = [i for i in rest if out[i] is None]
+        if rest:
+            ids = self.ids(self.between[1].join([words[i] for i in rest]))
+            ends = np.flatnonzero(ids == self.between[0])
+            self.place(out, rest, ids, np.append(0, ends + 1), np.append(ends, len(ids)))
+        return out
+
+    @staticmethod
+    def place(out: list, which: list[int], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        for i, a, b in zip(which, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            out[i] = raw[a:b]
+
+    def encode(self, texts: list[str | bytes]) -> list[bytes]:
+        """Each text's ids, as they stand in the files; a text may be given as its UTF-8."""
+        words = [(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in texts]
+        return self.words.joined(words, lambda new: [ids for i in range(0, len(new), 10_000) for ids in self.learn([w.decode("utf-8", "surrogatepass") for w in new[i : i + 10_000]])])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,26 +188,32 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     def run(batches):
         from pyspark import TaskContext
 
-        own = writer = None
+        own = stream = None
         tokens, end = 0, struct.pack("<I", end_id)
-        for batch in (s for b in batches for s in slices(b, 8 << 20)):
+        store, base = fs.FileSystem.from_uri(folder)
+        part = TaskContext.get().partitionId()
+        try:
+            for batch in (s for b in batches for s in slices(b, 8 << 20)):
+                if own is None:
+                    encoder = _ENCODERS[tokenizer] = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
+                    own = f"{base}/.{part}-{uuid.uuid4().hex}"
+                    stream = store.open_output_stream(own)
+                    writer = Writer(stream)
+                for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                    writer.add(i, ids + end)
+                    tokens += len(ids) // 4 + 1
             if own is None:
-                encoder = _ENCODERS.setdefault(tokenizer, None) or Encoder(tokenizer)
-                _ENCODERS[tokenizer] = encoder
-                store, base = fs.FileSystem.from_uri(folder)
-                part = TaskContext.get().partitionId()
-                own = f"{base}/.{part}-{uuid.uuid4().hex}"
-                stream = store.open_output_stream(own)
-                writer = Writer(stream)
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
-                writer.add(i, ids + end)
-                tokens += len(ids) // 4 + 1
-        if own is not None:
+                return
             writer.finish()
             stream.close()
             name = f"part-{part:05d}.zst"
             store.move(own, f"{base}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(writer.ids)], pa.int64()), pa.array([tokens], pa.int64())], ["file", "part", "docs", "tokens"])
+        except BaseException:  # a task that fails or is stopped leaves nothing behind; its repetition writes a file of its own
+            if stream is not None:
+                stream.close()
+                store.delete_file(own)
+            raise
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(writer.ids)], pa.int64()), pa.array([tokens], pa.int64())], ["file", "part", "docs", "tokens"])
 
     path = new_path(spark, "manifest")
     ordered.mapInArrow(run, "file string, part int, docs long, tokens long").write.parquet(path)

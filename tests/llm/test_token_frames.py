@@ -77,3 +77,12 @@ def reader_bytes(data):
 def test_empty(spark, table):
     folder = new_path(spark, "tokens")
     assert tf.read(tf.write(table([]), PATH, 1, folder), folder).count() == 0
+
+
+def test_special_strings_as_an_untouched_library():
+    own = Tokenizer.from_file(PATH)
+    r = random.Random(5)
+    parts = ["hello", "<|startoftext|>", "<|endoftext|>", "<|", "|>", "a<|endoftext|>b", " ", "\n", "World's", "<|STARTOFTEXT|>", "e", "́", "Å", "\x1c", "\x85"]
+    texts = ["hello <|startoftext|> world", "<|endoftext|>", *("".join(r.choices(parts, k=r.randint(0, 12))) for _ in range(500))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tf.Encoder(PATH).encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(tf.Encoder(PATH).encode(texts)[0], "<u4").tolist() == [3306, 49406, 1002]
