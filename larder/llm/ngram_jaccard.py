@@ -10,8 +10,10 @@ tokens.  Three orders are used:
 Order 1 finds candidates by one shuffle of prefix tokens.  Documents of equal sets are one representative beforehand.
 Tokens of at most ``BUCKET`` representatives give pairs, which the positional bound prunes; more frequent ones only tie
 their documents to the smallest of them.  The clusters of these ties are compared in blocks of bounded size, cut by set
-size and hash, where a pair must pass orders 2 and 3 before its exact intersection is counted.  A block emits a spanning
-forest of its links, so no group's pairs are ever written out, and no link is lost.
+size and hash.  There a pair must share prefix tokens under all three orders before its exact intersection is counted.  A
+block emits a spanning forest of its links, so no group's pairs are ever written out, and no link is lost.
+
+Rows that share a doc_id are one node, but each text of it is a member of its own, placed by the size of its own set.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ CELLS = 1 << 22
 BUCKET = 128
 #: A block's rows are about this many documents or tokens.
 BLOCK_DOCS, BLOCK_TOKENS = 512, 400_000
-#: More members than this are joined by a shuffle, not by a broadcast (24 bytes each).
+#: Members are sent to the texts up to this many of them and of their places in blocks together; beyond it both are shuffled.
 BROADCAST_ROWS = 400_000
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 ORDERS = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
@@ -66,6 +68,11 @@ def shingles(text: str, k: int, words: Words) -> np.ndarray:
     return np.unique(out)
 
 
+def rarest_first(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order 1 of tokens: by their rank in the sketch, then by hash."""
+    return (rank[s % CELLS].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
+
+
 def prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -126,7 +133,7 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
                 p = prefix(len(s), percent)
                 ids.append(i)
                 ns.append(len(s))
-                key = (rank.value[s % CELLS].astype(np.uint64) << np.uint64(59)) | (s >> np.uint64(5))
+                key = rarest_first(s, rank.value)
                 first = np.argsort(key, kind="stable")[:p]
                 lasts.append(int(key[first[-1]]))
                 tokens.append(s[first].view(np.int64))
@@ -134,14 +141,13 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
 
     # A row for each document is joined with the representatives; only what stays becomes a row for each token.
     rows = docs.mapInArrow(first_tokens, "doc long, n long, last long, tokens array<long>")
-    rows = rows.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
+    rows = cut(rows.join(reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"))
     rows = rows.select("doc", "n", "last", F.posexplode("tokens").alias("at", "token")).withColumn("at", F.col("at") + 1)
     shared = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("doc").alias("pivot")).where("k > 1")
     rows = cut(rows.join(shared, "token"))
     hot = rows.where(F.col("k") > bucket)
     ties = hot.where("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
     allowed = hot.groupBy("doc").agg(F.count("*").alias("hot"))
-    size = reps.groupBy(F.col("rep").alias("doc")).agg(F.max("n").alias("n"))
     cold = rows.where(F.col("k") <= bucket).select("token", "doc", "at", "n", "last").join(allowed, "doc", "left").na.fill(0, ["hot"])
     x, y = (cold.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "at", "n", "last", "hot"))) for s in "xy")
     pairs = x.join(y, "token").where(f"doc_x < doc_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
@@ -154,13 +160,19 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
     pairs = pairs.where(f"({n} - ({n} - ceil({percent} * {n} / 100) + 1) + {shared_most}) * {100 + percent} >= {percent} * (n_x + n_y)")
     cluster = components(ties.union(pairs.select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))))
 
-    links = compare(docs, cut(cluster.join(size.withColumnRenamed("doc", "node"), "node")), k, percent, block_docs, broadcast_rows)
-    component = components(links)
-    rep = own.join(reps.select("sig", "rep"), "sig", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    # Of one id, each size of a set is a member; texts of equal size share its place.
+    sizes = reps.select(F.col("rep").alias("node"), "n").distinct()
+    links = compare(docs, cut(cluster.join(sizes, "node")), rank, k, percent, block_docs, broadcast_rows)
+    rep = cut(own.join(reps.select("sig", "rep"), "sig", "left"))
+    # An id whose texts have different representatives ties these together.
+    mixed_ids = rep.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
+    several = rep.join(mixed_ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+    component = components(links.union(several))
+    rep = rep.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return rep.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
-def compare(docs: DataFrame, members: DataFrame, k: int, percent: int, block_docs: int, broadcast_rows: int) -> DataFrame:
+def compare(docs: DataFrame, members: DataFrame, rank, k: int, percent: int, block_docs: int, broadcast_rows: int) -> DataFrame:
     """Links (a, b) that join what is similar within each cluster of members(node, component, n): a spanning forest of each block."""
     spark = docs.sparkSession
     band = F.floor(F.log("n") / (1.005 * float(np.log(100 / percent)))).cast("int") if percent < 100 else F.col("n").cast("int")
@@ -172,7 +184,7 @@ def compare(docs: DataFrame, members: DataFrame, k: int, percent: int, block_doc
     below = sizes.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("parts_below"))
     small = whole.where((F.col("all") <= block_docs) & (F.col("tokens") <= BLOCK_TOKENS)).select("component", F.lit(True).alias("one"))
     m = members.join(small, "component", "left").join(sizes, ["component", "band"]).join(above, ["component", "band"], "left").join(below, ["component", "band"], "left")
-    m = m.na.fill(0, ["parts_above", "parts_below"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    m = m.na.fill(0, ["parts_above", "parts_below"]).withColumn("part", F.pmod(F.xxhash64("node", "n"), F.col("parts")).cast("int"))
     # Blocks: parts i <= j of a band, and each part with each of the next band.  side 0 and 1 are compared with each other, 2 within.
     within = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.col("band").alias("d"), F.least(j, "part").alias("i"), F.greatest(j, "part").alias("j"), F.lit(0).alias("step"), F.when(j == F.col("part"), 2).when(F.col("part") < j, 0).otherwise(1).alias("side")))
     up = F.when(F.col("parts_above") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("parts_above") - 1, F.lit(0))), lambda j: F.struct(F.col("band").alias("d"), F.col("part").alias("i"), j.alias("j"), F.lit(1).alias("step"), F.lit(0).alias("side"))))
@@ -181,10 +193,11 @@ def compare(docs: DataFrame, members: DataFrame, k: int, percent: int, block_doc
     none = F.slice(only, 1, 0)
     places = F.when(F.col("one"), only).otherwise(F.concat(within, F.coalesce(up, none), F.coalesce(down, none)))
     places = F.transform(places, lambda p: F.struct(F.xxhash64("component", p.d, p.i, p.j, p.step).alias("block"), p.side.alias("side")))
-    m = cut(m.select(F.col("node").alias("doc_id"), places.alias("places")))
-    if m.count() <= broadcast_rows:
+    m = cut(m.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("n", places.alias("at"))).alias("places")))
+    weight = m.agg(F.count("*") + F.coalesce(F.sum(F.aggregate("places", F.lit(0), lambda total, x: total + F.size(x.at))), F.lit(0))).first()[0]
+    if weight <= broadcast_rows:
         m = F.broadcast(m)
-    # A repeated id brings its text once for each row; equal ids are one node, so repeats do no harm.
+    # A repeated text comes once for each row; equal ids are one node, so repeats do no harm.
     placed = docs.join(m, "doc_id")
 
     def tokens(batches):
@@ -192,14 +205,15 @@ def compare(docs: DataFrame, members: DataFrame, k: int, percent: int, block_doc
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
             out = []
             for i, t, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                s = shingles(t, k, words).tobytes()
-                out += [(p["block"], p["side"], i, s) for p in places]
+                s = shingles(t, k, words)
+                raw = s.tobytes()
+                out += [(p["block"], p["side"], i, raw) for own in places if own["n"] == len(s) for p in own["at"]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "side", "doc", "tokens"])
 
     def linked(batches):
         for _, rows in runs((s for b in batches for s in slices(b, 8 << 20)), "block"):
-            if out := forest(rows["side"], rows["doc"], [np.frombuffer(x, np.uint64) for x in rows["tokens"]], percent):
+            if out := forest(rows["side"], rows["doc"], [np.frombuffer(x, np.uint64) for x in rows["tokens"]], percent, rank.value):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     placed = placed.select("doc_id", "text", "places").mapInArrow(tokens, "block long, side int, doc long, tokens binary")
@@ -225,7 +239,7 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return total
 
 
-def forest(side: list[int], ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def forest(side: list[int], ids: list[int], sets: list[np.ndarray], percent: int, rank: np.ndarray) -> list[tuple[int, int]]:
     side, n = np.array(side), np.array([len(s) for s in sets])
     left = np.flatnonzero(side != 1)
     right = left if (side == 2).all() else np.flatnonzero(side == 1)
@@ -235,13 +249,13 @@ def forest(side: list[int], ids: list[int], sets: list[np.ndarray], percent: int
     ok = 100 * small >= percent * large
     if left is right:
         ok &= np.triu(np.ones_like(ok), 1)
-    for mult in ORDERS:  # a shared token in the prefix under this order too
+    for order in (lambda s: rarest_first(s, rank), *(lambda s, m=m: mixed(s * m) for m in ORDERS)):  # a shared token in the prefix under each order
         if not ok.any():
             return []
         firsts = []
         for s in sets:
             p = prefix(len(s), percent)
-            key = mixed(s * mult)
+            key = order(s)
             firsts.append(s[np.argpartition(key, p - 1)[:p]] if p < len(s) else s)
         ok &= overlaps(firsts, left, right) > 0
     if not ok.any():

@@ -45,3 +45,13 @@ def test_edges(table):
     assert got(nj.link_clusters(table([(1, "a b c")] * 2))) == [(1, 1, 1)] * 2
     assert nj.link_clusters(table([])).count() == 0
     assert sorted(map(tuple, nj.link_clusters(table([(None, "a b c"), (3, "a b c")])).collect()), key=str) == [(3, 1, 3), (None, 1, None)]
+
+
+def test_an_id_of_several_texts(table, near):
+    a, b = " ".join(f"a{i}" for i in range(100)), " ".join(f"b{i}" for i in range(1000))
+    rows = [(1, a), (1, b), (2, a + " x"), *((10 + i, f"{a} y{i}") for i in range(12)), (40, b + " z"), (50, "c d e f"), (51, "c d e f"), (51, b)]
+    for options in ({}, {"block_docs": 3}, {"block_docs": 3, "bucket": 2, "broadcast_rows": 0}):
+        assert got(nj.link_clusters(table(rows), **options)) == brute(rows)
+    rows = [(i % 90, t) for i, t in near(200, seed=11)]
+    for options in ({}, {"block_docs": 4, "bucket": 3}):
+        assert got(nj.link_clusters(table(rows), **options)) == brute(rows)
