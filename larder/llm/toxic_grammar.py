@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text's words become symbols: insult, threat, target, negation, reported speech, end of a clause, anything else.  Four
-transducers are composed into one machine over these symbols: each passes its input on, marked with what it knows about the
-clause so far.  What comes out at an insult or a threat is a matched clause pattern, such as "insult, directed, not negated,
-not reported".  A document's score is the logistic of the weights of its patterns, which start from the grammar's own weights
-and are fitted to the learning labels.
+A text's words become symbols: insult, threat, target, negation, reported speech, the halves of insults and threats of
+several words, end of a clause, anything else.  Transducers are composed into one machine over these symbols.  That of
+insults makes one of "waste ... space", that of threats one of "will ... hurt"; those of targets, negation and reported
+speech pass their input on, marked with what they know about the clause so far.  That of targets also reads the clause from
+its end, for "idiots like you".  What comes out at an insult or a threat is a matched clause pattern, such as "insult,
+directed, not negated, not reported".  A document's score is the logistic of the weights of its patterns, which start from
+the grammar's own weights and are fitted to the learning labels; by its own weights no bare word makes a document toxic.
 
 The lexicon grows by what the learning labels show, in any language: words and stems that toxic documents hold more often
 than clean ones, by smoothed log-odds.  The surest of them are arcs of an insult; the others weigh by how far their number
@@ -27,17 +29,22 @@ from larder.llm.common import cut, remainder, slices, texts
 # The lexicon, by symbol.
 LEXICON = {
     "I": "idiot moron loser scum trash clown stupid worthless disgusting pathetic imbecile dumb dumbass bastard asshole bitch retard filth vermin scumbag dirtbag jerk fool idiotic moronic dummkopf trottel arschloch abschaum wertlos dreckig idiote imbécile crétin connard salaud minable ordure imbécil estúpido inútil basura gilipollas cabrón asqueroso",
-    "T": "kill murder strangle stab shoot hang töten umbringen erschießen tuer étrangler matar apuñalar",
+    "T": "kill murder strangle stab shoot töten umbringen erschießen tuer étrangler matar apuñalar",
     "Y": "you your you're u he she they him her them his their these those people guys everyone du dich dir ihr euch sie tu te toi vous ils elles tú usted ustedes vosotros ellos ellas",
     "N": "not never no isn't aren't wasn't don't doesn't didn't won't can't nobody neither nor without nicht nie kein keine pas jamais aucun aucune nunca jamás ningún ninguna",
     "R": "said says say saying wrote writes claimed claims quoted quote quotes reported called calls according sagte schrieb behauptete dit écrit déclaré dijo escribió según",
+    "H": "piece waste sack bag pile stück haufen morceau tas pedazo montón",
+    "D": "shit crap garbage dirt dung rubbish space oxygen dreck müll scheiße merde mierda",
+    "M": "will shall must should gonna going want wants i'll we'll they'll he'll she'll werde werden wirst vais va voy vamos",
+    "V": "hurt beat destroy smash burn bury crush hunt hang break verprügeln verbrennen frapper brûler golpear quemar",
 }
 SYMBOL = {w: s for s, words in LEXICON.items() for w in words.split()}
-#: How many words a target or a negation reaches on.
-REACH = {"Y": 6, "N": 3}
+#: How many words a target, a negation or the first half of an insult or a threat reaches on.
+REACH = {"Y": 6, "N": 3, "H": 3, "M": 4}
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.;!?\n]")
 #: The grammar's own weights in logits: what the fit starts from and is drawn back to.
-OWN = {"none": -2.5, "I": 4.0, "T": 1.5, "directed": 1.0, "negated": -1.5, "reported": -1.0, "again": 1.0, "excess": 0.3}
+OWN = {"none": -2.5, "I": 3.0, "T": 1.5, "directed": 1.5, "negated": -1.5, "reported": -1.0, "again": 1.0, "excess": 0.3}
+#: A feature counts a pattern up to this many times.
 MOST = 3
 MAX_PATTERNS = 20_000
 #: Lengths of a stem in characters; a learned word is its characters and END.
@@ -66,9 +73,24 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
+def halves(first: str, second: str, kind: str) -> Transducer:
+    """A symbol of the first kind and one of the second, at most REACH[first] words on in one clause, make one of ``kind``; alone they are anything else."""
+
+    def step(left, x):
+        if x[0] == "E":
+            return 0, x
+        if x[0] == first:
+            return REACH[first], ("O",)
+        if x[0] == second:
+            return max(0, left - 1), (kind if left else "O",)
+        return max(0, left - 1), x
+
+    return Transducer(0, step)
+
+
 def harm() -> Transducer:
-    """Insults and threats pass as what they are; every other symbol keeps its kind."""
-    return Transducer(0, lambda state, x: (state, x))
+    """Insults and threats, of one word or of several."""
+    return halves("H", "D", "I").then(halves("M", "V", "T"))
 
 
 def within_reach(kind: str, mark: str) -> Transducer:
@@ -117,11 +139,13 @@ def tables(t: Transducer) -> tuple[list[dict[str, int]], list[dict[str, int]]]:
     return step, out
 
 
+#: A pattern's number when its target follows.
+TOWARDS = [PATTERNS.index((k, "directed", *(m for m in marks if m != "directed"))) for k, *marks in PATTERNS]
 STEP, OUT = tables(harm().then(within_reach("Y", "directed")).then(within_reach("N", "negated")).then(in_clause("R", "reported")))
 
 
 def lexical(w: str) -> str | None:
-    return SYMBOL.get(w) or (SYMBOL.get(w[:-1]) if w[-1] == "s" else None) or ("E" if w in ".;!?\n" else None)
+    return SYMBOL.get(w) or ("I" if w[-1] == "s" and SYMBOL.get(w[:-1]) == "I" else None) or ("E" if w in ".;!?\n" else None)
 
 
 def stems(w: str) -> list[str]:
@@ -155,30 +179,41 @@ def excess(k: int, n: int, rate: float) -> int:
     return min(LEVELS, int(2 * np.sqrt(k * np.log(k / mean) - k + mean))) if k > mean else 0
 
 
-def evidence(text: str, learned: Learned) -> list[int]:
-    """How often each of PATTERNS is matched, up to MOST; then the excess of learned words and of different learned words."""
+def clauses(kinds: list[str]) -> Counter[int]:
+    """How often each of PATTERNS comes out of a sequence of symbols."""
+    out, state = [], 0
+    for at, s in enumerate(kinds):
+        if s in OUT[state]:
+            out.append((at, OUT[state][s]))
+        state = STEP[state][s]
+    seen: Counter[int] = Counter()
+    for at, p in out:
+        ahead = kinds[at + 1 : at + 1 + REACH["Y"]]
+        if "E" in ahead:
+            ahead = ahead[: ahead.index("E")]
+        seen[TOWARDS[p] if "Y" in ahead else p] += 1
+    return seen
+
+
+def evidence(text: str, learned: Learned) -> tuple[list[int], int]:
+    """How often each of PATTERNS is matched, up to MOST, then the excess of learned words and of different learned words; and how many matches there are, of which an excess is one."""
     words = TOKEN.findall(text.lower().replace("’", "'"))
     count = Counter(words)
     kind = {w: learned.symbol(w) for w in count}
     seen: Counter[int] = Counter()
-    if not {"I", "T"}.isdisjoint(kind.values()):  # no other symbol makes the machine put out a pattern
-        state = 0
-        for w in words:
-            s = kind[w] if kind[w] != "S" else "O"
-            if s in OUT[state]:
-                seen[OUT[state][s]] += 1
-            state = STEP[state][s]
+    if not {"I", "T", "D", "V"}.isdisjoint(kind.values()):  # no other symbol makes the machine put out a pattern
+        seen = clauses([kind[w] if kind[w] != "S" else "O" for w in words])
     more = [0, 0]
     if found := [w for w, s in kind.items() if s == "S"]:
         ends = [w for w, s in kind.items() if s == "E"]
         n = (len(words) - sum(count[w] for w in ends), len(count) - len(ends))
         more = [excess(k, m, rate) for k, m, rate in zip((sum(count[w] for w in found), len(found)), n, learned.rates, strict=True)]
-    return [min(MOST, seen[i]) for i in range(len(PATTERNS))] + more
+    return [min(MOST, seen[i]) for i in range(len(PATTERNS))] + more, seen.total() + any(more)
 
 
 def patterns(text: str) -> list[int]:
     """How often each of PATTERNS is matched by the lexicon alone, up to MOST."""
-    return evidence(text, Learned())[: len(PATTERNS)]
+    return evidence(text, Learned())[0][: len(PATTERNS)]
 
 
 def stem_counts(marked: DataFrame, only: set[str] | None = None) -> DataFrame:
@@ -296,9 +331,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: i
 
     def run(batches):
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([evidence(t, learned.value) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], ["doc_id", "x"])
+            x = [evidence(t, learned.value) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([v for v, _ in x], pa.list_(pa.int32())), pa.array([n for _, n in x], pa.int64())], ["doc_id", "x", "matches"])
 
-    found = cut(texts(docs).mapInArrow(run, "doc_id long, x array<int>"))
+    found = cut(texts(docs).mapInArrow(run, "doc_id long, x array<int>, matches long"))
     seen = found.where(remainder(F.col("doc_id"), folds) != fold).join(marks, "doc_id").groupBy("x", "y").count().orderBy(F.desc("count"), "x", "y").limit(max_patterns).toPandas()
     w = fit(np.array(seen["x"].tolist()).reshape(len(seen), wide), seen["y"].to_numpy(float), seen["count"].to_numpy(float)) if len(seen) else own_weights()
     w = spark.sparkContext.broadcast(w)
@@ -306,8 +342,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, fold: i
     def score(batches):
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), int).reshape(batch.num_rows, wide)
-            n = x[:, : len(PATTERNS)].sum(1) + (x[:, len(PATTERNS) :] > 0).any(1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-design(x) @ w.value))), pa.array(n, pa.int64())], ["doc_id", "score", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-design(x) @ w.value))), batch.column("matches")], ["doc_id", "score", "matches"])
 
     out = found.mapInArrow(score, "doc_id long, score double, matches long")
     return out.select("doc_id", (remainder(F.col("doc_id"), folds) == fold).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "matches")

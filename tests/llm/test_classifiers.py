@@ -140,3 +140,21 @@ def test_languages(spark):
     again = {x.doc_id: x for x in li.languages(strange).collect()}
     assert again[5000].rejected == (again[5000].lang_pred == "und")
     assert li.languages(docs.limit(0)).count() == 0
+
+
+def test_clauses_of_several_words_and_both_directions():
+    assert names("idiots like you") == [("I", "directed")]
+    assert names("you are a waste of space") == [("I", "directed")]
+    assert names("there is space for a piece of cake") == []
+    assert names("We will hurt you") == [("T", "directed")]
+    assert names("the burn will heal") == []
+    assert names("We pass idiot idea") == [("I",)]
+    assert names("the idiot. You left") == [("I",)]
+
+
+def test_no_bare_word_is_toxic_by_the_grammar_alone(spark, table):
+    rows = [(1, "The idiot."), (2, "fool"), (3, "He killed the process: kill -9 worker"), (4, "You are a fool"), (5, "idiot " * 9)]
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    out = {x.doc_id: x for x in tg.toxicity(table(rows), labels).collect()}
+    assert [out[i].predicted for i in range(1, 5)] == [0, 0, 0, 1]
+    assert out[5].matches == 9
