@@ -1,13 +1,15 @@
 """Quality rules with robust multivariate outliers.
 
 Base rules are plain limits on a text's counts.  Texts that pass are described by a vector of transformed statistics, and each
-(language, source) gets a minimum-covariance-determinant estimate of its centre and scatter: from the median and the median
-absolute deviation, concentration steps go on to the half of the documents that lie nearest.  A document is rejected when
-its Mahalanobis distance from its group is beyond ``LIMIT``.
+(language, source) gets a minimum-covariance-determinant estimate of its centre and scatter: from several starts,
+concentration steps go on to the three quarters of the documents that lie nearest; after two steps the start of the least
+determinant goes on alone, until its determinant falls no more.  A document is rejected when its Mahalanobis distance from
+its group is beyond ``LIMIT``.
 
 Documents are never gathered: a step sums counts, vectors and products over bins of the distance, which is a fixed number of
-rows a group, and only these go to the step's numpy.  Groups of fewer than ``MIN_GROUP`` documents use their language's
-estimate, and small languages that of all documents.
+rows a group, and only these go to the step's numpy.  Estimates are a few numbers a group; they are sent to the documents up to
+a counted number of groups.  A scatter of six statistics has 21 entries, which fewer than ``MIN_GROUP`` documents
+don't settle; such groups use their language's estimate, and small languages that of all documents.
 """
 
 from __future__ import annotations
@@ -24,13 +26,17 @@ from larder.llm.common import BLANKS, cut, slices, texts
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 0.5
-#: Share of a group that a concentration step goes on with, and how many steps there are.
-SHARE, STEPS = 0.75, 4
+#: Share of a group that a concentration step goes on with, steps from every start, and how many there are at most from the best.
+SHARE, FIRST_STEPS, STEPS = 0.75, 2, 8
+#: A logarithm of the determinant that falls by less has settled.
+SETTLED = 0.01
+#: Estimates up to this number, of some 400 bytes each, are sent to the documents.
+BROADCAST_ROWS = 50_000
 MIN_GROUP = 100
 #: Distances are in standard deviations of a Gaussian core; text statistics have longer tails, and clean texts must stay.
 LIMIT = 5.0
 #: Bins of the distance, and their width.
-BINS, WIDTH = 256, 0.05
+BINS, WIDTH = 512, 0.025
 FEATURES = ("word_length", "symbols", "repeated_words", "repeated_lines", "capitals", "variety")
 #: No statistic is held to be steadier than this: a group without a single symbol doesn't make one symbol an outlier.
 FLOOR = np.array([0.05, 0.055, 0.13, 0.18, 0.06, 0.08])
@@ -100,8 +106,8 @@ P = len(FEATURES)
 XS = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 MOMENTS = [f"s{i}" for i in range(P)] + [f"s{i}_{j}" for i, j in PAIRS]
-#: An estimate: how many documents, centre, and the lower triangle of the inverse scatter.
-ESTIMATE = "grp string, docs long, centre array<double>, inverse array<double>"
+#: An estimate: from which start, of how many documents, centre, the lower triangle of the inverse scatter, and the logarithm of the scatter's determinant.
+ESTIMATE = "grp string, start int, docs long, centre array<double>, inverse array<double>, det double"
 
 
 def distance2() -> Column:
@@ -113,34 +119,50 @@ def sums() -> list[Column]:
     return [F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(XS)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in PAIRS)]
 
 
-def estimate(grp: str, docs: int, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    inverse = np.linalg.inv(scatter + np.diag(FLOOR**2))
-    return pd.DataFrame({"grp": [grp], "docs": [docs], "centre": [centre.tolist()], "inverse": [[float(inverse[i, j]) for i, j in PAIRS]]})
+def estimate(grp: str, start: int, docs: int, centre: np.ndarray, scatter: np.ndarray) -> dict:
+    whole = scatter + np.diag(FLOOR**2)
+    inverse = np.linalg.inv(whole)
+    return {"grp": grp, "start": start, "docs": docs, "centre": centre.tolist(), "inverse": [float(inverse[i, j]) for i, j in PAIRS], "det": float(np.linalg.slogdet(whole)[1])}
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians, and scatter of the median absolute deviations, from histograms of 1/64 of a unit: a bounded number of rows a group and statistic."""
+def near(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """rows with their group's estimates, which are broadcast up to a counted number of them."""
+    return rows.join(F.broadcast(estimates) if estimates.count() <= BROADCAST_ROWS else estimates, "grp")
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three starts a group, from histograms of 1/64 of a unit, which are a bounded number of rows a group and statistic:
+    medians with the spread of absolute deviations from them, the same spread for all statistics, and the fullest bins with the spread around them."""
     bins = F.array(*(F.floor(F.col(x) * 64).cast("int") for x in XS))
     hist = rows.select("grp", F.posexplode(bins).alias("i", "bin")).groupBy("grp", "i", "bin").count()
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        centre, spread = np.zeros(P), np.zeros(P)
+        centre, spread, mode, around = (np.zeros(P) for _ in range(4))
         for i, own in pdf.groupby("i"):
+            own = own.sort_values("bin")
             at, n = own["bin"].to_numpy() / 64 + 1 / 128, own["count"].to_numpy()
-            order = np.argsort(at)
-            centre[i] = at[order][np.searchsorted(n[order].cumsum(), n.sum() / 2)]
-            away = np.abs(at - centre[i])
-            order = np.argsort(away)
-            spread[i] = 1.4826 * away[order][np.searchsorted(n[order].cumsum(), n.sum() / 2)]
-        return estimate(pdf["grp"].iloc[0], int(pdf["count"].sum()) // P, centre, np.diag(spread**2))
+            centre[i] = at[np.searchsorted(n.cumsum(), n.sum() / 2)]
+            wide = np.array([n[(at > x - 0.05) & (at < x + 0.05)].sum() for x in at])
+            mode[i] = at[wide.argmax()]
+            for middle, out in ((centre, spread), (mode, around)):
+                away = np.abs(at - middle[i])
+                order = np.argsort(away, kind="stable")
+                out[i] = 1.4826 * away[order][np.searchsorted(n[order].cumsum(), n.sum() / 2)]
+        grp, docs = pdf["grp"].iloc[0], int(pdf["count"].sum()) // P
+        return pd.DataFrame([estimate(grp, 0, docs, centre, np.diag(spread**2)), estimate(grp, 1, docs, centre, np.eye(P) * (spread**2).mean()), estimate(grp, 2, docs, mode, np.diag(around**2))])
 
     return hist.groupBy("grp").applyInPandas(of, ESTIMATE)
 
 
+def start(rows: DataFrame) -> DataFrame:
+    """The start from medians alone."""
+    return starts(rows).where("start = 0")
+
+
 def concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
     """One step: the mean and scatter of the SHARE of each group that lies nearest, by whole bins of the distance."""
     bins = F.least(F.floor(F.sqrt(F.greatest(distance2(), F.lit(0.0))) / WIDTH), F.lit(BINS - 1)).cast("int")
-    binned = rows.join(now.drop("docs"), "grp").groupBy("grp", bins.alias("bin")).agg(*sums())
+    binned = near(rows, now.drop("docs", "det")).groupBy("grp", "start", bins.alias("bin")).agg(*sums())
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("bin")
@@ -152,9 +174,26 @@ def concentrate(rows: DataFrame, now: DataFrame) -> DataFrame:
         for i, j in PAIRS:
             scatter[i, j] = scatter[j, i] = total[f"s{i}_{j}"] / total["n"] - centre[i] * centre[j]
         # The nearest three quarters of a Gaussian are narrower than the whole; this factor makes up for it (Croux and Haesbroeck, 1999).
-        return estimate(pdf["grp"].iloc[0], int(n.sum()), centre, scatter * CONSISTENCY)
+        return pd.DataFrame([estimate(pdf["grp"].iloc[0], int(pdf["start"].iloc[0]), int(n.sum()), centre, scatter * CONSISTENCY)])
 
-    return binned.groupBy("grp").applyInPandas(of, ESTIMATE)
+    return binned.groupBy("grp", "start").applyInPandas(of, ESTIMATE)
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """rows(grp, x...) -> the estimate of each group."""
+    now = cut(starts(rows))
+    for _ in range(FIRST_STEPS):
+        now = cut(concentrate(rows, now))
+    best = cut(now.groupBy("grp").agg(F.min_by(F.struct(*now.columns), F.struct("det", "start")).alias("e")).select("e.*"))
+    for _ in range(STEPS):
+        more = cut(concentrate(rows, best))
+        both = best.select("grp", F.struct(*best.columns).alias("old")).join(more.select("grp", F.struct(*more.columns).alias("new")), "grp")
+        fell = F.col("new.det") < F.col("old.det")
+        state = cut(both.select(F.when(fell, F.col("new")).otherwise(F.col("old")).alias("e"), (F.col("new.det") < F.col("old.det") - SETTLED).alias("on")))
+        best = state.select("e.*")
+        if not state.where("on").count():
+            break
+    return best
 
 
 def consistency(share: float, p: int) -> float:
@@ -190,15 +229,16 @@ def judge(docs: DataFrame, limit: float = LIMIT, min_group: int = MIN_GROUP) ->
     passed = found.where("not base_failed").select("lang", "source", *(x.alias(name) for x, name in zip(vector(), XS, strict=True)))
     levels = [key("lang", "source"), F.concat(key("lang"), F.lit("/*")), F.lit("*")]
     rows = cut(passed.select(F.explode(F.array(*levels)).alias("grp"), *XS))
-    now = cut(start(rows))
-    for _ in range(STEPS):
-        now = cut(concentrate(rows, now))
-    large = now.where(F.col("docs") >= min_group)
+    large = cut(least_determinant(rows).where(F.col("docs") >= min_group).select("grp", "centre", "inverse"))
+    few = large.count() <= BROADCAST_ROWS
     out = found.withColumns({name: x for name, x in zip(XS, vector(), strict=True)})
     picked = []
-    for i, level in enumerate(levels):
-        out = out.join(large.select(F.col("grp").alias(f"g{i}"), F.struct("centre", "inverse").alias(f"e{i}")), level == F.col(f"g{i}"), "left")
+    for i, level in enumerate(levels[:2]):
+        own = large.select(F.col("grp").alias(f"g{i}"), F.struct("centre", "inverse").alias(f"e{i}"))
+        out = out.join(F.broadcast(own) if few else own, level == F.col(f"g{i}"), "left")
         picked.append(F.col(f"e{i}"))
+    if everything := large.where("grp = '*'").first():
+        picked.append(F.struct(*(F.array(*map(F.lit, everything[c])).alias(c) for c in ("centre", "inverse"))))
     out = out.withColumn("e", F.coalesce(*picked)).withColumns({"centre": F.col("e.centre"), "inverse": F.col("e.inverse")})
     out = out.withColumn("distance", F.when(~F.col("base_failed"), F.sqrt(F.greatest(distance2(), F.lit(0.0)))))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)

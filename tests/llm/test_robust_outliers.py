@@ -64,3 +64,36 @@ def test_edges(spark):
     out = sorted(((r.doc_id, r.n_words, r.base_failed, r.kept) for r in ro.judge(docs).collect()), key=str)
     assert out == sorted([(1, 0, True, False), (2, 0, True, False), (3, 60, True, False), (3, 60, True, False), (None, 30_000, False, True)], key=str)
     assert ro.judge(docs.limit(0)).count() == 0
+
+
+def test_verdicts_as_numpy_has_them(spark):
+    """The whole verdict against an estimate over all rows of a group: the same starts and steps, without bins."""
+    r = random.Random(5)
+    rows = []
+    for source, n, alphabet in (("a", 300, "etaoin"), ("b", 250, "sRdlu#"), ("c", 20, "etaoin")):
+        vocab = ["".join(r.choices(alphabet, k=r.randint(2, 9))) for _ in range(800)]
+        rows += [(len(rows) + i, ". ".join(" ".join(r.choices(vocab, k=12)) for _ in range(r.randint(6, 40))), "en", source) for i in range(n)]
+    rows += [(900 + i, " ".join(w.upper() for w in t.split()), "en", s) for i, (_, t, _, s) in enumerate(rows[::29])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = ro.statistics(docs).select("doc_id", "source", *(x.alias(n) for x, n in zip(ro.vector(), ro.XS, strict=True))).toPandas()
+    x, far = found[ro.XS].to_numpy(), {}
+    for group, level in ((found.source == "a", "a"), (found.source == "b", "b"), (found.source != "", "c")):
+        own, best = x[group], None
+        mid = np.median(own, 0)
+        mad = 1.4826 * np.median(abs(own - mid), 0)
+        for s in (np.diag(mad**2), np.eye(ro.P) * (mad**2).mean()):
+            c, steps = mid, []
+            for _ in range(10):
+                d = np.einsum("ij,jk,ik->i", own - c, np.linalg.inv(s + np.diag(ro.FLOOR**2)), own - c)
+                h = own[d <= np.quantile(d, ro.SHARE)]
+                c, s = h.mean(0), np.cov(h.T, bias=True) * ro.CONSISTENCY
+                steps.append((np.linalg.slogdet(s + np.diag(ro.FLOOR**2))[1], c, s))
+            best = min([*([best] if best else []), steps[-1]], key=lambda e: e[0])
+        take = found.source == level
+        d = np.sqrt(np.einsum("ij,jk,ik->i", x[take] - best[1], np.linalg.inv(best[2] + np.diag(ro.FLOOR**2)), x[take] - best[1]))
+        far |= dict(zip(found.doc_id[take], d, strict=True))
+    out = {v.doc_id: v for v in ro.judge(docs).collect()}
+    sure = [i for i in out if not out[i].base_failed and abs(far[i] - ro.LIMIT) > 0.5]
+    assert len(sure) > 0.9 * len(out) and {out[i].kept for i in sure} == {True, False}
+    assert all(out[i].kept == (far[i] <= ro.LIMIT) for i in sure)
+    assert np.median([abs(out[i].distance - far[i]) / far[i] for i in sure]) < 0.05
