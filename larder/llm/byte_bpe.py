@@ -23,14 +23,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import Remembered, slices, texts
+from larder.llm.common import Remembered, own, slices, texts
 from larder.llm.ngram_jaccard import mixed
 
 #: White space as the pattern's \s has it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MEMORY = "250MB"
 #: Bytes of a batch of words, and rows of all rounds of a query.
-BATCH, ROWS = 200_000, 2_000_000
+BATCH, ROWS = 100_000, 800_000
 #: Bytes of a part from which on all places of its least pair are contracted at once.
 WIDE = 64
 #: k is the word's number and, in its low 20 bits, the position; a contraction drops the left token, puts the new one in
@@ -173,12 +173,12 @@ class Coder:
         alone = np.flatnonzero(size[part] == 1)
         kept = [(part[alone], self.single[flat[alone]], alone)]
         for wide, chosen in ((False, (size > 1) & (size <= WIDE)), (True, size > WIDE)):
-            own, rows = np.flatnonzero(chosen), np.flatnonzero(chosen[part])
-            ends = np.cumsum(size[own])
+            part_of, rows = np.flatnonzero(chosen), np.flatnonzero(chosen[part])
+            ends = np.cumsum(size[part_of])
             for a, b in _batches(ends, BATCH):
-                at = rows[ends[a] - size[own[a]] : ends[b - 1]]
-                w, pos, ids = self.fixpoint(np.repeat(np.arange(b - a), size[own[a:b]]), at - first[part[at]], self.single[flat[at]], wide)
-                kept.append((own[a:b][w], ids, first[own[a:b][w]] + pos))
+                at = rows[ends[a] - size[part_of[a]] : ends[b - 1]]
+                w, pos, ids = self.fixpoint(np.repeat(np.arange(b - a), size[part_of[a:b]]), at - first[part[at]], self.single[flat[at]], wide)
+                kept.append((part_of[a:b][w], ids, first[part_of[a:b][w]] + pos))
         part, ids, place = (np.concatenate(x) for x in zip(*kept, strict=True))
         order = np.lexsort((place, part))
         return ids[order].astype(np.int32), np.bincount(piece[first[part]], minlength=len(pieces))
@@ -190,15 +190,15 @@ class Coder:
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """The tokens of parts of texts.  A piece that is a token is that token, before any contraction, as in the library."""
-        own = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in parts]
-        pieces = {p for ps in own for p in ps}
+        cut = [[p.encode("utf-8", "surrogatepass") for p in self.pattern.findall(c)] for c in parts]
+        pieces = {p for ps in cut for p in ps}
         known = {p: self.ranks[p].to_bytes(4, "little") for p in pieces if p in self.ranks}
         new = [p for p in pieces if p not in known]
         for a, b in _batches(np.cumsum([len(p) for p in new]), 4 * BATCH):
             ids, n = self.contracted(new[a:b])
             raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
             known.update(zip(new[a:b], (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True))
-        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in own]
+        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in cut]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(x, "<u4") for x in self.texts.joined([chunks(t) for t in texts], self.learn)]
@@ -218,8 +218,8 @@ class Coder:
         _, one, same = np.unique(np.add.reduceat(mixed(flat.astype(np.uint64) + mixed(pos.astype(np.uint64) + np.uint64(1))), first), return_index=True, return_inverse=True)
         if (size[one][same] != size).any() or (flat[np.repeat(first[one][same], size) + pos] != flat).any():
             one = same = np.arange(len(first))  # two runs of one hash: each is decoded by itself
-        own = np.repeat(first[one] - (np.cumsum(size[one]) - size[one]), size[one])
-        runs = flat[own + np.arange(len(own))]
+        shift = np.repeat(first[one] - (np.cumsum(size[one]) - size[one]), size[one])
+        runs = flat[shift + np.arange(len(shift))]
         long = np.add.reduceat(self.lengths[np.clip(runs, -1, len(self.lengths) - 1)], np.cumsum(size[one]) - size[one])
         part = np.frombuffer(b"".join(self.joined(runs[a : a + BATCH]) for a in range(0, len(runs), BATCH)), np.uint8)
         at, n, out = (np.cumsum(long) - long)[same], long[same], []
@@ -276,14 +276,9 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-_CODERS: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
     """One for a Python worker, which runs one task at a time."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = Coder(path, pattern)
-    return _CODERS[path, pattern]
+    return own(("bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -295,7 +290,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, 2 << 20)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in c.encode(batch.column("text").to_pylist())], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -306,7 +301,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, 2 << 20)):
             ids = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -320,7 +315,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, 2 << 20)):
             ids = c.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 BATCH_BYTES = 16 << 20
 #: Bytes of a generation's keys and values.  What the one before has is taken over when it is seen again, so frequent parts stay known.
-REMEMBERED = 56 << 20
+REMEMBERED = 28 << 20
 #: What an entry takes beside them, about.
 ENTRY = 180
 
@@ -72,6 +73,8 @@ def slices(batch: pa.RecordBatch, at_most: int) -> Iterator[pa.RecordBatch]:
     step = max(1, int(n * at_most / max(batch.nbytes, 1)))
     for i in range(0, n, step):
         yield batch.slice(i, step)
+    # Arrow keeps what was freed for later use; a worker beside others gives it back.
+    pa.default_memory_pool().release_unused()
 
 
 def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, dict[str, list]]]:
@@ -125,6 +128,18 @@ class Remembered:
         self.held += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
 
 
+_OWN: dict = {}
+
+
+def own(key, make: Callable[[], object]):
+    """What a Python worker keeps from task to task: one thing, since workers outlive stages; asking for another lets go of it."""
+    if key not in _OWN:
+        _OWN.clear()
+        gc.collect()
+        _OWN[key] = make()
+    return _OWN[key]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to, for each node of an edge between two nodes.
 

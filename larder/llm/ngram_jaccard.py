@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, cut, partitions, runs, slices, texts
+from larder.llm.common import components, cut, own, partitions, runs, slices, texts
 
 #: Cells of the count sketch; a corpus of very many tokens tells common ones better with more.
 CELLS = 1 << 22
@@ -50,6 +50,10 @@ class Words(dict):
         return h
 
 
+def worker_words() -> Words:
+    return own("words", Words)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * A
     return x ^ (x >> np.uint64(29))
@@ -81,7 +85,7 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     """kind 0: (doc_id, n, signature of the set); kind 1: (cell of the sketch, count), summed over a task."""
 
     def run(batches):
-        words, cells = Words(), np.zeros(CELLS, np.int32)
+        words, cells = worker_words(), np.zeros(CELLS, np.int32)
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
             sets = [shingles(t, k, words) for t in batch.column("text").to_pylist()]
             ns = [len(s) for s in sets]
@@ -109,7 +113,7 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
     spark = docs.sparkSession
     docs = texts(docs)
     made = cut(profiles(docs, k))
-    own = made.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "sig")
+    sets = made.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "sig")
     total = made.where("kind = 1 and a = -1").agg(F.sum("n")).first()[0] or 0
     common = max(16, 4 * total // CELLS)
     # There are fewer cells than CELLS / 4 with so many tokens; their ranks are CELLS bytes at every size of the corpus.
@@ -119,11 +123,11 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
         rank[cells.a.to_numpy()] = np.clip(1 + np.log2(cells.n.to_numpy() / common), 0, 15)
     rank = spark.sparkContext.broadcast(rank)
 
-    reps = own.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    reps = sets.where("sig is not null and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     reps = cut(reps)
 
     def first_tokens(batches):
-        words = Words()
+        words = worker_words()
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
             ids, ns, lasts, tokens = [], [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -163,7 +167,7 @@ def link_clusters(docs: DataFrame, k: int = 3, percent: int = 90, bucket: int =
     # Of one id, each size of a set is a member; texts of equal size share its place.
     sizes = reps.select(F.col("rep").alias("node"), "n").distinct()
     links = compare(docs, cut(cluster.join(sizes, "node")), rank, k, percent, block_docs, broadcast_rows)
-    rep = cut(own.join(reps.select("sig", "rep"), "sig", "left"))
+    rep = cut(sets.join(reps.select("sig", "rep"), "sig", "left"))
     # An id whose texts have different representatives ties these together.
     mixed_ids = rep.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most")
     several = rep.join(mixed_ids, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
@@ -201,7 +205,7 @@ def compare(docs: DataFrame, members: DataFrame, rank, k: int, percent: int, blo
     placed = docs.join(m, "doc_id")
 
     def tokens(batches):
-        words = Words()
+        words = worker_words()
         for batch in (s for b in batches for s in slices(b, 8 << 20)):
             out = []
             for i, t, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):

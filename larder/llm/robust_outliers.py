@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import BLANKS, cut, slices, texts
+from larder.llm.common import BLANKS, cut, own, slices, texts
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 0.5
@@ -75,6 +75,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in f"{COUNTS}, {EXTRA}".split(", ")]
 
     def run(batches):
+        own("counts", dict)  # nothing is kept here, and what another operator kept goes
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             found = [counts(t) for t in batch.column("text").to_pylist()]
             cols = [pa.array(x, pa.int64()) for x in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(names)
@@ -138,9 +139,9 @@ def starts(rows: DataFrame) -> DataFrame:
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         centre, spread, mode, around = (np.zeros(P) for _ in range(4))
-        for i, own in pdf.groupby("i"):
-            own = own.sort_values("bin")
-            at, n = own["bin"].to_numpy() / 64 + 1 / 128, own["count"].to_numpy()
+        for i, rows_ in pdf.groupby("i"):
+            rows_ = rows_.sort_values("bin")
+            at, n = rows_["bin"].to_numpy() / 64 + 1 / 128, rows_["count"].to_numpy()
             centre[i] = at[np.searchsorted(n.cumsum(), n.sum() / 2)]
             wide = np.array([n[(at > x - 0.05) & (at < x + 0.05)].sum() for x in at])
             mode[i] = at[wide.argmax()]
@@ -234,8 +235,8 @@ def judge(docs: DataFrame, limit: float = LIMIT, min_group: int = MIN_GROUP) ->
     out = found.withColumns({name: x for name, x in zip(XS, vector(), strict=True)})
     picked = []
     for i, level in enumerate(levels[:2]):
-        own = large.select(F.col("grp").alias(f"g{i}"), F.struct("centre", "inverse").alias(f"e{i}"))
-        out = out.join(F.broadcast(own) if few else own, level == F.col(f"g{i}"), "left")
+        level_own = large.select(F.col("grp").alias(f"g{i}"), F.struct("centre", "inverse").alias(f"e{i}"))
+        out = out.join(F.broadcast(level_own) if few else level_own, level == F.col(f"g{i}"), "left")
         picked.append(F.col(f"e{i}"))
     if everything := large.where("grp = '*'").first():
         picked.append(F.struct(*(F.array(*map(F.lit, everything[c])).alias(c) for c in ("centre", "inverse"))))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import cut, new_path, partitions, runs, slices, texts
-from larder.llm.ngram_jaccard import Words, mixed
+from larder.llm.ngram_jaccard import mixed, worker_words
 
 BITS = 1 << 26
 HOT = 20_000
@@ -54,7 +54,7 @@ def repeated_minimisers(docs: DataFrame, k: int, m: int) -> np.ndarray:
     """A bitmap of BITS bits: those of minimisers that two documents or more have."""
 
     def run(batches):
-        words = Words()
+        words = worker_words()
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             ids, found = [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -109,7 +109,7 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = HOT, bro
     bitmap = spark.sparkContext.broadcast(repeated_minimisers(docs, k, m))
 
     def cut_up(batches):
-        words = Words()
+        words = worker_words()
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             places, strings = [], {}
             for i, own, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "own", "text")), strict=True):

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import Remembered, new_path, partitions, slices, texts
+from larder.llm.common import Remembered, new_path, own, partitions, slices, texts
 
 # Fixed values of the zstd seekable format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -87,16 +87,16 @@ class Encoder:
         ids = self.ids(text)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(new) and (not new or ends[-1] == len(ids)) and not self.special.search(text):
-            own: list[bytes] = [b""] * len(new)
-            self.place(own, range(len(new)), ids, np.append(0, ends[:-1]), ends)
-            known = dict(zip(new, own, strict=True))
+            ids_of: list[bytes] = [b""] * len(new)
+            self.place(ids_of, range(len(new)), ids, np.append(0, ends[:-1]), ends)
+            known = dict(zip(new, ids_of, strict=True))
             for i, c, tail in cores:
                 if tail not in self.tails:
                     self.tails[tail] = self.ids(tail).tobytes()
                 out[i] = (known.get(c) or at[c.encode()]) + self.tails[tail]
             if len(self.tails) > 10_000:
                 self.tails = {"": b""}
-            self.words.put([c.encode() for c in new], own)
+            self.words.put([c.encode() for c in new], ids_of)
         else:
             rest += [i for i, _, _ in cores]
         for i in [i for i in rest if self.between is None or self.special.search(words[i])]:
@@ -120,9 +120,6 @@ class Encoder:
         return self.words.joined(words, lambda new: [ids for i in range(0, len(new), 10_000) for ids in self.learn([w.decode("utf-8", "surrogatepass") for w in new[i : i + 10_000]])])
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 class Writer:
     def __init__(self, out):
         self.out, self.entries, self.ids = out, [], []
@@ -188,30 +185,30 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     def run(batches):
         from pyspark import TaskContext
 
-        own = stream = None
+        mine = stream = None
         tokens, end = 0, struct.pack("<I", end_id)
         store, base = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         try:
             for batch in (s for b in batches for s in slices(b, 8 << 20)):
-                if own is None:
-                    encoder = _ENCODERS[tokenizer] = _ENCODERS.get(tokenizer) or Encoder(tokenizer)
-                    own = f"{base}/.{part}-{uuid.uuid4().hex}"
-                    stream = store.open_output_stream(own)
+                if mine is None:
+                    encoder = own(("frames", tokenizer), lambda: Encoder(tokenizer))
+                    mine = f"{base}/.{part}-{uuid.uuid4().hex}"
+                    stream = store.open_output_stream(mine)
                     writer = Writer(stream)
                 for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
                     writer.add(i, ids + end)
                     tokens += len(ids) // 4 + 1
-            if own is None:
+            if mine is None:
                 return
             writer.finish()
             stream.close()
             name = f"part-{part:05d}.zst"
-            store.move(own, f"{base}/{name}")
+            store.move(mine, f"{base}/{name}")
         except BaseException:  # a task that fails or is stopped leaves nothing behind; its repetition writes a file of its own
             if stream is not None:
                 stream.close()
-                store.delete_file(own)
+                store.delete_file(mine)
             raise
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([len(writer.ids)], pa.int64()), pa.array([tokens], pa.int64())], ["file", "part", "docs", "tokens"])
 
