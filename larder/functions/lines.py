@@ -18,7 +18,7 @@ LIVE_UNITS = {**_SPOONS, "g": 1.0, "gram": 1.0, "grams": 1.0, "kg": 1000.0, "kil
 LIVE_COUNTS = {"clove": 4.0, "cloves": 4.0, "piece": 100.0, "pieces": 100.0, "slice": 30.0, "slices": 30.0, "egg": 55.0, "eggs": 55.0, "bunch": 100.0, "head": 200.0, "large": 150.0, "medium": 110.0, "small": 70.0, "stalk": 40.0, "stalks": 40.0, "sprig": 5.0, "sprigs": 5.0, "can": 400.0, "cans": 400.0, "tin": 400.0, "tins": 400.0}
 VOLUME_ML = {"ml": 1.0, "l": 1000.0, "litre": 1000.0, "liter": 1000.0, "tsp": 5.0, "teaspoon": 5.0, "teaspoons": 5.0, "ts": 5.0, "tbsp": 15.0, "tablespoon": 15.0, "tablespoons": 15.0, "tbs": 15.0, "cup": 240.0, "cups": 240.0}
 TRAILING_UNITS = ("cloves", "clove", "pieces", "piece", "slices", "slice", "cans", "can", "tins", "tin", "stalks", "stalk", "sprigs", "sprig")
-PARSE_UNITS = {**BATCH_UNITS, **BATCH_COUNTS, "g": 1.0, "kg": 1000.0, "ounce": 28.35, "ounces": 28.35, "packet": 100.0}
+PARSE_UNITS = {**_SPOONS, "oz": 28.35, "ounce": 28.35, "ounces": 28.35, "pound": 454.0, "pounds": 454.0, "lb": 454.0, "lbs": 454.0, "g": 1.0, "gram": 1.0, "grams": 1.0, "ml": 1.0, "l": 1000.0, "kg": 1000.0, "clove": 4.0, "cloves": 4.0, "large": 150.0, "medium": 110.0, "small": 70.0, "can": 400.0, "cans": 400.0, "piece": 100.0, "pieces": 100.0, "slice": 30.0, "slices": 30.0, "bunch": 100.0, "head": 200.0, "heads": 200.0, "sprig": 5.0, "sprigs": 5.0, "pinch": 0.5, "dash": 0.5, "handful": 30.0, "package": 100.0, "packages": 100.0, "packet": 100.0, "packets": 100.0, "stalk": 40.0, "stalks": 40.0}
 
 MIXED, FRACTION, PLAIN = r"([0-9]+)\s+([0-9]+)/([0-9]+)", r"([0-9]+)/([0-9]+)", r"([0-9]+(?:\.[0-9]*)?)"
 

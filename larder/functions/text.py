@@ -6,12 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words with a meaning in ingredient names.
-LEADING_UNITS = "cup cups tbsp tablespoon tablespoons tsp teaspoon teaspoons g kg oz ml l lb lbs pound pounds pinch clove cloves can cans slice slices piece pieces".split()
+MEASURE_UNITS = "cup cups tbsp tablespoon tablespoons tsp teaspoon teaspoons g kg oz ml l lb lbs pound pounds pinch clove cloves can cans slice slices piece pieces".split()
+LEADING_UNITS = "cup cups tbsp tablespoon tablespoons tsp teaspoon teaspoons ml l g kg oz lb lbs gram grams kilogram kilograms pinch pinches dash clove cloves can cans slice slices piece pieces".split()
 FILLER = "to taste optional for serving plus more needed and or of the a an into in with without from on at it its".split()
 PREPARED = "chopped minced diced sliced crushed freshly roughly finely thinly thickly grated peeled rinsed drained divided halved quartered cubed cut soaked torn softened melted beaten mashed".split()
 FORMS = {"fresh": "fresh", "powder": "powder", "powdered": "powder", "ground": "ground", "dried": "dried", "dry": "dried", "paste": "paste", "puree": "puree", "canned": "canned", "can": "canned", "tinned": "canned", "whole": "whole", "frozen": "frozen", "smoked": "smoked", "toasted": "toasted"}
 SAME_PLURAL = ("couscous", "molasses", "bass")
-COOKING = "bake boil braise fry grill roast simmer steam stew blend chop marinate mix stir".split()
+COOKING = ["boil", "bake", "fry", "deep fry", "deep-fry", "steam", "grill", "roast", "simmer", "stew", "poach", "braise", "smoke", "toast", "saute", "sauté", "microwave", "pressure cook", "slow cook", "blend", "marinate", "broil", "knead", "stir-fry"]
 GLYPHS = {"¼": "1/4", "½": "1/2", "¾": "3/4", "⅓": "1/3", "⅔": "2/3", "⅛": "1/8", "⅜": "3/8", "⅝": "5/8", "⅞": "7/8"}
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&frac12;": "½", "&frac14;": "¼", "&frac34;": "¾", "&ndash;": "–", "&amp;": "&"}
 
@@ -38,7 +39,7 @@ def without_parens(c) -> Column:
 
 def measure_only(c) -> Column:
     """The leading quantity with its unit, null where either is missing."""
-    unit = "|".join(sorted(LEADING_UNITS, key=len, reverse=True))
+    unit = "|".join(sorted(MEASURE_UNITS, key=len, reverse=True))
     return F.nullif(F.regexp_extract(F.lower(col(c)), rf"^\s*((?:[0-9]+ [0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+(?:\.[0-9]+)?) (?:{unit}))\b", 1), F.lit(""))
 
 
@@ -138,9 +139,9 @@ def confidence(c) -> Column:
     return F.when(t == "manual_match", "high").when(t == "user_override", "custom").when(t.isin("usda_search", "wafct"), "medium").when(pct >= 85, "medium").when(pct.isNotNull(), "low").otherwise("none")
 
 
-def source_of(c, domains: dict[str, str]) -> Column:
+def source_of(c, domains: dict[str, str], default: str = "other") -> Column:
     low = F.lower(col(c))
     out = F
     for d, label in domains.items():
         out = out.when(low.contains(d), label)
-    return out.otherwise("unknown")
+    return out.otherwise(default)

@@ -23,10 +23,10 @@ def per_100g(nutrients: DataFrame) -> DataFrame:
 def analyse_lines(df: DataFrame, matches: DataFrame, nutrients: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """df(recipe_id, ingredient_index, raw) -> each line with quantity, food, weight, status and what it adds of each nutrient.
 
-    matches(name, fdc_id, food) resolve distinct names; overrides(recipe_id, ingredient_index, fdc_id, food) come before
+    matches(name, fdc_id, food, maybe match_type) resolve distinct names; overrides(recipe_id, ingredient_index, fdc_id, food) come before
     them.  A status is the first that holds of no_grams, no_usda_match, no_usda_data, matched.
     """
-    parsed = lines.parsed_live(df).withColumn("name", F.lower(F.trim("name_raw"))).join(matches, "name", "left").withColumn("match_type", F.when(F.col("fdc_id").isNotNull(), "manual_match").otherwise("no_match"))
+    parsed = lines.parsed_live(df).withColumn("name", F.lower(F.trim("name_raw"))).join(matches, "name", "left").withColumn("match_type", F.when(F.col("fdc_id").isNotNull(), F.col("match_type") if "match_type" in matches.columns else F.lit("manual_match")).otherwise("no_match"))
     if overrides is not None:
         o = overrides.select("recipe_id", "ingredient_index", F.col("fdc_id").alias("_fdc"), F.col("food").alias("_food"))
         parsed = parsed.join(o, ["recipe_id", "ingredient_index"], "left")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from larder.operators.scoring import NUTRIENTS
 
 FEATURES = [*NUTRIENTS.values(), "ingredient_coverage_pct"]
-GRID = {"numTrees": [100, 200, 300, 400], "maxDepth": [5, 10, 20, 30], "featureSubsetStrategy": ["sqrt", "log2", "all"], "minInstancesPerNode": [1, 2, 4]}
+#: A depth of 30 stands for none; MLlib has no least size of a node that is split.
+GRID = {"numTrees": [100, 200, 300, 500], "maxDepth": [30, 10, 20], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2, 4]}
 
 
 def features(scores: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def class_weights(df: DataFrame) -> DataFrame:
 
 
 def logistic(c: float = 1.0) -> list:
-    return [LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", maxIter=100, regParam=1e-3 / c)]
+    return [LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", maxIter=1000, regParam=1e-3 / c)]
 
 
 def forest(trees: int = 200, depth: int = 10) -> list:
@@ -54,10 +55,22 @@ def evaluated(scores: DataFrame, stages: list) -> tuple[PipelineModel, DataFrame
     df = df.join(F.broadcast(class_weights(df.where("train"))), "label")  # a row a class
     before = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True)]
     model = Pipeline(stages=[*before, *stages]).fit(df.where("train"))
-    labels = model.stages[0].labels
-    names = F.array(*(F.lit(x) for x in labels))
-    out = model.transform(df.where("not train")).select("recipe_id", "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
-    return model, out
+    return model, predicted(model, df.where("not train"))
+
+
+def save(model: PipelineModel, path: str) -> None:
+    """Scaler, labels and classifier as one model, in place of what the path holds."""
+    model.write().overwrite().save(path)
+
+
+def saved(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def predicted(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """df(recipe_id, label, features) -> recipe_id, label, predicted."""
+    names = F.array(*(F.lit(x) for x in model.stages[0].labels))
+    return model.transform(df).select("recipe_id", "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
 def metrics(predictions: DataFrame) -> DataFrame:
@@ -106,9 +119,7 @@ def random_search(scores: DataFrame, combos: int = 30, folds: int = 5, seed: int
             train = train.join(F.broadcast(class_weights(train)), "label")
             before = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="scaled")]
             model = Pipeline(stages=[*before, RandomForestClassifier(featuresCol="scaled", labelCol="y", weightCol="weight", seed=seed, **p)]).fit(train)
-            names = F.array(*(F.lit(x) for x in model.stages[0].labels))
-            out = model.transform(df.where(F.col("fold") == k)).select("recipe_id", "label", F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
-            f1.append(metrics(out).where("class = 'macro'").first()["f1"])
+            f1.append(metrics(predicted(model, df.where(F.col("fold") == k))).where("class = 'macro'").first()["f1"])
         rows.append((i, str(sorted(p.items())), float(sum(f1) / len(f1))))
     df.unpersist()
     return SparkSession.active().createDataFrame(rows, "combo int, parameters string, macro_f1 double")

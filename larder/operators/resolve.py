@@ -16,6 +16,9 @@ FORM_ENDINGS = "powder flakes flake extract seeds seed leaves leaf".split()
 SAME_PLURAL = "couscous molasses bass rice spinach garlic broth beef milk flour pasta".split()
 DISHES = "cake pie stew casserole sandwich burger pizza muffin cookie pudding pastry biscuit salad dip spread dressing soup fried sauce gravy stuffed filled mixed combination blend roll wrap taco burrito dumpling".split()
 
+# Letters and the blank from rare to frequent in English, and the same places in order.
+RARE, ORDERED = "zqxjkvbpygfwmucldrhsnioate ", "abcdefghijklmnopqrstuvwxyz~"
+
 
 def singular(t: Column) -> Column:
     return (
@@ -45,7 +48,8 @@ def ladder_keys(name) -> Column:
     last = F.concat(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), F.transform(F.slice(a, F.greatest(n, F.lit(1)), 1), singular))
     bare = _unmodified(a)
     shorter = F.when((n > 1) & F.element_at(a, -1).isin(*FORM_ENDINGS), F.slice(a, 1, F.greatest(n - 1, F.lit(0))))
-    keys = [a, last, F.array_sort(a), bare, all_singular(bare), F.array_sort(bare), shorter, all_singular(shorter), F.array_sort(shorter), _unmodified(shorter)]
+    stripped = F.when(join(bare) != join(a), bare)
+    keys = [a, last, F.array_sort(a), stripped, all_singular(stripped), F.array_sort(stripped), shorter, all_singular(shorter), F.array_sort(shorter), _unmodified(shorter)]
     return F.when(n > 0, F.array_compact(F.array(*(join(k) for k in keys)))).otherwise(F.array().cast("array<string>"))
 
 
@@ -60,14 +64,38 @@ def match_ladder(names: DataFrame, curated: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(names: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """names(name), keys(key, ord) -> (name, key, similarity) of the best key at or above the threshold, ties by ord.
+    """names(name), keys(key, ord) -> (name, key, ord, similarity, match_type) of the best key at or above the threshold, ties by ord.
 
-    keys are a curated list, whose size the caller bounds; lengths that cannot reach the threshold are left out first.
+    Two strings of such a similarity have so many characters in common that they share one among the rarest of each, so
+    distinct names and keys meet in an equi-join on those, of which a pair keeps its first.  Lengths and all common
+    characters are compared before the similarity.  A name or key without a word matches nothing.
+    """
+    left = _characters(names.select("name").distinct(), "name", threshold, "a")
+    right = _characters(keys.select("key", "ord"), "key", threshold, "b")
+    m, n = F.size("_all_a"), F.size("_all_b")
+    least = threshold * (m + n) / 200 - 1e-9
+    pairs = left.withColumn("_t", F.explode("_rare_a")).join(right.withColumn("_t", F.explode("_rare_b")), "_t")
+    pairs = pairs.where(F.least(m, n) >= least).where(F.array_min(F.array_intersect("_rare_a", "_rare_b")) == F.col("_t")).where(F.size(F.array_intersect("_all_a", "_all_b")) >= least)
+    scored = pairs.select("name", "key", "ord", similarity.ratio("_s_a", "_s_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "ord", "key")).alias("b"))
+    out = best.select("name", "b.key", "b.ord", (-F.col("b.s")).alias("similarity"))
+    return out.withColumn("match_type", F.concat(F.lit("fuzzy_"), F.col("similarity").cast("int").cast("string"), F.lit("%")))
+
+
+def _characters(df: DataFrame, c: str, threshold: float, side: str) -> DataFrame:
+    """df with the sorted words of c, its characters numbered by occurrence, and the rarest of them, one of which a partner shares.
+
+    A partner has at least t / (2 - t) of this length, t being the threshold's share, and so many characters in common.
     """
-    pairs = names.select("name").distinct().join(F.broadcast(keys), similarity.ratio_bound("name", "key") >= threshold)
-    scored = pairs.withColumn("similarity", similarity.token_sort_ratio("name", "key")).where(F.col("similarity") >= threshold)
-    best = scored.groupBy("name").agg(F.min(F.struct(-F.col("similarity"), "ord", "key")).alias("b"))
-    return best.select("name", F.col("b.key").alias("key"), (-F.col("b.col1")).alias("similarity"))
+    t = threshold / 100
+    df = df.withColumn("_s", similarity.sorted_tokens(c)).where("_s <> ''")
+    chars = F.filter(F.split("_s", ""), lambda x: x != "")
+    counts = F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("x"), F.size(F.filter(chars, lambda y: y == x)).alias("n")))
+    # Rare letters first, and of a letter its later occurrences; any order that both sides share is right.
+    numbered = F.flatten(F.transform(counts, lambda s: F.transform(F.sequence(F.lit(1), s.n), lambda i: F.concat(F.translate(s.x, RARE, ORDERED), F.lpad((9999 - i).cast("string"), 4, "0")))))
+    df = df.withColumn("_all", F.array_sort(numbered))
+    most = F.size("_all") - F.ceil(F.size("_all") * t / (2 - t) - 1e-9).cast("int") + 1
+    return df.withColumn("_rare", F.slice("_all", 1, most)).withColumnsRenamed({"_s": f"_s_{side}", "_all": f"_all_{side}", "_rare": f"_rare_{side}"})
 
 
 def tokens_of(c) -> Column:
@@ -116,6 +144,30 @@ def search(names: DataFrame, foods: DataFrame, n: int = 1, threshold: float | No
     return c.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n).select("name", "place", "fdc_id", "description", "score")
 
 
+def bilingual_search(names: DataFrame, foods: DataFrame, threshold: float = 55.0) -> DataFrame:
+    """names(name), foods(code, ord, name_en, name_fr) -> (name, code, food, score) of the best food of a list in two languages.
+
+    Foods that share a word of more than two letters with the name, in either language, are scored by their better window
+    similarity; all words found gain 15, plain preparations 10, names of more than 60 characters lose 5.  Ties go to the
+    least ord.  Null names and foods without an English name match nothing; a null French name has a similarity of 0.
+    """
+    foods = foods.select("code", "ord", F.trim("name_en").alias("name_en"), F.coalesce(F.lower(F.trim("name_fr")), F.lit("")).alias("_fr")).where("name_en <> ''").withColumn("_en", F.lower("name_en"))
+    words = F.transform(F.split(F.concat_ws(" ", "_en", "_fr"), r"[\s,;/()\-]+"), lambda t: F.btrim(t, F.lit("'.:*[]")))
+    words = F.filter(words, lambda t: F.length(t) > 2)
+    one = lambda a: F.transform(F.filter(a, lambda t: t.endswith("s") & (F.length(t) > 3)), lambda t: t.substr(F.lit(1), F.length(t) - 1))
+    asked = F.filter(F.split("_q", r"\s+"), lambda t: F.length(t) > 2)
+    q = names.select("name").distinct().withColumn("_q", F.lower(F.trim("name"))).select("name", "_q", F.explode(F.array_distinct(F.concat(asked, one(asked)))).alias("_t"))
+    index = foods.select("ord", F.explode(F.array_distinct(F.concat(words, one(words)))).alias("_t"))
+    c = q.join(index, "_t").select("name", "_q", "ord").distinct().join(foods, "ord")
+    french = F.when(F.col("_fr") != "", similarity.partial_ratio("_q", "_fr")).otherwise(0.0)
+    c = c.withColumn("_s", F.greatest(similarity.partial_ratio("_q", "_en"), french)).where(F.col("_s") >= threshold)
+    every = F.forall(asked, lambda t: F.contains("_en", t) | F.contains("_fr", t))
+    plain = F.col("_en").rlike("raw|dried|flour|fresh|boiled")
+    c = c.withColumn("score", F.col("_s") + F.when(every, 15.0).otherwise(0.0) + F.when(plain, 10.0).otherwise(0.0) - F.when(F.length("name_en") > 60, 5.0).otherwise(0.0))
+    best = c.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "code", "name_en")).alias("b"))
+    return best.select("name", "b.code", F.col("b.name_en").alias("food"), (-F.col("b.s")).alias("score"))
+
+
 def first_rule(names: DataFrame, rules: DataFrame) -> DataFrame:
     """names(name), rules(priority, keyword, food) -> each distinct name with the food of its first keyword that it contains; null without any."""
     distinct = names.select("name").distinct()

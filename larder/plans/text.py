@@ -51,8 +51,8 @@ query("extract_measures", "SELECT recipe_id, ingredient_index, grams2 AS grams_t
 query("method_breakdown", "SELECT extraction_method, count(*) AS n, CAST(floor(count(*) * 100 / (SELECT count(*) FROM line)) AS INTEGER) AS pct FROM (SELECT CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN 'volume_unit' WHEN grams2 IS NOT NULL THEN 'count_estimate' ELSE 'no_match' END AS extraction_method FROM read) GROUP BY 1")(
     lambda s, d: analysis.method_breakdown(lines.extracted(line(s, d)))
 )
-query("parse_lines_batch", "SELECT recipe_id, ingredient_index, concat_ws(' ', regexp_extract(raw, '^[0-9/ ]*[0-9]'), nullif(unit2, '')) AS measure_only, grams2 AS grams, name2 AS remainder FROM read WHERE unit2 <> '' OR qty_expected NOT IN (0.5, 1.5)")(
-    lambda s, d: lines.parsed_batch(line(s, d).where("unit <> '' or ingredient_name rlike '^(large|medium|small) ' or qty_expected not in (0.5, 1.5)")).select("recipe_id", "ingredient_index", "measure_only", "grams", "remainder")
+query("parse_lines_batch", "SELECT recipe_id, ingredient_index, CASE WHEN unit2 = '' AND qty_expected = 1.5 THEN '1' ELSE concat_ws(' ', regexp_extract(raw, '^[0-9/ ]*[0-9]'), nullif(unit2, '')) END AS measure_only, grams2 AS grams, CASE WHEN unit2 = '' AND qty_expected = 1.5 THEN concat('1/2 ', name2) ELSE name2 END AS remainder FROM read")(
+    lambda s, d: lines.parsed_batch(line(s, d)).select("recipe_id", "ingredient_index", "measure_only", "grams", "remainder")
 )
 query("parse_lines_live", f"SELECT recipe_id, ingredient_index, CAST(qty_expected AS DOUBLE) AS qty, unit2 AS unit, coalesce(grams2, CAST(qty_expected * 150 AS DOUBLE)) AS grams, CASE WHEN unit IN ('cup', 'tbsp', 'tsp') THEN {G} END AS volume_ml, name2 AS name_raw FROM read")(
     lambda s, d: lines.parsed_live(line(s, d).drop("unit")).select("recipe_id", "ingredient_index", "qty", "unit", "grams", "volume_ml", "name_raw")
@@ -77,14 +77,14 @@ query("fragment_filter", "SELECT fdc_id, p_brand AS name FROM (SELECT 2700000 +
     lambda s, d: table(s, d, "part").select((F.col("p_partkey") + 2700000).alias("fdc_id"), F.substring("p_brand", F.lit(1), (F.col("p_partkey") % 3).cast("int")).alias("name")).where("length(name) >= 2")
 )
 query("url_normalise", "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '/+$', ''), '^https?://', ''), '^www\\.', '') AS url_key FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", text.url_key("url").alias("url_key")))
-query("source_classify", "SELECT page_id, CASE WHEN strpos(lower(url), 'example.org') > 0 THEN 'org' WHEN strpos(lower(url), 'example.com') > 0 THEN 'com' ELSE 'unknown' END AS label FROM pages")(
+query("source_classify", "SELECT page_id, CASE WHEN strpos(lower(url), 'example.org') > 0 THEN 'org' WHEN strpos(lower(url), 'example.com') > 0 THEN 'com' ELSE 'other' END AS label FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", text.source_of("url", {"example.org": "org", "example.com": "com"}).alias("label"))
 )
 query("match_confidence", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'custom' WHEN 2 THEN 'medium' WHEN 3 THEN (CASE WHEN p_size + 50 >= 85 THEN 'medium' ELSE 'low' END) ELSE 'none' END AS bucket FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", text.confidence(F.expr("CASE p_partkey % 5 WHEN 0 THEN 'manual_match' WHEN 1 THEN 'user_override' WHEN 2 THEN 'wafct' WHEN 3 THEN concat('fuzzy_', p_size + 50, '%') ELSE 'no_match' END")).alias("bucket"))
 )
 query("form_and_key", None)(lambda s, d: table(s, d, "food").select("fdc_id", text.base_ingredient("description").alias("base"), text.form("description").alias("form"), text.lookup_key("description").alias("lookup")))
-query("cooking_methods", "SELECT doc_id, coalesce(array_to_string(list_filter(['bake', 'blend', 'boil', 'braise', 'chop', 'fry', 'grill', 'marinate', 'mix', 'roast', 'simmer', 'steam', 'stew', 'stir'], lambda w: contains(lower(text), w)), ', '), '') AS methods FROM documents")(
+query("cooking_methods", "SELECT doc_id, coalesce(array_to_string(list_filter(['bake', 'blend', 'boil', 'braise', 'broil', 'deep fry', 'deep-fry', 'fry', 'grill', 'knead', 'marinate', 'microwave', 'poach', 'pressure cook', 'roast', 'saute', 'sauté', 'simmer', 'slow cook', 'smoke', 'steam', 'stew', 'stir-fry', 'toast'], lambda w: contains(lower(text), w)), ', '), '') AS methods FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", text.cooking_methods("text").alias("methods"))
 )
 query("src_text_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY doc_id")(
@@ -197,7 +197,7 @@ TOKENS = "regexp_split_to_array(lower(description), '[\\s,;/]+')"
 query("token_index_build", f"SELECT DISTINCT fdc_id, token FROM (SELECT fdc_id, token FROM (SELECT fdc_id, unnest({TOKENS}) AS token FROM food) WHERE length(token) > 2 UNION ALL SELECT fdc_id, left(token, length(token) - 1) FROM (SELECT fdc_id, unnest({TOKENS}) AS token FROM food) WHERE length(token) > 3 AND token LIKE '%s')")(
     lambda s, d: resolve.token_index(table(s, d, "food"))
 )
-query("food_search_top1", None)(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food"), 1, 30.0))
+query("food_search_top1", None)(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food")))
 query("food_search_topn", None)(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food"), 8, None, partial=True))
 query("food_describe", "SELECT m.ingredient_id, f.description FROM ingredient_mapping m JOIN food f ON f.fdc_id = m.fdc_id")(lambda s, d: table(s, d, "ingredient_mapping").join(table(s, d, "food").select("fdc_id", "description"), "fdc_id").select("ingredient_id", "description"))
 RULES = [(1, "almond", "nuts"), (2, "a", "starts of many"), (3, "blue", "never reached"), (4, "z", "rare")]
@@ -253,9 +253,9 @@ query("ml_class_weights", "SELECT weighted_risk_level AS label, CAST(round(CAST(
 )
 query("ml_features", "SELECT recipe_id, " + ", ".join([*scoring.NUTRIENTS.values(), "ingredient_coverage_pct"]) + " FROM scores WHERE data_status = 'calculated'")(lambda s, d: models.features(scores(s, d)).select("recipe_id", *models.FEATURES))
 query("ml_logreg", None)(lambda s, d: models.evaluated(scores(s, d), models.logistic())[1])
-query("ml_forest", None)(lambda s, d: models.evaluated(models.merged(scores(s, d)), models.forest(40))[1])
+query("ml_forest", None)(lambda s, d: models.evaluated(models.merged(scores(s, d)), models.forest())[1])
 query("ml_coefficients", None)(lambda s, d: models.coefficients(models.evaluated(scores(s, d), models.logistic())[0]))
-query("ml_importance", None)(lambda s, d: models.importances(models.evaluated(models.merged(scores(s, d)), models.forest(40))[0]))
+query("ml_importance", None)(lambda s, d: models.importances(models.evaluated(models.merged(scores(s, d)), models.forest())[0]))
 query("ml_metrics", None)(lambda s, d: models.metrics(models.evaluated(scores(s, d), models.logistic())[1]))
 
 __all__ = ["line", "recipe_nutrition"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.operators.scoring import NUTRIENTS
+from larder.sources.shared import cut
 
 SCRAPED = T.StructType([T.StructField(c, T.StringType()) for c in ("recipe_title", "servings", "ingredients", "cooking_methods", "source_url")])
 NUTRIENT = "fdc_id bigint, nutrient_id int, amount double"
@@ -61,15 +62,16 @@ def food_table_clean(raw: DataFrame) -> DataFrame:
     return df.na.fill(0.0, list(numbers))
 
 
-def replace_tables(frames: dict[str, DataFrame], database: str = "default") -> dict[str, int]:
-    """Overwrites tables and counts the rows of each as they are written."""
-    from pyspark.sql import Observation
+def replace_tables(frames: dict[str, DataFrame], database: str = "default", folder: str | None = None) -> dict[str, int]:
+    """Overwrites tables, in folder if one is named, and counts the rows of each in what was written.
 
+    An Observation would count while writing, but a session that has observed can't run a binary MLlib model any more.
+    """
     out = {}
     for name, df in frames.items():
-        seen = Observation(f"rows of {name}")
-        df.observe(seen, F.count("*").alias("n")).write.mode("overwrite").saveAsTable(f"{database}.{name}")
-        out[name] = seen.get["n"]
+        writer = df.write.mode("overwrite")
+        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(f"{database}.{name}")
+        out[name] = df.sparkSession.table(f"{database}.{name}").count()
     return out
 
 
@@ -80,3 +82,8 @@ def append(df: DataFrame, path: str) -> None:
 def overwrite(df: DataFrame, path: str) -> None:
     """Never the path that df reads from: Spark would remove it before reading."""
     df.write.mode("overwrite").parquet(path)
+
+
+def overwrite_csv(df: DataFrame, path: str) -> None:
+    """df as CSV with a header in place of what path holds, which df may read: its rows are stored in the shared folder first."""
+    cut(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
