@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import lines, text
 from larder.operators import analysis, dimensions, resolve, scoring
 
+# Notes that the tables hold.
 ADDED = "Added from scraped allrecipes data"
 REMATCHED = "Added from scraped allrecipes data; rematched vs full USDA"
 NEGLIGIBLE = "Negligible: spice/flavouring with <5 kcal contribution per serving"
