@@ -72,12 +72,18 @@ class Encoder:
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def letters(self, core: str) -> bool:
+        """Whether core is letters alone, before and after the tokenizer normalises it: no mark joins what follows it then."""
+        if core.isascii() or self.tokenizer.normalizer is None:
+            return core.isalpha()
+        return core.isalpha() and self.tokenizer.normalizer.normalize_str(core).isalpha()
+
     def learn(self, words: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
         cores, rest = [], []
         for i, w in enumerate(words):
             core = w.rstrip(MARKS) if self.apart else w
-            if self.between is not None and core.isalpha():
+            if self.between is not None and self.letters(core):
                 cores.append((i, core.lower() if self.folds and core.isascii() else core, w[len(core) :]))
             else:
                 rest.append(i)
@@ -88,7 +94,7 @@ class Encoder:
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(new) and (not new or ends[-1] == len(ids)) and not self.special.search(text):
             ids_of: list[bytes] = [b""] * len(new)
-            self.place(ids_of, range(len(new)), ids, np.append(0, ends[:-1]), ends)
+            self.place(ids_of, range(len(new)), ids, np.append(0, ends)[:-1], ends)
             known = dict(zip(new, ids_of, strict=True))
             for i, c, tail in cores:
                 if tail not in self.tails:

@@ -22,6 +22,30 @@ def test_words_alone_as_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in tf.Encoder(PATH).encode(texts)] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_calls_that_bring_no_new_word():
+    for calls in (["123 456"], ["..."], ["word", "word."], ["", " "], ["word word", "word, WORD!", "7"]):
+        encoder = tf.Encoder(PATH)
+        for text in calls:
+            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_do_not_depend_on_what_a_worker_met_before():
+    r = random.Random(11)
+    encoder = tf.Encoder(PATH)
+    encoder.encode(["TATİLİ"])
+    texts = ["def TATİLİ. yeni", *("".join(r.choices("aZiİIß'1 .,;:!?*\u0307\u0301e\u0338<>Σσǅŉՙ日ﬁ̈", k=r.randint(0, 24))) for _ in range(20_000))]
+    got = [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in texts]
+    want = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    assert [(t, x, y) for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
+
+
+def test_tables_of_one_word(spark, table):
+    for text in ("123", "...", "word."):
+        folder = new_path(spark, "tokens")
+        row = tf.summary(tf.read(tf.write(table([(1, text)]), PATH, 1, folder), folder)).collect()
+        assert [x.n_tokens for x in row] == [len(LIBRARY.encode(text, add_special_tokens=False).ids) + 1]
+
+
 def test_files(spark, table):
     r = random.Random(4)
     rows = [(i, " ".join(r.choices(["alpha", "Beta", "γ", "12"], k=r.randint(0, 50)))) for i in r.sample(range(1000), 200)] + [(None, "no id"), (7000, None), (7001, ""), (7002, "x " * 20_000), (7003, "twice"), (7003, "twice")]
