@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, decontamination, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, superkmer_dedup, token_frames, toxic_grammar
+from larder.llm import byte_bpe, decontamination, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, secret_scan, superkmer_dedup, token_frames, toxic_grammar
 from larder.llm.common import load, new_path
 
 
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(load(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op13_secret_scan": op13_secret_scan,
     "pipeline": pipeline,
 }
 
