@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, decontamination, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, secret_scan, superkmer_dedup, token_frames, toxic_grammar
+from larder.llm import byte_bpe, decontamination, hard_negatives, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, secret_scan, superkmer_dedup, token_frames, toxic_grammar
 from larder.llm.common import load, new_path
 
 
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(secret_scan.find_secrets(load(spark, sf_dir, "documents")))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scan": op13_secret_scan,
     "pipeline": pipeline,
 }
@@ -118,4 +123,17 @@ pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM wo
 stay AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t FROM pos p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256
 FROM words w LEFT JOIN lost l USING (doc_id) LEFT JOIN stay s USING (doc_id)""",
+    "op12_hard_negatives": """
+WITH row AS (
+  SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT a.id AS anchor_id, b.id AS other_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM row a, row b WHERE a.id % 50 = 0 AND a.id <> b.id),
+positive AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pair USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""",
 }
