@@ -15,12 +15,13 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import own, slices, texts
+from larder.llm.common import cut, own, slices, texts
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Words of the corpus that a guesser tries; the list is broadcast, so this bounds it.
@@ -196,7 +197,11 @@ def spans(text: str, guesser: Guesser, min_bits: float = MIN_BITS) -> list[tuple
 
 
 def frequent_words(docs: DataFrame, words: int = WORDS) -> list[str]:
-    """The words (letters only, in lower case) of all documents from the most frequent on, ties by the word."""
+    """The words (letters only, in lower case) of all documents from the most frequent on, ties by the word.
+
+    Those that occur at least so often that no more than ``words`` do: what comes to the driver has that bound, however many
+    tasks have counted.
+    """
 
     def count(batches):
         held: Counter = Counter()
@@ -216,7 +221,14 @@ def frequent_words(docs: DataFrame, words: int = WORDS) -> list[str]:
 
     each = texts(docs).select("text").mapInArrow(count, "word string, n long")
     each = each.where(F.length("word").between(SHORTEST, LONGEST)).where(F.col("word").rlike(r"^\p{L}+$"))
-    return [r.word for r in each.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = cut(each.groupBy("word").agg(F.sum("n").alias("n")))
+    alike = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(words).collect()
+    least = None
+    for r, total in zip(alike, accumulate(r.words for r in alike), strict=True):
+        if total > words:
+            break
+        least = r.n
+    return [] if least is None else [r.word for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()]
 
 
 SPANS = "array<struct<kind: string, start: bigint, end: bigint, bits: double>>"
