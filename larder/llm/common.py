@@ -25,12 +25,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of the session are bounded by bytes from here on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and the columns named; any others of the input are left behind.
 
     The session's Arrow batches are bounded by bytes from here on: by rows alone, a batch of long texts wouldn't fit a worker.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bounded(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import byte_bpe, decontamination, hard_negatives, language_id, ngram_jaccard, pii_deobfuscation, quality_gam, robust_outliers, secret_scan, superkmer_dedup, token_frames, toxic_grammar
+from larder.llm import byte_bpe, decontamination, hard_negatives, language_id, ngram_jaccard, pii_deobfuscation, prefix_trie, quality_gam, robust_outliers, secret_scan, superkmer_dedup, token_frames, toxic_grammar
 from larder.llm.common import load, new_path
 
 
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(load(spark, sf_dir, "embeddings"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_secret_scan": op13_secret_scan,
     "pipeline": pipeline,
@@ -123,6 +128,28 @@ pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM wo
 stay AS (SELECT p.doc_id, string_agg(x, ' ' ORDER BY p.i) AS t FROM pos p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(l.l), 0) AS BIGINT) AS n_removed, sha256(coalesce(s.t, '')) AS kept_sha256
 FROM words w LEFT JOIN lost l USING (doc_id) LEFT JOIN stay s USING (doc_id)""",
+    "op11_prefix_trie": r"""
+WITH own AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc AS (
+  SELECT c, s, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(CAST(c AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(c AS VARCHAR), CAST(i AS INTEGER), 1)) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda p, q: CASE WHEN p % 2 = 1 THEN xor(p // 2, CAST(3988292384 AS BIGINT)) ELSE p // 2 END)), CAST(4294967295 AS BIGINT)) % 4 AS h
+  FROM own),
+made AS (SELECT a.c, list_concat(coalesce(b.s, [])[1:a.h], a.s[a.h + 1:]) AS s FROM crc a LEFT JOIN own b ON b.c = a.c - a.c % 20),
+member AS (
+  SELECT c, d, md5(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS up, len(s) = d AS ends,
+    CASE WHEN d > 0 THEN len(list_filter(string_split_regex(s[d].t, '[ 	-]+'), lambda x: x <> '')) ELSE 0 END AS words
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM made)),
+node AS (
+  SELECT k, any_value(d) AS depth, any_value(up) AS up, min(c) AS c, count(*) AS n, (count(*) - 1) * any_value(words) AS v, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS e
+  FROM member GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+sub AS (
+  SELECT m.k, sum(u.v) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+  FROM node u JOIN member m ON m.c = u.c AND m.d <= u.depth LEFT JOIN kids ON kids.k = u.k GROUP BY m.k)
+SELECT node.c AS conv_id, node.depth, p.c AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, node.e AS ends_sha256
+FROM node JOIN sub USING (k) LEFT JOIN kids USING (k) LEFT JOIN node p ON p.k = node.up""",
     "op12_hard_negatives": """
 WITH row AS (
   SELECT CAST(vec_id AS BIGINT) AS id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
