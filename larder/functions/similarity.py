@@ -1,24 +1,28 @@
-"""String similarity of pairs: normalised indel similarity by a bit-parallel longest common subsequence.
+"""String similarity of pairs: normalised indel similarity by a bit-parallel longest common subsequence (Hyyrö, 2004).
 
-Arrow batches carry the pairs; a string's bit masks are made once for the pairs that repeat it.  Callers compare distinct
-names, and only pairs that share a token or whose lengths can reach the threshold.
+The masks and the state of the recurrence are longs, so that it runs as column expressions: one word of 62 bits for
+strings up to that length, and arrays of words with a carry between them beyond.  Callers compare distinct names, and only pairs that
+share a token or that an index of their characters lets through.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from larder.functions.text import col
 
+#: Bits of a word; a sum of two words and a carry must fit a long.
+BITS = 62
+FULL = (1 << BITS) - 1
+
 
 def sorted_tokens(c) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(col(c), r"\s+"), lambda t: t != "")), " ")
 
 
 def masks(a: str) -> dict[str, int]:
+    """Of each character of a the places, as bits; with lcs() the recurrence for single strings, of any length."""
     out: dict[str, int] = {}
     for i, c in enumerate(a):
         out[c] = out.get(c, 0) | 1 << i
@@ -26,7 +30,7 @@ def masks(a: str) -> dict[str, int]:
 
 
 def lcs(m: dict[str, int], n: int, b: str) -> int:
-    """Length of the longest common subsequence of b and the string of n characters with masks m (Hyyrö, 2004)."""
+    """Length of the longest common subsequence of b and the string of n characters with masks m."""
     full = state = (1 << n) - 1
     for c in b:
         u = state & m.get(c, 0)
@@ -34,19 +38,6 @@ def lcs(m: dict[str, int], n: int, b: str) -> int:
     return n - state.bit_count()
 
 
-def _each(a: pd.Series, b: pd.Series, f) -> pd.Series:
-    known: dict[str, dict[str, int]] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        if x not in known:
-            known[x] = masks(x)
-        out.append(f(x, known[x], y))
-    return pd.Series(out, dtype="float64")
-
-
 def _whole(x: str, m: dict[str, int], y: str) -> float:
     return 200.0 * lcs(m, len(x), y) / (len(x) + len(y)) if x or y else 100.0
 
@@ -59,19 +50,74 @@ def _window(x: str, m: dict[str, int], y: str) -> float:
     return max(_whole(x, m, y[i : i + len(x)]) for i in range(len(y) - len(x) + 1))
 
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _each(a, b, _whole)
+def _long(x) -> Column:
+    return F.lit(x).cast("long")
+
+
+def _with(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f's own functions name it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _characters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda c: c != "")
+
+
+def _bits(n: Column) -> Column:
+    """The n lowest bits, n up to BITS."""
+    return F.call_function("shiftleft", _long(1), n.cast("int")) - 1
+
+
+def _mask(p: Column, c: Column, start: Column, n: Column) -> Column:
+    """Where c stands among the n characters of p from start on."""
+    places = F.filter(F.sequence(_long(0), F.greatest(n - 1, F.lit(0)).cast("long")), lambda i: F.get(p, (start + i).cast("int")) == c)
+    return F.aggregate(places, _long(0), lambda x, i: x.bitwiseOR(F.call_function("shiftleft", _long(1), i.cast("int"))))
+
+
+def _short(p: Column, text: Column) -> Column:
+    """The common subsequence of arrays of characters, p of one to BITS."""
+    n = F.size(p)
+    known = F.map_from_entries(F.transform(F.array_distinct(p), lambda c: F.struct(c, _mask(p, c, _long(0), n))))
+    own = F.filter(text, lambda c: F.array_contains(p, c))  # others change nothing
+    found = _with(known, lambda k: F.transform(own, lambda c: F.element_at(k, c)))
+    state = lambda full: F.aggregate(found, full, lambda s, m: (s + s.bitwiseAND(m)).bitwiseOR(s.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full))
+    return n - F.bit_count(_with(_bits(n), state))
+
+
+def _long_one(p: Column, text: Column) -> Column:
+    """The same for p of any length above 0: states and masks are arrays of words, sums carry over to the next word."""
+    n = F.size(p).cast("long")
+    words = F.sequence(_long(0), F.floor((n - 1) / BITS))
+    size = lambda k: F.least(n - k * BITS, _long(BITS))
+    known = F.map_from_entries(F.transform(F.array_distinct(p), lambda c: F.struct(c, F.transform(words, lambda k: _mask(p, c, k * BITS, size(k))))))
+    found = _with(known, lambda k: F.transform(F.filter(text, lambda c: F.array_contains(p, c)), lambda c: F.element_at(k, c)))
+    start = F.struct(_long(0).alias("carry"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(state: Column, m: Column) -> Column:
+        def word(done: Column, k: Column) -> Column:
+            s, x = F.get(state, k.cast("int")), F.get(m, k.cast("int"))
+            total = s + s.bitwiseAND(x) + done["carry"]
+            kept = total.bitwiseAND(_long(FULL)).bitwiseOR(s.bitwiseAND(F.bitwise_not(x))).bitwiseAND(_bits(size(k)))
+            return F.struct(F.shiftright(total, BITS).alias("carry"), F.concat(done["out"], F.array(kept)).alias("out"))
+
+        return F.aggregate(words, start, word)["out"]
+
+    state = F.aggregate(found, F.transform(words, lambda k: _bits(size(k))), step)
+    return n - F.aggregate(state, _long(0), lambda t, s: t + F.bit_count(s))
 
 
-@F.pandas_udf(DoubleType())
-def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _each(a, b, _window)
+def common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays of characters."""
+    swap = F.size(a) > F.size(b)
+    both = F.struct(F.when(swap, b).otherwise(a).alias("p"), F.when(swap, a).otherwise(b).alias("text"))
+    return _with(both, lambda z: F.when(F.size(z["p"]) == 0, 0).when(F.size(z["p"]) <= BITS, _short(z["p"], z["text"])).when(F.size(z["p"]) > BITS, _long_one(z["p"], z["text"])))
 
 
 def ratio(a, b) -> Column:
     """0 to 100: twice the common subsequence over both lengths; two empty strings are equal."""
-    return _ratio(col(a), col(b))
+    x, y = col(a), col(b)
+    both = F.length(x) + F.length(y)
+    return F.when(both == 0, 100.0).when(x == y, 100.0).when(both > 0, 200.0 * common(_characters(x), _characters(y)) / both)
 
 
 def token_sort_ratio(a, b) -> Column:
@@ -86,4 +132,10 @@ def ratio_bound(a, b) -> Column:
 
 def partial_ratio(a, b) -> Column:
     """The best ratio of the shorter string with any window of its length in the longer."""
-    return _partial(col(a), col(b))
+    x, y = col(a), col(b)
+    m, n = F.length(x), F.length(y)
+    p, text = _characters(F.when(m > n, y).otherwise(x)), _characters(F.when(m > n, x).otherwise(y))
+    windows = lambda z: F.transform(F.sequence(F.lit(1), F.size(z["text"]) - F.size(z["p"]) + 1), lambda i: common(z["p"], F.slice(z["text"], i, F.size(z["p"]))))
+    best = F.array_max(_with(F.struct(p.alias("p"), text.alias("text")), windows))
+    least = F.least(m, n)
+    return F.when((least == 0) & (m == n), 100.0).when(least == 0, 0.0).when(F.contains(F.when(m > n, x).otherwise(y), F.when(m > n, y).otherwise(x)), 100.0).when(least > 0, 100.0 * best / least)

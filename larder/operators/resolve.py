@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import similarity
 from larder.functions.text import col
+from larder.operators import fuzzy
 
 # Words that stand before or after a name without changing the food, and words of composed dishes.
 MODIFIERS = "ripe overripe unripe fresh dried dehydrated reconstituted canned tinned frozen thawed jarred raw cooked roasted toasted smoked charred boiled steamed fried diced chopped sliced minced grated crushed ground mashed pureed blended shredded whole halved quartered cubed baby mini mild hot spicy extra plain organic mixed assorted".split()
@@ -16,9 +17,6 @@ FORM_ENDINGS = "powder flakes flake extract seeds seed leaves leaf".split()
 SAME_PLURAL = "couscous molasses bass rice spinach garlic broth beef milk flour pasta".split()
 DISHES = "cake pie stew casserole sandwich burger pizza muffin cookie pudding pastry biscuit salad dip spread dressing soup fried sauce gravy stuffed filled mixed combination blend roll wrap taco burrito dumpling".split()
 
-# Letters and the blank from rare to frequent in English, and the same places in order.
-RARE, ORDERED = "zqxjkvbpygfwmucldrhsnioate ", "abcdefghijklmnopqrstuvwxyz~"
-
 
 def singular(t: Column) -> Column:
     return (
@@ -66,38 +64,15 @@ def match_ladder(names: DataFrame, curated: DataFrame) -> DataFrame:
 def match_fuzzy(names: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
     """names(name), keys(key, ord) -> (name, key, ord, similarity, match_type) of the best key at or above the threshold, ties by ord.
 
-    Two strings of such a similarity have so many characters in common that they share one among the rarest of each, so
-    distinct names and keys meet in an equi-join on those, of which a pair keeps its first.  Lengths and all common
-    characters are compared before the similarity.  A name or key without a word matches nothing.
+    Distinct names and keys meet through the index of their characters (larder.operators.fuzzy).  A name or key without
+    a word matches nothing.
     """
-    left = _characters(names.select("name").distinct(), "name", threshold, "a")
-    right = _characters(keys.select("key", "ord"), "key", threshold, "b")
-    m, n = F.size("_all_a"), F.size("_all_b")
-    least = threshold * (m + n) / 200 - 1e-9
-    pairs = left.withColumn("_t", F.explode("_rare_a")).join(right.withColumn("_t", F.explode("_rare_b")), "_t")
-    pairs = pairs.where(F.least(m, n) >= least).where(F.array_min(F.array_intersect("_rare_a", "_rare_b")) == F.col("_t")).where(F.size(F.array_intersect("_all_a", "_all_b")) >= least)
-    scored = pairs.select("name", "key", "ord", similarity.ratio("_s_a", "_s_b").alias("similarity")).where(F.col("similarity") >= threshold)
+    scored = fuzzy.similar(names, keys, threshold).join(keys.select("key", "ord"), "key")
     best = scored.groupBy("name").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "ord", "key")).alias("b"))
     out = best.select("name", "b.key", "b.ord", (-F.col("b.s")).alias("similarity"))
     return out.withColumn("match_type", F.concat(F.lit("fuzzy_"), F.col("similarity").cast("int").cast("string"), F.lit("%")))
 
 
-def _characters(df: DataFrame, c: str, threshold: float, side: str) -> DataFrame:
-    """df with the sorted words of c, its characters numbered by occurrence, and the rarest of them, one of which a partner shares.
-
-    A partner has at least t / (2 - t) of this length, t being the threshold's share, and so many characters in common.
-    """
-    t = threshold / 100
-    df = df.withColumn("_s", similarity.sorted_tokens(c)).where("_s <> ''")
-    chars = F.filter(F.split("_s", ""), lambda x: x != "")
-    counts = F.transform(F.array_distinct(chars), lambda x: F.struct(x.alias("x"), F.size(F.filter(chars, lambda y: y == x)).alias("n")))
-    # Rare letters first, and of a letter its later occurrences; any order that both sides share is right.
-    numbered = F.flatten(F.transform(counts, lambda s: F.transform(F.sequence(F.lit(1), s.n), lambda i: F.concat(F.translate(s.x, RARE, ORDERED), F.lpad((9999 - i).cast("string"), 4, "0")))))
-    df = df.withColumn("_all", F.array_sort(numbered))
-    most = F.size("_all") - F.ceil(F.size("_all") * t / (2 - t) - 1e-9).cast("int") + 1
-    return df.withColumn("_rare", F.slice("_all", 1, most)).withColumnsRenamed({"_s": f"_s_{side}", "_all": f"_all_{side}", "_rare": f"_rare_{side}"})
-
-
 def tokens_of(c) -> Column:
     """Words of a description as the index has them: without brackets, dots and quotes, longer than two, with their singulars."""
     words = F.transform(F.split(F.lower(col(c)), r"[\s,;/]+"), lambda t: F.regexp_replace(t, "^[().'-]+|[().'-]+$", ""))
