@@ -68,15 +68,27 @@ class Encoder:
         self.apart = bool(split) and [x for _, x in split] == [(0, 2), (2, 2 + len(MARKS))] and self.last.any()
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(UPPER) == UPPER.lower()
         self.tails: dict[str, bytes] = {"": b""}
+        #: Characters whose normal form is letters, and others.
+        self.safe: set[str] = set()
+        self.unsafe: set[str] = set()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def letters(self, core: str) -> bool:
-        """Whether core is letters alone, before and after the tokenizer normalises it: no mark joins what follows it then."""
-        if core.isascii() or self.tokenizer.normalizer is None:
-            return core.isalpha()
-        return core.isalpha() and self.tokenizer.normalizer.normalize_str(core).isalpha()
+        """Whether core is letters alone, before and after the tokenizer normalises it: no mark joins what follows it then.
+
+        Each character is tried by itself, once: letters that a normal form composes are letters again.
+        """
+        if not core.isalpha():
+            return False
+        if core.isascii() or self.tokenizer.normalizer is None or self.safe.issuperset(core):
+            return True
+        if len(self.unsafe) > 100_000:
+            self.unsafe.clear()
+        for c in set(core) - self.safe - self.unsafe:
+            (self.safe if self.tokenizer.normalizer.normalize_str(c).isalpha() else self.unsafe).add(c)
+        return self.safe.issuperset(core)
 
     def learn(self, words: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
