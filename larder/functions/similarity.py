@@ -74,14 +74,32 @@ def _mask(p: Column, c: Column, start: Column, n: Column) -> Column:
     return F.aggregate(places, _long(0), lambda x, i: x.bitwiseOR(F.call_function("shiftleft", _long(1), i.cast("int"))))
 
 
+def _found(p: Column, text: Column) -> Column:
+    """For each character of text its places in p, which has one to BITS characters."""
+    places = F.transform(p, lambda x, i: F.call_function("shiftleft", _long(1), i))
+
+    def known(bits: Column) -> Column:
+        mask = lambda c: F.aggregate(F.zip_with(p, bits, lambda x, b: F.when(x == c, b).otherwise(_long(0))), _long(0), lambda x, b: x.bitwiseOR(b))
+        return F.map_from_entries(F.transform(F.array_distinct(p), lambda c: F.struct(c, mask(c))))
+
+    return _with(_with(places, known), lambda k: F.transform(text, lambda c: F.coalesce(F.try_element_at(k, c), _long(0))))
+
+
+def _run(found: Column, n: Column, full: Column) -> Column:
+    """The recurrence over the masks of a text's characters, full having the n lowest bits."""
+    return n - F.bit_count(F.aggregate(found, full, lambda s, m: (s + s.bitwiseAND(m)).bitwiseOR(s.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)))
+
+
 def _short(p: Column, text: Column) -> Column:
     """The common subsequence of arrays of characters, p of one to BITS."""
+    return _with(_bits(F.size(p)), lambda full: _run(_found(p, text), F.size(p), full))
+
+
+def _short_windows(p: Column, text: Column) -> Column:
+    """The longest of text's windows of p's length; each character is looked up once for all of them."""
     n = F.size(p)
-    known = F.map_from_entries(F.transform(F.array_distinct(p), lambda c: F.struct(c, _mask(p, c, _long(0), n))))
-    own = F.filter(text, lambda c: F.array_contains(p, c))  # others change nothing
-    found = _with(known, lambda k: F.transform(own, lambda c: F.element_at(k, c)))
-    state = lambda full: F.aggregate(found, full, lambda s, m: (s + s.bitwiseAND(m)).bitwiseOR(s.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full))
-    return n - F.bit_count(_with(_bits(n), state))
+    z = F.struct(_found(p, text).alias("found"), _bits(n).alias("full"))
+    return _with(z, lambda z: F.array_max(F.transform(F.sequence(F.lit(1), F.size(text) - n + 1), lambda i: _run(F.slice(z["found"], i, n), n, z["full"]))))
 
 
 def _long_one(p: Column, text: Column) -> Column:
@@ -134,8 +152,13 @@ def partial_ratio(a, b) -> Column:
     """The best ratio of the shorter string with any window of its length in the longer."""
     x, y = col(a), col(b)
     m, n = F.length(x), F.length(y)
-    p, text = _characters(F.when(m > n, y).otherwise(x)), _characters(F.when(m > n, x).otherwise(y))
-    windows = lambda z: F.transform(F.sequence(F.lit(1), F.size(z["text"]) - F.size(z["p"]) + 1), lambda i: common(z["p"], F.slice(z["text"], i, F.size(z["p"]))))
-    best = F.array_max(_with(F.struct(p.alias("p"), text.alias("text")), windows))
+    short, long = F.when(m > n, y).otherwise(x), F.when(m > n, x).otherwise(y)
+
+    def best(z: Column) -> Column:
+        p, text = z["p"], z["text"]
+        wide = F.array_max(F.transform(F.sequence(F.lit(1), F.size(text) - F.size(p) + 1), lambda i: common(p, F.slice(text, i, F.size(p)))))
+        return F.when(F.size(p) <= BITS, _short_windows(p, text)).otherwise(wide)
+
     least = F.least(m, n)
-    return F.when((least == 0) & (m == n), 100.0).when(least == 0, 0.0).when(F.contains(F.when(m > n, x).otherwise(y), F.when(m > n, y).otherwise(x)), 100.0).when(least > 0, 100.0 * best / least)
+    found = _with(F.struct(_characters(short).alias("p"), _characters(long).alias("text")), best)
+    return F.when((least == 0) & (m == n), 100.0).when(least == 0, 0.0).when(F.contains(long, short), 100.0).when(least > 0, 100.0 * found / least)

@@ -1,59 +1,143 @@
-"""Analysis of whole recipes from their lines, and repairs of mapping tables."""
+"""Analysis of whole recipes from their lines, and repairs of mapping tables.
+
+Lines repeat, and so do the names in them: distinct lines are parsed once and distinct names resolved once, layer by layer, into a dictionary that
+is stored and joined back to the lines.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions import lines, text
-from larder.operators import density, scoring
+from larder.operators import density, resolve, scoring
 from larder.operators.nutrition import nutrient_pivot
+from larder.sources.shared import cut
 
+NAMES = list(scoring.NUTRIENTS.values())
 
-def by_name(foods: DataFrame) -> DataFrame:
-    """(name, fdc_id, food) of the first food of each name."""
-    return foods.groupBy(F.lower("ingredient_name").alias("name")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food"))
+
+@dataclass(frozen=True)
+class Reference:
+    """What names are resolved with and lines are weighed with.
+
+    curated(key, food, fdc_id); pool and foods(fdc_id, description); nutrients(fdc_id, six per 100 g); densities(fdc_id, g_per_ml); others(code, ord,
+    name_en, name_fr, six per 100 g), the list in two languages; proxies(local, proxy, display), brands and noise as
+    resolve.clean_names takes them.
+    """
+
+    curated: DataFrame
+    pool: DataFrame
+    foods: DataFrame
+    nutrients: DataFrame
+    densities: DataFrame
+    others: DataFrame
+    proxies: DataFrame
+    brands: list[str] = field(default_factory=list)
+    noise: list[str] = field(default_factory=list)
 
 
 def per_100g(nutrients: DataFrame) -> DataFrame:
     wide = nutrient_pivot(nutrients)
-    return wide.select("fdc_id", *(F.col(n).cast("double").alias(n) for n in scoring.NUTRIENTS.values()))
+    return wide.select("fdc_id", *(F.col(n).cast("double").alias(n) for n in NAMES))
+
 
+def resolved_names(names: DataFrame, ref: Reference) -> DataFrame:
+    """(name, cleaned, fdc_id, code, food, match_type) of each distinct name: by curated keys and similarity, by search, then in the list of two languages, where the name as it stands comes after the cleaned one.
 
-def analyse_lines(df: DataFrame, matches: DataFrame, nutrients: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    A layer sees only the names that none before it has resolved, and is stored before the next one runs.
+    """
+    cleaned = cut(resolve.clean_names(names, ref.proxies, ref.brands, ref.noise).select("name", "cleaned"))
+    other = lambda left: resolve.bilingual_search(left, ref.others)
+    found = resolve.layers(
+        cleaned.select(F.col("cleaned").alias("name")),
+        [
+            ("manual_match", lambda left: resolve.match(left, ref.curated, ref.pool)),
+            ("usda_search", lambda left: resolve.search(left, ref.foods).withColumnRenamed("description", "food")),
+            ("wafct", other),
+        ],
+    )
+    both = cleaned.join(found.withColumnRenamed("name", "cleaned"), "cleaned")
+    rest = both.where("match_type = 'no_match' and lower(name) <> lower(cleaned)").select("name")
+    late = other(rest).select("name", F.col("code").alias("_code"), F.col("food").alias("_food"))
+    both = both.join(late, "name", "left")
+    hit = F.col("_code").isNotNull()
+    return both.select("name", "cleaned", "fdc_id", F.coalesce("code", "_code").alias("code"), F.coalesce("food", "_food").alias("food"), F.when(hit, "wafct").otherwise(F.col("match_type")).alias("match_type"))
+
+
+def weighed(parsed: DataFrame, ref: Reference) -> DataFrame:
+    """parsed lines(fdc_id, code, cleaned, volume_ml, grams, ...) with grams by density, status, and what they add of each nutrient.
+
+    A volume weighs by its food's own density, else by its name's category.  A status is the first that holds of
+    no_grams, no_usda_match, no_usda_data, matched.
+    """
+    own = ref.densities.select("fdc_id", F.when(F.col("g_per_ml").between(density.LOW, density.HIGH), F.col("g_per_ml")).alias("_own"))
+    per = ref.nutrients.select("fdc_id", F.struct(*NAMES).alias("_n"))
+    per_code = ref.others.select("code", F.struct(*(F.col(n).cast("double").alias(n) for n in NAMES)).alias("_c"))
+    df = parsed.join(own, "fdc_id", "left").join(per, "fdc_id", "left").join(per_code, "code", "left")
+    df = df.withColumn("grams", density.grams("volume_ml", F.coalesce("_own", density.category("cleaned")), "grams"))
+    per = F.coalesce("_c", "_n")
+    matched = F.col("fdc_id").isNotNull() | F.col("code").isNotNull()
+    status = F.when(F.coalesce("grams", F.lit(0.0)) == 0, "no_grams").when(~matched, "no_usda_match").when(per.isNull(), "no_usda_data").otherwise("matched")
+    df = df.withColumn("status", status)
+    adds = {n: F.when(F.col("status") == "matched", (F.col("grams") * F.coalesce(per[n], F.lit(0.0)) / 100).cast("decimal(20,6)")) for n in NAMES}
+    return df.withColumns(adds).drop("_own", "_n", "_c")
+
+
+DETAIL = ["qty", "unit", "name_raw", "cleaned", "fdc_id", "code", "food", "match_type", "grams", "status", *NAMES]
+
+
+def line_dictionary(df: DataFrame, ref: Reference, overrides: DataFrame | None = None) -> DataFrame:
+    """A row for each distinct line (raw), or, with overrides, for each line and food that a person chose for it."""
+    each = cut(lines.parsed_live(df.select("raw").where("raw is not null").distinct()))
+    names = resolved_names(each.select(F.col("name_raw").alias("name")), ref)
+    if overrides is None:
+        return weighed(each.join(names.withColumnRenamed("name", "name_raw"), "name_raw"), ref).select("raw", *DETAIL)
+    chosen = df.join(overrides, ["recipe_id", "ingredient_index"]).select("raw", "fdc_id").where("fdc_id is not null").distinct()
+    chosen = chosen.join(ref.foods.select("fdc_id", F.col("description").alias("food")), "fdc_id", "left").withColumn("food", F.coalesce("food", F.concat(F.lit("USDA "), F.col("fdc_id").cast("string"))))
+    cleaned = names.select(F.col("name").alias("name_raw"), "cleaned")
+    return weighed(chosen.withColumns({"code": F.lit(None).cast("string"), "match_type": F.lit("user_override")}).join(each.join(cleaned, "name_raw"), "raw"), ref).select("raw", *DETAIL)
+
+
+def analyse_lines(df: DataFrame, ref: Reference, overrides: DataFrame | None = None) -> DataFrame:
     """df(recipe_id, ingredient_index, raw) -> each line with quantity, food, weight, status and what it adds of each nutrient.
 
-    matches(name, fdc_id, food, maybe match_type) resolve distinct names; overrides(recipe_id, ingredient_index, fdc_id, food) come before
-    them.  A status is the first that holds of no_grams, no_usda_match, no_usda_data, matched.
+    overrides(recipe_id, ingredient_index, fdc_id), a row a line, come before all matching; a null fdc_id overrides nothing.
+    Null lines stay, without any of this; repeated lines are lines each; other columns of df are left behind.
+    """
+    df = df.select("recipe_id", "ingredient_index", "raw")
+    known = cut(line_dictionary(df, ref))
+    if overrides is None:
+        out = df.join(known, "raw", "left")
+    else:
+        o = overrides.select("recipe_id", "ingredient_index", "fdc_id").where("fdc_id is not null")
+        own = cut(line_dictionary(df, ref, o))
+        free = df.join(o, ["recipe_id", "ingredient_index"], "left_anti").join(known, "raw", "left")
+        out = free.unionByName(df.join(o, ["recipe_id", "ingredient_index"]).join(own, ["raw", "fdc_id"], "left").select(*free.columns))
+    return out.select("recipe_id", "ingredient_index", "raw", *DETAIL[:8], text.confidence("match_type").alias("confidence"), *DETAIL[8:])
+
+
+def analyse_recipes(df: DataFrame, ref: Reference, servings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """One row a recipe: nutrients per serving rounded to 0.1, coverage, and the risk of the rounded values.
+
+    servings(recipe_id, servings); what can't be read as a number counts as 1, less than 1 as 1.
     """
-    parsed = lines.parsed_live(df).withColumn("name", F.lower(F.trim("name_raw"))).join(matches, "name", "left").withColumn("match_type", F.when(F.col("fdc_id").isNotNull(), F.col("match_type") if "match_type" in matches.columns else F.lit("manual_match")).otherwise("no_match"))
-    if overrides is not None:
-        o = overrides.select("recipe_id", "ingredient_index", F.col("fdc_id").alias("_fdc"), F.col("food").alias("_food"))
-        parsed = parsed.join(o, ["recipe_id", "ingredient_index"], "left")
-        parsed = parsed.withColumns({"match_type": F.when(F.col("_fdc").isNotNull(), "user_override").otherwise(F.col("match_type")), "food": F.coalesce("_food", "food"), "fdc_id": F.coalesce("_fdc", "fdc_id")}).drop("_fdc", "_food")
-    weighed = parsed.withColumn("grams", density.grams("volume_ml", density.category(F.coalesce("food", "name")), "grams"))
-    out = weighed.join(nutrients.withColumn("_has", F.lit(True)), "fdc_id", "left")
-    status = F.when(F.col("grams").isNull(), "no_grams").when(F.col("fdc_id").isNull(), "no_usda_match").when(F.col("_has").isNull(), "no_usda_data").otherwise("matched")
-    out = out.withColumn("status", status).withColumns({n: F.when(F.col("status") == "matched", (F.col("grams") * F.coalesce(n, F.lit(0.0)) / 100).cast("decimal(20,6)")) for n in scoring.NUTRIENTS.values()})
-    return out.select("recipe_id", "ingredient_index", "raw", "qty", "unit", "name_raw", "fdc_id", "food", "match_type", text.confidence("match_type").alias("confidence"), "grams", "status", *scoring.NUTRIENTS.values())
-
-
-def analyse_recipes(df: DataFrame, matches: DataFrame, nutrients: DataFrame, servings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """One row a recipe: nutrients per serving rounded to 0.1, coverage, and the risk of the rounded values."""
-    a = analyse_lines(df, matches, nutrients, overrides)
-    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("double").alias(n) for n in scoring.NUTRIENTS.values()]
+    a = analyse_lines(df, ref, overrides)
+    sums = [F.coalesce(F.sum(n), F.lit(0)).cast("double").alias(n) for n in NAMES]
     total = a.groupBy("recipe_id").agg(F.count("*").alias("ingredients_total"), F.count(F.when(F.col("status") == "matched", 1)).alias("ingredients_used"), *sums)
     per = F.greatest(F.coalesce(F.col("servings").try_cast("int"), F.lit(1)), F.lit(1))
-    total = total.join(servings, "recipe_id", "left").withColumn("servings", per)
-    rounded = total.withColumns({n: scoring.rounded(F.col(n) / F.col("servings"), 1) for n in scoring.NUTRIENTS.values()})
+    total = total.join(servings.select("recipe_id", "servings"), "recipe_id", "left").withColumn("servings", per)
+    rounded = total.withColumns({n: scoring.rounded(F.col(n) / F.col("servings"), 1) for n in NAMES})
     names = df.select("recipe_id").distinct().withColumn("recipe_name", F.lit(None).cast("string"))
     return scoring.risk_scores(rounded, names).drop("recipe_name")
 
 
 def method_breakdown(measured: DataFrame) -> DataFrame:
     n = measured.groupBy("extraction_method").agg(F.count("*").alias("n"))
-    total = measured.agg(F.count("*").alias("total"))
-    return n.crossJoin(total).select("extraction_method", "n", F.floor(F.col("n") * 100 / F.col("total")).cast("int").alias("pct"))
+    total = F.sum("n").over(Window.partitionBy())  # of a row for each method
+    return n.select("extraction_method", "n", F.floor(F.col("n") * 100 / total).cast("int").alias("pct"))
 
 
 def fixed(mapping: DataFrame, fixes: DataFrame, key: str, applies: Column) -> DataFrame:

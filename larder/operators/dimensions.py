@@ -43,10 +43,10 @@ def replace_rows(df: DataFrame, new: DataFrame, ids: DataFrame, key: str) -> Dat
 
 
 def update_by_id(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows with the new values where there are any; columns as they were."""
-    fresh = new.select(key, *(F.col(c).alias(f"_new_{c}") for c in new.columns if c != key))
+    """Rows whose key new has take its values, nulls as well; columns as they were."""
+    fresh = new.select(key, F.struct(*(c for c in new.columns if c != key)).alias("_new"))
     out = df.join(fresh, key, "left")
-    return out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if f"_new_{c}" in out.columns else F.col(c) for c in df.columns))
+    return out.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in new.columns and c != key else F.col(c) for c in df.columns))
 
 
 def missing_ids(df: DataFrame, new: DataFrame, key: str) -> DataFrame:

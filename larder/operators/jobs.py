@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import lines, text
 from larder.operators import analysis, dimensions, resolve, scoring
+from larder.sources.shared import cut
 
 # Notes that the tables hold.
 ADDED = "Added from scraped allrecipes data"
@@ -17,44 +18,68 @@ ARTIFACT = "Parsing artefact: not a real ingredient"
 SCORED = [*scoring.NUTRIENTS.values(), "ingredient_coverage_pct", "energy_risk", "sodium_risk", "fat_risk", "sugar_risk", "protein_risk", "flag_count", "flag_risk_level", "weighted_risk_score", "weighted_risk_level", "data_status"]
 
 
-def integrate_source(scraped: DataFrame, recipes: DataFrame, master: DataFrame, mapping: DataFrame, curated: DataFrame, proxies: DataFrame, brands: list[str], noise: list[str]) -> dict[str, DataFrame]:
-    """The rows that a scraped source adds to four tables: recipes, lines, master and mapping.
+def integrate_source(
+    scraped: DataFrame, recipes: DataFrame, master: DataFrame, mapping: DataFrame, curated: DataFrame, proxies: DataFrame, brands: list[str], noise: list[str], pool: DataFrame | None = None, first_id: int | None = None
+) -> dict[str, DataFrame]:
+    """The rows that a scraped source adds to four tables (recipes, lines, master, mapping), and their counters (stats, one row).
 
     scraped(ord, recipe_title, servings, ingredients, source_url), ord in the order of the source; recipes(recipe_id),
     master(ingredient_id, ingredient_name) and mapping(recipe_ingredient_name) as they are; curated(key, food, fdc_id);
-    proxies(local, proxy, display).  Ids go on from the highest there is, names in order of first appearance.  Lines
-    whose name has fewer than two characters, before cleaning or after, are left out; numbers of lines count them.
-    Names are resolved once each.  A null list of ingredients has no lines, a null title stays null.
+    pool(fdc_id, description), foods that a name may resemble; proxies(local, proxy, display).  Ids go on from the highest there is, or
+    start from first_id, names in order of first appearance.  A source whose first_id recipes has was integrated before: ValueError.
+    Lines whose name has fewer than two characters, before cleaning or after, are left out; numbers of lines count them.
+    The lines are parsed and numbered in one stored pass, names are resolved once each.  A null list of ingredients has no lines, a null title stays null.
     """
-    top = recipes.agg(F.coalesce(F.max("recipe_id"), F.lit(0)).alias("_top"))  # one row
-    new = dimensions.assign_ids(scraped, "ord", 1, "_place").crossJoin(F.broadcast(top)).withColumn("recipe_id", F.col("_top") + F.col("_place"))
+    if first_id is not None and dimensions.already_integrated(recipes, "recipe_id", first_id):
+        raise ValueError(f"recipe {first_id} is there already: this source was integrated before")
+    top = recipes.agg(F.coalesce(F.max("recipe_id"), F.lit(0)).alias("_top")) if first_id is None else recipes.sparkSession.range(1).select(F.lit(first_id - 1).cast("long").alias("_top"))
+    new = cut(dimensions.assign_ids(scraped, "ord", 1, "_place").crossJoin(F.broadcast(top)).withColumn("recipe_id", F.col("_top") + F.col("_place")))  # by one row
     added = new.select("recipe_id", F.upper(F.trim("recipe_title")).alias("recipe_name"), F.lit("").alias("cuisine"), F.trim("servings").alias("servings_raw"), F.trim("source_url").alias("recipe_url"), F.lit("").alias("instructions"))
 
-    parsed = lines.parsed_batch(lines.exploded(new.select("recipe_id", "ingredients"), "ingredients"))
-    parsed = parsed.withColumn("name", text.remainder_name("remainder")).where(F.length("name") >= 2)
-    parsed = parsed.join(resolve.clean_names(parsed, proxies, brands, noise), "name").where(F.length("cleaned") >= 2)
-    parsed = parsed.withColumns({"key": F.lower("cleaned"), "_at": F.struct("recipe_id", "ingredient_index")})
-    first = parsed.groupBy("key").agg(F.min_by(F.struct("cleaned", "tag", "display"), "_at").alias("f")).select("key", "f.*")
+    every = lines.parsed_batch(lines.exploded(new.select("recipe_id", "ingredients"), "ingredients")).withColumn("name", text.remainder_name("remainder"))
+    every = cut(every.select("recipe_id", "ingredient_index", "measure_only", "grams", "name"))
+    names = resolve.clean_names(every.where(F.length("name") >= 2), proxies, brands, noise).where(F.length("cleaned") >= 2)
+    parsed = cut(every.join(names, "name").withColumns({"key": F.lower("cleaned"), "_at": F.struct("recipe_id", "ingredient_index")}))
+    first = cut(parsed.groupBy("key").agg(F.min_by(F.struct("cleaned", "tag", "display"), "_at").alias("f"), F.count("*").alias("n")).select("key", "f.*", "n"))
 
     known = master.select(F.lower("ingredient_name").alias("key"), "ingredient_id").groupBy("key").agg(F.min("ingredient_id").alias("ingredient_id"))
-    ids = dimensions.get_or_create(parsed, known, "key", "_at", "ingredient_id")
+    ids = cut(dimensions.get_or_create(parsed, known, "key", "_at", "ingredient_id"))
     rows = parsed.join(ids, "key").select("recipe_id", "ingredient_id", "ingredient_index", F.lit(1).alias("portion_factor"), F.when(F.col("grams").isNotNull(), F.concat(F.col("grams").cast("string"), F.lit(" g"))).otherwise("").alias("actual_measure"), "measure_only")
     fresh = first.join(known, "key", "left_anti").join(ids, "key")
     base, form = text.base_ingredient("cleaned"), text.form("cleaned")
-    names = fresh.select("ingredient_id", F.col("cleaned").alias("ingredient_name"), base.alias("base_ingredient"), form.alias("form"), text.lookup_key("cleaned").alias("nutrition_lookup_key"))
+    created = fresh.select("ingredient_id", F.col("cleaned").alias("ingredient_name"), base.alias("base_ingredient"), form.alias("form"), text.lookup_key("cleaned").alias("nutrition_lookup_key"))
 
     unmapped = first.join(mapping.select(F.lower("recipe_ingredient_name").alias("key")).distinct(), "key", "left_anti")
-    hits = resolve.match_ladder(unmapped.select(F.col("cleaned").alias("name")), curated).withColumnRenamed("name", "cleaned")
-    mapped = unmapped.join(hits, "cleaned", "left").select(
-        F.col("cleaned").alias("recipe_ingredient_name"),
-        F.col("display").alias("cleaned_ingredient_name"),
-        F.col("fdc_id").alias("matched_fdc_id"),
-        F.col("food").alias("matched_food_name"),
-        F.when(F.col("fdc_id").isNotNull(), "matched").otherwise("skip").alias("match_status"),
-        F.when(F.col("tag") == "african_proxy", "african_proxy").when(F.col("fdc_id").isNotNull(), "manual_match").otherwise("no_match").alias("match_type"),
-        F.lit(ADDED).alias("notes"),
+    hits = resolve.match(unmapped.select(F.col("cleaned").alias("name")), curated, pool).withColumnRenamed("name", "cleaned")
+    mapped = cut(
+        unmapped.join(hits, "cleaned", "left").select(
+            F.col("cleaned").alias("recipe_ingredient_name"),
+            F.col("display").alias("cleaned_ingredient_name"),
+            F.col("fdc_id").alias("matched_fdc_id"),
+            F.col("food").alias("matched_food_name"),
+            F.when(F.col("fdc_id").isNotNull(), "matched").otherwise("skip").alias("match_status"),
+            F.when(F.col("tag") == "african_proxy", "african_proxy").otherwise(F.coalesce("match_type", F.lit("no_match"))).alias("match_type"),
+            F.lit(ADDED).alias("notes"),
+        )
     )
-    return {"recipes": added, "lines": rows, "master": names, "mapping": mapped}
+    # Lines whose name the tables have, or an earlier line has brought, reuse it.
+    of_lines = parsed.agg(F.count("*").alias("parsed"), F.count("grams").alias("has_grams"))
+    of_new = fresh.agg(F.count("*").alias("master_new"))
+    of_mapping = mapped.agg(F.count("matched_fdc_id").alias("mapping_new_matched"), F.count_if(F.col("matched_fdc_id").isNull()).alias("mapping_new_no_match"))
+    stats = new.agg(F.count("*").alias("recipes")).crossJoin(every.agg(F.count("*").alias("lines"))).crossJoin(of_lines).crossJoin(of_new).crossJoin(of_mapping)  # one row each
+    stats = stats.select(
+        "recipes",
+        F.col("parsed").alias("ingredients_parsed"),
+        (F.col("lines") - F.col("parsed")).alias("ingredients_skipped"),
+        (F.col("parsed") - F.col("master_new")).alias("master_reused"),
+        "master_new",
+        (F.col("parsed") - F.col("mapping_new_matched") - F.col("mapping_new_no_match")).alias("mapping_reused"),
+        "mapping_new_matched",
+        "mapping_new_no_match",
+        "has_grams",
+        (F.col("parsed") - F.col("has_grams")).alias("no_grams"),
+    )
+    return {"recipes": added, "lines": rows, "master": created, "mapping": mapped, "stats": stats}
 
 
 def staged(mapping: DataFrame) -> Column:
@@ -99,8 +124,8 @@ def rematch_full(mapping: DataFrame, foods: DataFrame, threshold: float = 65.0)
     return df.select(*(F.when(hit, now[c]).otherwise(F.col(c)).alias(c) if c in now else F.col(c) for c in mapping.columns))
 
 
-def reanalyse(scraped: DataFrame, scores: DataFrame, matches: DataFrame, nutrients: DataFrame, excluded: list[int]) -> DataFrame:
-    """scores with the recipes of scraped(recipe_id, servings, ingredients) analysed anew; all others stay.
+def reanalyse(scraped: DataFrame, scores: DataFrame, ref: analysis.Reference, excluded: list[int]) -> DataFrame:
+    """scores with the recipes of scraped(recipe_id, servings, ingredients) analysed anew, nulls included; all others stay.
 
     Recipes without lines, excluded ones and ones that scores doesn't have change nothing.  Servings below 1 count as 4;
     unreadable ones give way to those of scores, then to 4.  A recipe with energy is ``calculated``, else ``insufficient_data``.
@@ -110,7 +135,7 @@ def reanalyse(scraped: DataFrame, scores: DataFrame, matches: DataFrame, nutrien
     stated = F.col("servings").cast("string").try_cast("double").try_cast("int")
     servings = s.select("recipe_id", F.when(stated < 1, 4).otherwise(F.coalesce(stated, F.col("_old").try_cast("int"), F.lit(4))).alias("servings"))
     each = lines.exploded(s.select("recipe_id", "ingredients"), "ingredients").withColumn("raw", text.scraped_line("raw")).where("raw <> ''")
-    found = analysis.analyse_recipes(each, matches, nutrients, servings)
+    found = analysis.analyse_recipes(each, ref, servings)
     found = found.withColumn("data_status", F.when(F.col("energy_kcal").cast("double") > 0, "calculated").otherwise("insufficient_data"))
     types = dict(scores.dtypes)
     return dimensions.update_by_id(scores, found.select("recipe_id", *(F.col(c).cast(types[c]).alias(c) for c in SCORED if c in types)), "recipe_id")

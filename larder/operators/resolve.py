@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions import similarity
 from larder.functions.text import col
 from larder.operators import fuzzy
+from larder.sources.shared import cut
 
 # Words that stand before or after a name without changing the food, and words of composed dishes.
 MODIFIERS = "ripe overripe unripe fresh dried dehydrated reconstituted canned tinned frozen thawed jarred raw cooked roasted toasted smoked charred boiled steamed fried diced chopped sliced minced grated crushed ground mashed pureed blended shredded whole halved quartered cubed baby mini mild hot spicy extra plain organic mixed assorted".split()
@@ -133,9 +134,12 @@ def bilingual_search(names: DataFrame, foods: DataFrame, threshold: float = 55.0
     asked = F.filter(F.split("_q", r"\s+"), lambda t: F.length(t) > 2)
     q = names.select("name").distinct().withColumn("_q", F.lower(F.trim("name"))).select("name", "_q", F.explode(F.array_distinct(F.concat(asked, one(asked)))).alias("_t"))
     index = foods.select("ord", F.explode(F.array_distinct(F.concat(words, one(words)))).alias("_t"))
-    c = q.join(index, "_t").select("name", "_q", "ord").distinct().join(foods, "ord")
-    french = F.when(F.col("_fr") != "", similarity.partial_ratio("_q", "_fr")).otherwise(0.0)
-    c = c.withColumn("_s", F.greatest(similarity.partial_ratio("_q", "_en"), french)).where(F.col("_s") >= threshold)
+    c = cut(q.join(index, "_t").select("name", "_q", "ord").distinct().join(foods, "ord"))
+    # Names repeat from food to food, those of the other language most of all: a pair of strings is compared once.
+    english = c.select("_q", "_en").distinct().withColumn("_e", similarity.partial_ratio("_q", "_en"))
+    french = c.where("_fr <> ''").select("_q", "_fr").distinct().withColumn("_f", similarity.partial_ratio("_q", "_fr"))
+    c = c.join(english, ["_q", "_en"]).join(french, ["_q", "_fr"], "left")
+    c = c.withColumn("_s", F.greatest("_e", F.coalesce("_f", F.lit(0.0)))).where(F.col("_s") >= threshold)
     every = F.forall(asked, lambda t: F.contains("_en", t) | F.contains("_fr", t))
     plain = F.col("_en").rlike("raw|dried|flour|fresh|boiled")
     c = c.withColumn("score", F.col("_s") + F.when(every, 15.0).otherwise(0.0) + F.when(plain, 10.0).otherwise(0.0) - F.when(F.length("name_en") > 60, 5.0).otherwise(0.0))
@@ -151,20 +155,39 @@ def first_rule(names: DataFrame, rules: DataFrame) -> DataFrame:
     return distinct.join(hits, "name", "left").select("name", "b.keyword", "b.food")
 
 
+def match(names: DataFrame, curated: DataFrame, pool: DataFrame | None, keys: float = 78.0, foods: float = 70.0) -> DataFrame:
+    """names(name), curated(key, food, fdc_id), pool(fdc_id, description) -> (name, food, fdc_id, match_type): by the ladder of keys, by similarity to a key, by similarity to a food of the pool.
+
+    Of keys and descriptions that are as similar the one of the least fdc_id counts.
+    """
+    key = curated.groupBy("key").agg(F.min(F.struct("fdc_id", "food")).alias("ord"))
+    similar = lambda which, threshold: lambda left: match_fuzzy(left, which, threshold).select("name", "ord.food", "ord.fdc_id", "match_type")
+    steps = [("manual_match", lambda left: match_ladder(left, curated)), ("fuzzy", similar(key, keys))]
+    if pool is not None:
+        food = pool.groupBy(F.lower("description").alias("key")).agg(F.min(F.struct("fdc_id", F.col("description").alias("food"))).alias("ord"))
+        steps.append(("fuzzy", similar(food, foods)))
+    return layers(names, steps).where("match_type <> 'no_match'").drop("code")
+
+
 Layer = tuple[str, Callable[[DataFrame], DataFrame]]
 
 
 def layers(names: DataFrame, steps: list[Layer]) -> DataFrame:
-    """(name, fdc_id, match_type): each step sees only the names that no step before it has resolved.
+    """(name, fdc_id, code, food, match_type): each step sees only the names that no step before it has resolved.
 
-    A step takes (name) and gives (name, fdc_id); its label becomes match_type, and ``no_match`` what is left.
+    A step takes (name) and gives (name, fdc_id or code, maybe food and match_type); without one its label becomes
+    match_type, and ``no_match`` what is left.  What a step finds is stored before the next one runs.
     """
-    left, out = names.select("name").distinct(), None
+    left, out = cut(names.select("name").distinct()), None
     for label, step in steps:
-        found = step(left).select("name", "fdc_id", F.lit(label).alias("match_type"))
+        found = step(left)
+        null = lambda t: F.lit(None).cast(t)
+        of = lambda c, t, found=found, null=null: (F.col(c).cast(t) if c in found.columns else null(t)).alias(c)
+        kind = F.col("match_type") if "match_type" in found.columns else F.lit(label)
+        found = cut(found.select("name", of("fdc_id", "long"), of("code", "string"), of("food", "string"), kind.alias("match_type")))
         out = found if out is None else out.unionByName(found)
         left = left.join(found, "name", "left_anti")
-    rest = left.select("name", F.lit(None).cast("long").alias("fdc_id"), F.lit("no_match").alias("match_type"))
+    rest = left.select("name", F.lit(None).cast("long").alias("fdc_id"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("food"), F.lit("no_match").alias("match_type"))
     return rest if out is None else out.unionByName(rest)
 
 
@@ -172,15 +195,15 @@ def clean_names(names: DataFrame, proxies: DataFrame, brands: list[str], noise:
     """names(name), proxies(local, proxy, display) -> each distinct name with cleaned, tag and display.
 
     A local name gives way to its proxy, with its brand or without; any other name loses brands and noise (patterns, in
-    their order), unwraps brackets and is trimmed.  Proxies and patterns are lists that people keep.
+    their order), unwraps brackets and is trimmed.  Patterns are a list that people keep; proxies are joined as a table, of one local name the least counts.
     """
     low = F.lower(F.trim("name"))
     bare = low
     for p in brands:
         bare = F.regexp_replace(bare, rf"(?i)^{p}\s+", "")
     df = names.select("name").distinct().withColumns({"_a": low, "_b": F.trim(bare)})
-    p = F.broadcast(proxies)
-    df = df.join(p.select(F.col("local").alias("_a"), F.struct("proxy", "display").alias("_pa")), "_a", "left").join(p.select(F.col("local").alias("_b"), F.struct("proxy", "display").alias("_pb")), "_b", "left")
+    p = proxies.groupBy("local").agg(F.min(F.struct("proxy", "display")).alias("p"))
+    df = df.join(p.select(F.col("local").alias("_a"), F.col("p").alias("_pa")), "_a", "left").join(p.select(F.col("local").alias("_b"), F.col("p").alias("_pb")), "_b", "left")
     quiet = F.col("_b")
     for x in noise:
         quiet = F.regexp_replace(quiet, rf"(?i){x}", " ")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.operators import analysis, jobs, models, resolve
+from larder.operators import dimensions, jobs, models, resolve
 from larder.plans.adapter import table
 from larder.plans.registry import SHARED, query
 from larder.plans.relational import scores
-from larder.plans.text import food_names, joined, line
+from larder.plans.text import PERCENT, food_names, fuzzy_sql, joined, recipes_sql, reference, two_languages
 from larder.sources import tables
 from larder.sources.shared import cut, new_path
 
@@ -85,7 +85,14 @@ SHARED["new_recipe"] = f"SELECT o.recipe_id AS old_id, {TOP} + row_number() OVER
 SHARED["new_name"] = "SELECT name, 900000000 + row_number() OVER (ORDER BY min(struct_pack(a := recipe_id, b := ingredient_index))) AS ingredient_id FROM scraped_name WHERE name NOT IN (SELECT name FROM have WHERE id % 2 = 0) GROUP BY name"
 
 
-def source(s: SparkSession, d: str) -> dict[str, DataFrame]:
+SHARED["key2"] = "SELECT name, min(id) AS id FROM have WHERE id % 5 <> 0 AND name LIKE '%e%' GROUP BY name"
+SHARED["unmapped"] = "SELECT DISTINCT name FROM scraped_name WHERE name NOT IN (SELECT name FROM have WHERE id % 3 = 0)"
+SHARED["like2"] = f"SELECT *, {PERCENT} AS match_type FROM ({fuzzy_sql('SELECT name FROM unmapped WHERE name NOT IN (SELECT name FROM key2)', 'SELECT name AS key, id AS ord FROM key2', 78)})"
+SHARED["mapped2"] = "SELECT u.name, coalesce(k.id, l.ord) AS id, coalesce(k.name, l.key) AS food, CASE WHEN k.id IS NOT NULL THEN 'manual_match' ELSE coalesce(l.match_type, 'no_match') END AS match_type FROM unmapped u LEFT JOIN key2 k ON k.name = u.name LEFT JOIN like2 l ON l.name = u.name"
+
+
+def source(s: SparkSession, d: str, first_id: int | None = None) -> dict[str, DataFrame]:
+    """Recipes of every line as a scraped source; keys are curated for names with an e, others may resemble one."""
     have = table(s, d, "food").groupBy(F.col("ingredient_name").alias("name")).agg(F.min("ingredient_id").alias("id"))
     scraped = joined(s, d).select(F.col("recipe_id").alias("ord"), F.concat(F.lit(" title "), F.col("recipe_id").cast("string")).alias("recipe_title"), F.lit(" 4 ").alias("servings"), "ingredients", F.concat(F.lit("x/"), F.col("recipe_id").cast("string")).alias("source_url"))
     # The highest id of the master belongs to a name that no line has.
@@ -95,10 +102,11 @@ def source(s: SparkSession, d: str) -> dict[str, DataFrame]:
         s.createDataFrame([(TOP,)], "recipe_id long"),
         master,
         have.where("id % 3 = 0").select(F.col("name").alias("recipe_ingredient_name")),
-        have.where("id % 5 <> 0").select(F.col("name").alias("key"), F.col("name").alias("food"), F.col("id").alias("fdc_id")),
+        have.where("id % 5 <> 0 and name like '%e%'").select(F.col("name").alias("key"), F.col("name").alias("food"), F.col("id").alias("fdc_id")),
         s.createDataFrame([], "local string, proxy string, display string"),
         [],
         [],
+        first_id=first_id,
     )
 
 
@@ -109,9 +117,23 @@ query("integrate_source", "SELECT r.recipe_id, coalesce(h.id, n.ingredient_id) A
     lambda s, d: source(s, d)["lines"].select("recipe_id", "ingredient_id", "ingredient_index", F.regexp_extract("actual_measure", "^([0-9.E]+) g$", 1).try_cast("double").alias("grams"), "measure_only")
 )
 query("integrate_master", "SELECT ingredient_id, name AS ingredient_name FROM new_name")(lambda s, d: source(s, d)["master"].select("ingredient_id", "ingredient_name"))
-query("integrate_mapping", "SELECT x.name AS recipe_ingredient_name, h.id AS matched_fdc_id, h.name AS matched_food_name, CASE WHEN h.id IS NULL THEN 'skip' ELSE 'matched' END AS match_status FROM (SELECT DISTINCT name FROM scraped_name) x LEFT JOIN have h ON h.name = x.name AND h.id % 5 <> 0 WHERE x.name NOT IN (SELECT name FROM have WHERE id % 3 = 0)")(
-    lambda s, d: source(s, d)["mapping"].select("recipe_ingredient_name", "matched_fdc_id", "matched_food_name", "match_status")
+query("integrate_mapping", "SELECT name AS recipe_ingredient_name, id AS matched_fdc_id, food AS matched_food_name, CASE WHEN id IS NULL THEN 'skip' ELSE 'matched' END AS match_status, match_type FROM mapped2")(
+    lambda s, d: source(s, d)["mapping"].select("recipe_ingredient_name", "matched_fdc_id", "matched_food_name", "match_status", "match_type")
 )
+query(
+    "integration_stats",
+    "SELECT (SELECT count(*) FROM new_recipe) AS recipes, count(*) AS ingredients_parsed, 0 AS ingredients_skipped, count(*) - (SELECT count(*) FROM new_name) AS master_reused, (SELECT count(*) FROM new_name) AS master_new, count(*) - (SELECT count(*) FROM mapped2) AS mapping_reused, (SELECT count(id) FROM mapped2) AS mapping_new_matched, (SELECT count(*) - count(id) FROM mapped2) AS mapping_new_no_match, count(grams2) AS has_grams, count(*) - count(grams2) AS no_grams FROM scraped_name",
+)(lambda s, d: source(s, d)["stats"])
+
+
+def guarded(s: SparkSession, d: str) -> DataFrame:
+    """For sources that would start at some id: whether recipes have it, so that the source is refused."""
+    have = table(s, d, "recipes").select("recipe_id")
+    firsts = [3, 5, -1, 10**9]
+    return s.createDataFrame([(i, dimensions.already_integrated(have, "recipe_id", i)) for i in firsts], "first_id long, refused boolean")
+
+
+query("idempotency_guard", "SELECT CAST(i AS BIGINT) AS first_id, i IN (SELECT recipe_id FROM recipes) AS refused FROM (VALUES (3), (5), (-1), (1000000000)) AS x(i)")(guarded)
 
 # ---------------------------------------------------------------- fixes
 
@@ -132,15 +154,9 @@ FROM (SELECT f.ingredient_id, f.ingredient_id % 7 <> 0 AND f.ingredient_id % 5 <
         [r.name for r in food_names(s, d).where("name like 'a%' or name like 'b%'").collect()],  # a list that people keep
     )
 )
-query("rematch_full")(lambda s, d: jobs.rematch_full(mapping(s, d), table(s, d, "food")))
-
-
-def two_languages(s: SparkSession, d: str) -> DataFrame:
-    """Foods by English description and brand, the brand standing for the other language."""
-    return table(s, d, "part").selectExpr("concat('01_', p_partkey) AS code", "p_partkey AS ord", "concat(p_name, ', ', lower(p_type)) AS name_en", "lower(p_brand) AS name_fr")
-
-
-query("bilingual_search")(lambda s, d: resolve.bilingual_search(food_names(s, d), two_languages(s, d)))
+STAGED = "SELECT ingredient_id, upper(ingredient_name) AS name, ingredient_id % 7 = 0 AS matched, CASE WHEN ingredient_id % 5 = 0 THEN 'by hand' ELSE 'scraped' END AS notes, ingredient_id % 7 <> 0 AND ingredient_id % 5 <> 0 AS open FROM food"
+LIKED = fuzzy_sql(f"SELECT lower(name) AS name FROM ({STAGED}) WHERE open", "SELECT lower(description) AS key, min(fdc_id) AS ord FROM food GROUP BY 1", 65)
+query("rematch_full", f"SELECT m.ingredient_id, m.name, CASE WHEN m.matched OR h.ord IS NOT NULL THEN 'matched' ELSE 'skip' END AS match_status, CASE WHEN h.ord IS NOT NULL THEN '{jobs.REMATCHED}' ELSE m.notes END AS notes, h.ord AS fdc_id, f.description AS food, CASE WHEN h.ord IS NOT NULL THEN concat('fuzzy_usda_', CAST(CAST(floor(similarity) AS INTEGER) AS VARCHAR), '%') ELSE 'no_match' END AS match_type FROM ({STAGED}) m LEFT JOIN ({LIKED}) h ON h.name = lower(m.name) AND m.open LEFT JOIN food f ON f.fdc_id = h.ord")(lambda s, d: jobs.rematch_full(mapping(s, d), table(s, d, "food")))
 
 
 def resolved_names(s: SparkSession, d: str) -> DataFrame:
@@ -149,22 +165,22 @@ def resolved_names(s: SparkSession, d: str) -> DataFrame:
     names = table(s, d, "part").selectExpr("CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, 'x') WHEN 2 THEN concat(p_name, ' ', lower(p_type)) ELSE concat(p_brand, ' ', p_size) END AS name")
     keys = foods.groupBy(F.col("ingredient_name").alias("key")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food"))
     both = two_languages(s, d)
-    return resolve.layers(
+    found = resolve.layers(
         names,
         [
             ("manual_match", lambda left: resolve.match_ladder(left, keys)),
-            ("fuzzy", lambda left: resolve.match_fuzzy(left, keys.select("key", F.col("fdc_id").alias("ord")), 78.0).select("name", F.col("ord").alias("fdc_id"))),
+            ("fuzzy", lambda left: resolve.match_fuzzy(left, keys.select("key", F.col("fdc_id").alias("ord")), 78.0).select("name", F.col("ord").alias("fdc_id"), F.lit("fuzzy").alias("match_type"))),
             ("usda_search", lambda left: resolve.search(left, foods)),
             ("wafct", lambda left: resolve.bilingual_search(left, both).select("name", F.substring("code", 4, 20).cast("long").alias("fdc_id"))),
         ],
     )
+    return found.select("name", "fdc_id", "match_type")
 
 
 query("resolve_every_layer")(resolved_names)
-query("reanalyse")(
-    lambda s, d: (lambda sc: jobs.reanalyse(line(s, d).where("recipe_id % 3 = 0").groupBy("recipe_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ingredient_index", "raw"))), lambda x: x.raw), " | ").alias("ingredients")).withColumn("servings", F.when(F.col("recipe_id") % 2 == 0, "6")), sc, analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient")), []))(
-        cut(scores(s, d).withColumn("servings", F.lit(4)) if "servings" not in scores(s, d).columns else scores(s, d))
-    )
+NEW_SERVINGS = "SELECT recipe_id, CASE WHEN recipe_id % 2 = 0 THEN 6 ELSE servings END AS servings FROM nutrition"
+query("reanalyse", "SELECT o.recipe_id, o.servings, " + ", ".join(f"CASE WHEN n.recipe_id IS NULL THEN o.{c} ELSE n.{c} END AS {c}" for c in jobs.SCORED) + f" FROM scores o LEFT JOIN ({recipes_sql(NEW_SERVINGS)}) n ON n.recipe_id = o.recipe_id AND o.recipe_id % 3 = 0")(
+    lambda s, d: jobs.reanalyse(joined(s, d).where("recipe_id % 3 = 0").withColumn("servings", F.when(F.col("recipe_id") % 2 == 0, "6")), cut(scores(s, d)), reference(s, d), []).select("recipe_id", "servings", *jobs.SCORED)
 )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text
-from larder.operators import dedup, dimensions, insights, nutrition, scoring
+from larder.operators import dedup, dimensions, insights, nutrition, resolve, scoring
 from larder.plans.adapter import table
 from larder.plans.registry import SHARED, query
 
@@ -287,6 +287,14 @@ query("last_wins_lookup", "SELECT l_orderkey AS k, max_by(l_partkey, (l_linenumb
 
 # ---------------------------------------------------------------- dimension upkeep
 
+
+def laddered(new: DataFrame, foods: DataFrame) -> DataFrame:
+    """New names by the ladder of keys over the names of foods."""
+    keys = foods.groupBy(F.col("ingredient_name").alias("key")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food"))
+    hits = resolve.match_ladder(new, keys).select("name", F.lit("matched").alias("status"))
+    return new.join(hits, "name", "left").select("name", F.coalesce("status", F.lit("skip")).alias("status"))
+
+
 query("assign_recipe_ids", "SELECT c_custkey AS src_ord, upper(c_name) AS recipe_name, CAST(500000 + row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS recipe_id FROM customer")(
     lambda s, d: dimensions.assign_ids(table(s, d, "customer").select(F.col("c_custkey").alias("src_ord"), F.upper("c_name").alias("recipe_name")), "src_ord", 500_000, "recipe_id")
 )
@@ -297,18 +305,13 @@ query("get_or_create_ingredient", f"SELECT n.name, coalesce(m.ingredient_id, (SE
         table(s, d, "part").select(F.lower("p_type").alias("name"), F.col("p_partkey").alias("ord")), s.sql("SELECT DISTINCT lower(p_type) AS name, CAST(dense_rank() OVER (ORDER BY lower(p_type)) AS BIGINT) AS ingredient_id FROM {part} WHERE p_size % 9 = 0", part=table(s, d, "part")), "name", "ord", "ingredient_id"
     )
 )
-query("get_or_create_mapping", "SELECT DISTINCT f.ingredient_name AS name, CASE WHEN x.name IS NOT NULL THEN 'reused' WHEN strpos(f.ingredient_name, 'a') > 0 THEN 'matched' ELSE 'skip' END AS status FROM food f LEFT JOIN (SELECT DISTINCT ingredient_name AS name FROM food WHERE ingredient_id % 50 = 0) x ON x.name = f.ingredient_name")(
-    lambda s, d: dimensions.mapping_for(table(s, d, "food").select(F.col("ingredient_name").alias("name")), table(s, d, "food").where("ingredient_id % 50 = 0").select(F.col("ingredient_name").alias("name")), lambda new: new.withColumn("status", F.when(F.col("name").contains("a"), "matched").otherwise("skip")))
+KEYS = "SELECT ingredient_name AS key, min(fdc_id) AS fdc_id FROM food WHERE ingredient_name LIKE '%a%' GROUP BY 1"
+query("get_or_create_mapping", f"SELECT DISTINCT f.ingredient_name AS name, CASE WHEN x.name IS NOT NULL THEN 'reused' WHEN k.key IS NOT NULL THEN 'matched' ELSE 'skip' END AS status FROM food f LEFT JOIN (SELECT DISTINCT ingredient_name AS name FROM food WHERE ingredient_id % 50 = 0) x ON x.name = f.ingredient_name LEFT JOIN ({KEYS}) k ON k.key = f.ingredient_name OR f.ingredient_name LIKE 'hot %' AND k.key = substr(f.ingredient_name, 5)")(
+    lambda s, d: (lambda foods: dimensions.mapping_for(foods.select(F.col("ingredient_name").alias("name")), foods.where("ingredient_id % 50 = 0").select(F.col("ingredient_name").alias("name")), lambda new: laddered(new, foods.where("ingredient_name like '%a%'"))))(table(s, d, "food"))
 )
 query("replace_rows", "SELECT recipe_id, ingredient_index, ingredient_id FROM recipe_ingredient WHERE recipe_id % 10 <> 0 UNION ALL SELECT recipe_id, ingredient_index, ingredient_id + 1 FROM recipe_ingredient WHERE recipe_id % 10 = 0 AND ingredient_index <= 2")(
     lambda s, d: (lambda x: dimensions.replace_rows(x.select("recipe_id", "ingredient_index", "ingredient_id"), x.where("recipe_id % 10 = 0 and ingredient_index <= 2").select("recipe_id", "ingredient_index", (F.col("ingredient_id") + 1).alias("ingredient_id")), x.where("recipe_id % 10 = 0").select("recipe_id"), "recipe_id"))(table(s, d, "recipe_ingredient"))
 )
-query("idempotency_guard", "SELECT (SELECT count(*) FROM recipes WHERE recipe_id >= 3 AND recipe_id < 10) > 0 AS first_id_exists, (SELECT count(*) FROM recipes WHERE recipe_id = -1) > 0 AS predecessor_present")(
-    lambda s, d: table(s, d, "recipes").agg((F.count_if((F.col("recipe_id") >= 3) & (F.col("recipe_id") < 10)) > 0).alias("first_id_exists"), (F.count_if(F.col("recipe_id") == -1) > 0).alias("predecessor_present"))
-)
 query("update_by_id", "SELECT n.recipe_id, CASE WHEN n.recipe_id % 6 = 0 THEN 1.5 ELSE n.energy_kcal END AS energy_kcal, CASE WHEN n.recipe_id % 6 = 0 THEN 9 ELSE n.servings END AS servings FROM nutrition n")(
     lambda s, d: (lambda n: dimensions.update_by_id(n.select("recipe_id", "energy_kcal", "servings"), n.where("recipe_id % 6 = 0").select("recipe_id", F.lit(1.5).alias("energy_kcal"), F.lit(9).alias("servings")), "recipe_id"))(recipe_nutrition(s, d))
 )
-query("integration_stats", "SELECT count(*) AS parsed, count(unit_grams) AS with_grams, count(*) - count(unit_grams) AS without_grams, count(DISTINCT ingredient_id) AS ingredients FROM recipe_ingredient")(
-    lambda s, d: table(s, d, "recipe_ingredient").agg(F.count("*").alias("parsed"), F.count("unit_grams").alias("with_grams"), F.count_if(F.col("unit_grams").isNull()).alias("without_grams"), F.countDistinct("ingredient_id").alias("ingredients"))
-)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import lines, similarity, text
-from larder.operators import analysis, density, models, resolve, scoring
+from larder.operators import analysis, density, fuzzy, models, resolve, scoring
 from larder.plans.adapter import table
 from larder.plans.registry import SHARED, query
-from larder.plans.relational import recipe_nutrition, scores
+from larder.plans.relational import band_sql, level_sql, r, recipe_nutrition, scores, weighted_sql
 from larder.sources import html, tables
 
 SHARED["line"] = """SELECT i.recipe_id, i.ingredient_id, i.ingredient_index, i.unit, i.qty_expected, i.unit_grams, f.ingredient_name, f.description,
@@ -189,16 +189,97 @@ query("reference_pool", "SELECT DISTINCT m.fdc_id, f.description FROM ingredient
 query("match_ladder", f"SELECT n.name, c.fdc_id FROM (SELECT DISTINCT ingredient_name AS name FROM food) n JOIN ({CURATED}) c ON c.key = n.name")(
     lambda s, d: resolve.match_ladder(food_names(s, d).select(F.concat("name", F.lit("s")).alias("name")), curated(s, d)).select(F.regexp_replace("name", "s$", "").alias("name"), "fdc_id")
 )
-query("match_fuzzy_keys", None)(lambda s, d: resolve.match_fuzzy(food_names(s, d).select(F.concat("name", F.lit("x")).alias("name")), curated(s, d).select("key", F.col("fdc_id").alias("ord")), 78.0))
-query("match_fuzzy_foods", None)(lambda s, d: resolve.match_fuzzy(food_names(s, d), table(s, d, "food").groupBy(F.lower("description").alias("key")).agg(F.min("fdc_id").alias("ord")), 70.0))
-query("sim_token_sort", None)(lambda s, d: (lambda n: n.join(n.select(F.col("name").alias("other")), similarity.ratio_bound("name", "other") >= 60).select("name", "other", similarity.token_sort_ratio("name", "other").alias("similarity")))(food_names(s, d)))
-query("sim_partial", None)(lambda s, d: table(s, d, "food").select("ingredient_name", "description").distinct().select("ingredient_name", "description", similarity.partial_ratio("ingredient_name", "description").alias("similarity")))
+
+
+def ratio_sql(a: str, b: str) -> str:
+    """Indel similarity of two expressions of up to 62 characters, by the recurrence on bits."""
+    mask = f"CAST(coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, CAST(i AS INTEGER) + 1, 1) = c THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)), 0) AS BIGINT)"
+    full = f"((CAST(1 AS BIGINT) << CAST(length({a}) AS INTEGER)) - 1)"
+    state = f"list_reduce(list_prepend({full}, list_transform(string_split({b}, ''), lambda c: {mask})), lambda s, m: ((s + (s & m)) | (s & ~m)) & {full})"
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100e0 ELSE 200e0 * (length({a}) - bit_count({state})) / (length({a}) + length({b})) END)"
+
+
+def sorted_sql(x: str) -> str:
+    return f"array_to_string(list_sort(list_filter(string_split_regex({x}, '\\s+'), lambda t: t <> '')), ' ')"
+
+
+def fuzzy_sql(names: str, keys: str, threshold: float) -> str:
+    """(name, key, ord, similarity) of the best key, from queries of names (name) and keys (key, ord)."""
+    scored = f"SELECT name, key, ord, {ratio_sql('x', 'y')} AS similarity FROM (SELECT DISTINCT name, {sorted_sql('name')} AS x FROM ({names})) n, (SELECT key, ord, {sorted_sql('key')} AS y FROM ({keys})) k WHERE x <> '' AND y <> ''"
+    return f"SELECT * FROM ({scored}) WHERE similarity >= {threshold} QUALIFY row_number() OVER (PARTITION BY name ORDER BY similarity DESC, ord, key) = 1"
+
+
+PERCENT = "concat('fuzzy_', CAST(CAST(floor(similarity) AS INTEGER) AS VARCHAR), '%')"
+NAMES = "SELECT DISTINCT ingredient_name AS name FROM food"
+query("match_fuzzy_keys", f"SELECT *, {PERCENT} AS match_type FROM ({fuzzy_sql("SELECT DISTINCT concat(ingredient_name, 'x') AS name FROM food", f"SELECT key, fdc_id AS ord FROM ({CURATED})", 78)})")(
+    lambda s, d: resolve.match_fuzzy(food_names(s, d).select(F.concat("name", F.lit("x")).alias("name")), curated(s, d).select("key", F.col("fdc_id").alias("ord")), 78.0)
+)
+query("match_fuzzy_foods", f"SELECT *, {PERCENT} AS match_type FROM ({fuzzy_sql(NAMES, 'SELECT lower(description) AS key, min(fdc_id) AS ord FROM food GROUP BY 1', 70)})")(
+    lambda s, d: resolve.match_fuzzy(food_names(s, d), table(s, d, "food").groupBy(F.lower("description").alias("key")).agg(F.min("fdc_id").alias("ord")), 70.0)
+)
+query("sim_token_sort", f"SELECT * FROM (SELECT a.name, b.name AS other, {ratio_sql('a.t', 'b.t')} AS similarity FROM (SELECT name, {sorted_sql('name')} AS t FROM ({NAMES})) a, (SELECT name, {sorted_sql('name')} AS t FROM ({NAMES})) b) WHERE similarity >= 60")(
+    lambda s, d: (lambda n: fuzzy.similar(n, n.select(F.col("name").alias("key")), 60.0).withColumnRenamed("key", "other"))(food_names(s, d))
+)
+
+
+def partial_sql(a: str, b: str) -> str:
+    """The best window of b, which is no shorter than a."""
+    at = f"substr({b}, CAST(j AS INTEGER), length({a}))"
+    return f"(CASE WHEN length({a}) = 0 THEN CASE WHEN length({b}) = 0 THEN 100e0 ELSE 0e0 END ELSE list_max(list_transform(range(1, length({b}) - length({a}) + 2), lambda j: {ratio_sql(a, at)})) END)"
+
+
+def window_sql(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) <= length({b}) THEN {partial_sql(a, b)} ELSE {partial_sql(b, a)} END)"
+
+
+query("sim_partial", f"SELECT ingredient_name, description, {window_sql('ingredient_name', 'description')} AS similarity FROM (SELECT DISTINCT ingredient_name, description FROM food)")(
+    lambda s, d: table(s, d, "food").select("ingredient_name", "description").distinct().select("ingredient_name", "description", similarity.partial_ratio("ingredient_name", "description").alias("similarity"))
+)
 TOKENS = "regexp_split_to_array(lower(description), '[\\s,;/]+')"
 query("token_index_build", f"SELECT DISTINCT fdc_id, token FROM (SELECT fdc_id, token FROM (SELECT fdc_id, unnest({TOKENS}) AS token FROM food) WHERE length(token) > 2 UNION ALL SELECT fdc_id, left(token, length(token) - 1) FROM (SELECT fdc_id, unnest({TOKENS}) AS token FROM food) WHERE length(token) > 3 AND token LIKE '%s')")(
     lambda s, d: resolve.token_index(table(s, d, "food"))
 )
-query("food_search_top1", None)(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food")))
-query("food_search_topn", None)(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food"), 8, None, partial=True))
+
+
+def search_sql(names: str, n: int, threshold: float | None, partial: bool = False) -> str:
+    """resolve.search over a query of names (name); words of the given tables have no plurals."""
+    raw, plain, dish, per_char = (15, 8, 15, 0.2) if partial else (20, 10, 20, 0.4)
+    sim = window_sql("q", "d") if partial else ratio_sql(sorted_sql("q"), sorted_sql("d"))
+    dishes = ", ".join(f"'{w}'" for w in resolve.DISHES)
+    pairs = f"""SELECT name, lower(trim(name)) AS q, fdc_id, description, lower(description) AS d
+    FROM (SELECT DISTINCT name FROM ({names})) x, (SELECT description, min(fdc_id) AS fdc_id FROM food GROUP BY 1) f
+    WHERE list_has_any(string_split_regex(lower(trim(name)), '\\s+'), list_filter(regexp_split_to_array(lower(description), '[\\s,;/]+'), lambda t: length(t) > 2))"""
+    dished = f"len(list_filter([{dishes}], lambda w: contains(d, w) AND NOT list_contains(string_split_regex(q, '\\s+'), w))) > 0"
+    score = f"similarity + CASE WHEN contains(d, ', raw') THEN {raw}e0 WHEN d LIKE '%nfs' OR contains(d, ', nfs') THEN {plain}e0 ELSE 0e0 END - CASE WHEN {dished} THEN {dish}e0 ELSE 0e0 END - length(d) * {per_char}e0"
+    scored = f"SELECT name, fdc_id, description, {score} AS score FROM (SELECT *, {sim} AS similarity FROM ({pairs})) WHERE {'true' if threshold is None else f'similarity >= {threshold}'}"
+    return f"SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY score DESC, fdc_id) AS INTEGER) AS place, fdc_id, description, score FROM ({scored}) QUALIFY place <= {n}"
+
+
+query("food_search_top1", search_sql(NAMES, 1, 60))(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food")))
+query("food_search_topn", search_sql(NAMES, 8, None, True))(lambda s, d: resolve.search(food_names(s, d), table(s, d, "food"), 8, None, partial=True))
+
+
+def two_languages(s: SparkSession, d: str) -> DataFrame:
+    """Foods by English description and brand, the brand standing for the other language, with nutrients of their own; no gizmos."""
+    per = [f"CAST((p_partkey * {k}) % {40 + k} AS DOUBLE) AS {n}" for k, n in enumerate(scoring.NUTRIENTS.values(), 3)]
+    return table(s, d, "part").where("not contains(p_name, 'gizmo')").selectExpr("concat('01_', p_partkey) AS code", "p_partkey AS ord", "concat(p_name, ', ', lower(p_type)) AS name_en", "lower(p_brand) AS name_fr", *per)
+
+
+SHARED["other_food"] = "SELECT concat('01_', CAST(p_partkey AS VARCHAR)) AS code, p_partkey AS ord, concat(p_name, ', ', lower(p_type)) AS name_en, lower(p_brand) AS name_fr, " + ", ".join(f"CAST((p_partkey * {k}) % {40 + k} AS DOUBLE) AS {n}" for k, n in enumerate(scoring.NUTRIENTS.values(), 3)) + " FROM part WHERE NOT contains(p_name, 'gizmo')"
+
+
+def bilingual_sql(names: str) -> str:
+    asked = "list_filter(string_split_regex(q, '\\s+'), lambda t: length(t) > 2)"
+    # Rows of equal names score alike and the first counts, so each pair of names is scored once.
+    pairs = f"""SELECT name, lower(trim(name)) AS q, code, ord, name_en, lower(name_en) AS en, name_fr AS fr
+    FROM (SELECT DISTINCT name FROM ({names})) x, (SELECT arg_min(code, ord) AS code, min(ord) AS ord, name_en, name_fr FROM other_food GROUP BY name_en, name_fr) f
+    WHERE list_has_any(list_filter(string_split_regex(lower(trim(name)), '\\s+'), lambda t: length(t) > 2), regexp_split_to_array(concat(lower(name_en), ' ', name_fr), '[\\s,;/()\\-]+'))"""
+    scored = f"SELECT *, greatest({window_sql('q', 'en')}, CASE WHEN fr <> '' THEN {window_sql('q', 'fr')} ELSE 0e0 END) AS s FROM ({pairs})"
+    score = f"s + CASE WHEN len(list_filter({asked}, lambda t: NOT contains(en, t) AND NOT contains(fr, t))) = 0 THEN 15e0 ELSE 0e0 END + CASE WHEN regexp_matches(en, 'raw|dried|flour|fresh|boiled') THEN 10e0 ELSE 0e0 END - CASE WHEN length(name_en) > 60 THEN 5e0 ELSE 0e0 END"
+    return f"SELECT name, code, name_en AS food, score FROM (SELECT *, {score} AS score FROM ({scored}) WHERE s >= 55) QUALIFY row_number() OVER (PARTITION BY name ORDER BY score DESC, ord) = 1"
+
+
+query("bilingual_search", bilingual_sql(NAMES))(lambda s, d: resolve.bilingual_search(food_names(s, d), two_languages(s, d)))
 query("food_describe", "SELECT m.ingredient_id, f.description FROM ingredient_mapping m JOIN food f ON f.fdc_id = m.fdc_id")(lambda s, d: table(s, d, "ingredient_mapping").join(table(s, d, "food").select("fdc_id", "description"), "fdc_id").select("ingredient_id", "description"))
 RULES = [(1, "almond", "nuts"), (2, "a", "starts of many"), (3, "blue", "never reached"), (4, "z", "rare")]
 query("fix_keyword_rules", "SELECT name, CASE WHEN contains(name, 'almond') THEN 'almond' WHEN contains(name, 'a') THEN 'a' WHEN contains(name, 'blue') THEN 'blue' WHEN contains(name, 'z') THEN 'z' END AS keyword FROM (SELECT DISTINCT ingredient_name AS name FROM food)")(
@@ -207,9 +288,6 @@ query("fix_keyword_rules", "SELECT name, CASE WHEN contains(name, 'almond') THEN
 query("join_contains", "SELECT count(*) AS hits FROM (SELECT DISTINCT ingredient_name AS name FROM food) n JOIN (VALUES ('almond'), ('a'), ('blue'), ('z')) AS k(k) ON contains(n.name, k.k)")(
     lambda s, d: (lambda k: food_names(s, d).join(F.broadcast(k), F.col("name").contains(F.col("keyword"))).agg(F.count("*").alias("hits")))(s.createDataFrame(RULES, "priority int, keyword string, food string"))
 )
-query("resolve_layers", f"SELECT n.name, c.fdc_id, CASE WHEN c.key IS NOT NULL THEN 'manual_match' WHEN strpos(n.name, 'e') > 0 THEN 'usda_search' ELSE 'no_match' END AS match_type FROM (SELECT DISTINCT ingredient_name AS name FROM food) n LEFT JOIN ({CURATED}) c ON c.key = n.name WHERE c.key IS NOT NULL OR strpos(n.name, 'e') = 0")(
-    lambda s, d: resolve.layers(food_names(s, d), [("manual_match", lambda left: left.join(curated(s, d), F.col("name") == F.col("key")).select("name", "fdc_id")), ("usda_search", lambda left: left.where("contains(name, 'e')").withColumn("fdc_id", F.lit(1).cast("long")))]).where("match_type <> 'usda_search'")
-)
 query("fix_proxies", "SELECT fdc_id, CASE WHEN fdc_id % 4 = 0 THEN 'african_proxy' ELSE 'other' END AS status, CASE WHEN fdc_id % 4 = 0 THEN coalesce(p.to_id, fdc_id) ELSE fdc_id END AS new_id FROM food LEFT JOIN (SELECT fdc_id AS from_id, min(fdc_id) + 1000000 AS to_id FROM food WHERE fdc_id % 8 = 0 GROUP BY fdc_id) p ON p.from_id = food.fdc_id")(
     lambda s, d: analysis.fixed(
         table(s, d, "food").select("fdc_id", F.when(F.col("fdc_id") % 4 == 0, "african_proxy").otherwise("other").alias("status"), F.col("fdc_id").alias("new_id")), table(s, d, "food").where("fdc_id % 8 = 0").select("fdc_id", (F.col("fdc_id") + 1_000_000).alias("new_id")), "fdc_id", F.col("status") == "african_proxy"
@@ -236,10 +314,67 @@ query("fix_bad_matches", "SELECT fdc_id, CASE WHEN fdc_id % 8 = 0 THEN 'correcte
 
 # ---------------------------------------------------------------- analysis of recipes
 
-query("analyse_overrides", None)(lambda s, d: (lambda x: analysis.analyse_lines(x, analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient")), x.where("ingredient_index = 1").select("recipe_id", "ingredient_index", F.lit(2700001).cast("long").alias("fdc_id"), F.lit("chosen").alias("food"))))(line(s, d).select("recipe_id", "ingredient_index", "raw")))
 
-query("analyse_lines", None)(lambda s, d: analysis.analyse_lines(line(s, d).select("recipe_id", "ingredient_index", "raw"), analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient"))))
-query("analyse_recipes", None)(lambda s, d: analysis.analyse_recipes(line(s, d).select("recipe_id", "ingredient_index", "raw"), analysis.by_name(table(s, d, "food")), analysis.per_100g(table(s, d, "food_nutrient")), table(s, d, "recipes").select("recipe_id", F.col("servings_expected").alias("servings"))))
+
+def reference(s: SparkSession, d: str) -> analysis.Reference:
+    """Each layer has names of its own: blue and new ones are curated, red ones curated but misspelt, old ones stand for new ones, others are
+    searched, and single words, to which cold ones are cleaned, are in the list of two languages alone, which has no gizmos."""
+    foods = table(s, d, "food").select("fdc_id", "ingredient_name", "description")
+    first, rest = F.split_part("ingredient_name", F.lit(" "), F.lit(1)), F.split_part("ingredient_name", F.lit(" "), F.lit(2))
+    keys = foods.where(first.isin("blue", "new", "red")).groupBy(F.when(first == "red", F.concat(F.lit("redd "), rest)).otherwise(F.col("ingredient_name")).alias("key")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food"))
+    proxies = foods.where(first == "old").select(F.col("ingredient_name").alias("local"), F.concat(F.lit("new "), rest).alias("proxy"), F.col("ingredient_name").alias("display")).distinct()
+    pool = table(s, d, "ingredient_mapping").join(foods, "fdc_id").select("fdc_id", "description")
+    return analysis.Reference(keys, pool, foods, analysis.per_100g(table(s, d, "food_nutrient")), density.build(portions(s, d)), two_languages(s, d), proxies, [], [r"\bcold\b"])
+
+
+SHARED["asked"] = "SELECT DISTINCT name2 AS name, CASE WHEN name2 LIKE 'old %' THEN concat('new ', substr(name2, 5)) WHEN name2 LIKE 'cold %' THEN substr(name2, 6) ELSE name2 END AS cleaned FROM read"
+SHARED["curated_key"] = "SELECT CASE WHEN ingredient_name LIKE 'red %' THEN concat('redd ', substr(ingredient_name, 5)) ELSE ingredient_name END AS key, min(fdc_id) AS fdc_id, arg_min(description, fdc_id) AS food FROM food WHERE split_part(ingredient_name, ' ', 1) IN ('blue', 'new', 'red') GROUP BY 1"
+SHARED["layer1"] = "SELECT DISTINCT cleaned AS name, fdc_id, food, 'manual_match' AS match_type FROM asked JOIN curated_key ON key = cleaned"
+LEFT = "SELECT DISTINCT cleaned AS name FROM asked WHERE cleaned NOT IN (SELECT name FROM layer{})"
+SHARED["layer2"] = f"SELECT * FROM layer1 UNION ALL SELECT f.name, f.ord, k.food, {PERCENT} FROM ({fuzzy_sql(LEFT.format(1), 'SELECT key, fdc_id AS ord FROM curated_key', 78)}) f JOIN curated_key k ON k.key = f.key"
+SHARED["layer3"] = f"SELECT * FROM layer2 UNION ALL SELECT f.name, f.ord, k.description, {PERCENT} FROM ({fuzzy_sql(LEFT.format(2), 'SELECT lower(f.description) AS key, min(f.fdc_id) AS ord FROM food f JOIN ingredient_mapping m ON m.fdc_id = f.fdc_id GROUP BY 1', 70)}) f JOIN food k ON k.fdc_id = f.ord"
+SHARED["layer4"] = f"SELECT * FROM layer3 UNION ALL SELECT name, fdc_id, description, 'usda_search' FROM ({search_sql(LEFT.format(3), 1, 60)})"
+SHARED["layer5"] = f"SELECT name, fdc_id, CAST(NULL AS VARCHAR) AS code, food, match_type FROM layer4 UNION ALL SELECT name, NULL, code, food, 'wafct' FROM ({bilingual_sql(LEFT.format(4))})"
+SHARED["late"] = f"SELECT * FROM ({bilingual_sql('SELECT name FROM asked WHERE name <> cleaned AND cleaned NOT IN (SELECT name FROM layer5)')})"
+SHARED["resolved_name"] = "SELECT a.name, a.cleaned, l.fdc_id, coalesce(l.code, w.code) AS code, coalesce(l.food, w.food) AS food, CASE WHEN w.code IS NOT NULL THEN 'wafct' ELSE coalesce(l.match_type, 'no_match') END AS match_type FROM asked a LEFT JOIN layer5 l ON l.name = a.cleaned LEFT JOIN late w ON w.name = a.name"
+query("resolve_layers", "SELECT * FROM resolved_name")(lambda s, d: analysis.resolved_names(lines.parsed_live(line(s, d).select("raw").distinct()).select(F.col("name_raw").alias("name")), reference(s, d)))
+
+CATEGORY = "CASE " + " ".join(f"WHEN regexp_matches(lower(cleaned), '{'|'.join(w.split())}') THEN {v}e0" for w, v in density.CATEGORIES) + " ELSE 1e0 END"
+SHARED["chosen"] = "SELECT l.*, n.cleaned, n.fdc_id, n.code, n.food, n.match_type FROM read l JOIN resolved_name n ON n.name = l.name2"
+
+
+def analysed_sql(chosen: str) -> str:
+    """Lines by what was chosen for each: a table of the columns of ``chosen``."""
+    volume = "unit IN ('cup', 'tbsp', 'tsp')"
+    per = [f"CASE WHEN status = 'matched' THEN CAST(grams * coalesce(CASE WHEN code IS NOT NULL THEN o_{n} ELSE CAST(w_{n} AS DOUBLE) END, 0e0) / 100 AS DECIMAL(20,6)) END AS {n}" for n in scoring.NUTRIENTS.values()]
+    names = ", ".join(f"w.{n} AS w_{n}, o.{n} AS o_{n}" for n in scoring.NUTRIENTS.values())
+    grams = f"CASE WHEN {volume} THEN CAST(round(CAST(CAST(qty_expected * unit_grams AS DOUBLE) * coalesce(p.g_per_ml, {CATEGORY}) AS DECIMAL(20,8)), 1) AS DOUBLE) ELSE coalesce(grams2, CAST(qty_expected * 150 AS DOUBLE)) END"
+    status = "CASE WHEN coalesce(grams, 0) = 0 THEN 'no_grams' WHEN fdc_id IS NULL AND code IS NULL THEN 'no_usda_match' WHEN code IS NULL AND w_fdc IS NULL THEN 'no_usda_data' ELSE 'matched' END"
+    confidence = "CASE WHEN match_type = 'manual_match' THEN 'high' WHEN match_type = 'user_override' THEN 'custom' WHEN match_type IN ('usda_search', 'wafct') THEN 'medium' WHEN match_type LIKE 'fuzzy%' THEN CASE WHEN CAST(regexp_extract(match_type, '[0-9]+') AS INTEGER) >= 85 THEN 'medium' ELSE 'low' END ELSE 'none' END"
+    return f"""SELECT recipe_id, ingredient_index, raw, CAST(qty_expected AS DOUBLE) AS qty, unit2 AS unit, name2 AS name_raw, cleaned, fdc_id, code, food, match_type, {confidence} AS confidence, grams, status, {", ".join(per)}
+    FROM (SELECT *, {status} AS status FROM (SELECT c.*, {grams} AS grams, w.fdc_id AS w_fdc, {names} FROM ({chosen}) c LEFT JOIN density p ON p.fdc_id = c.fdc_id LEFT JOIN wide w ON w.fdc_id = c.fdc_id LEFT JOIN other_food o ON o.code = c.code))"""
+
+
+def recipes_sql(servings: str) -> str:
+    """Scores of recipes from the table ``analysed`` and a query of (recipe_id, servings)."""
+    sums = ", ".join(r(f"CAST(coalesce(sum({n}), 0) AS DOUBLE) / any_value(greatest(coalesce(s.servings, 1), 1))") + f" AS {n}" for n in scoring.NUTRIENTS.values())
+    total = f"SELECT a.recipe_id, any_value(greatest(coalesce(s.servings, 1), 1)) AS servings, count(*) AS ingredients_total, count(CASE WHEN status = 'matched' THEN 1 END) AS ingredients_used, {sums} FROM analysed a LEFT JOIN ({servings}) s ON s.recipe_id = a.recipe_id GROUP BY a.recipe_id"
+    bands = ", ".join(f"CASE WHEN energy_kcal > 0 THEN {band_sql(n)} END AS {risk}" for n, risk in scoring.RISKS.items())
+    flags = " + ".join(f"(CASE WHEN {x} = 'high' THEN 1 ELSE 0 END)" for x in scoring.RISKS.values())
+    banded = f"SELECT *, {bands}, CASE WHEN ingredients_total > 0 THEN {r('CAST(ingredients_used AS DOUBLE) * 100 / ingredients_total')} ELSE 0.0 END AS ingredient_coverage_pct, CASE WHEN energy_kcal > 0 THEN {weighted_sql()} END AS weighted_risk_score, CASE WHEN energy_kcal > 0 THEN 'calculated' ELSE 'insufficient_data' END AS data_status FROM ({total})"
+    return f"SELECT *, CASE WHEN flag_count = 0 THEN 'Low' WHEN flag_count <= 2 THEN 'Medium' WHEN flag_count IS NOT NULL THEN 'High' END AS flag_risk_level, {level_sql('weighted_risk_score')} AS weighted_risk_level FROM (SELECT *, CASE WHEN data_status = 'calculated' THEN CAST({flags} AS INTEGER) END AS flag_count FROM ({banded}))"
+
+
+def asked_lines(s: SparkSession, d: str) -> DataFrame:
+    return line(s, d).select("recipe_id", "ingredient_index", "raw")
+
+
+SHARED["analysed"] = analysed_sql("SELECT * FROM chosen")
+query("analyse_lines", "SELECT * FROM analysed")(lambda s, d: analysis.analyse_lines(asked_lines(s, d), reference(s, d)))
+query("analyse_overrides", analysed_sql("SELECT * REPLACE (CASE WHEN ingredient_index = 1 THEN 2700001 ELSE fdc_id END AS fdc_id, CASE WHEN ingredient_index = 1 THEN NULL ELSE code END AS code, CASE WHEN ingredient_index = 1 THEN (SELECT description FROM food WHERE fdc_id = 2700001) ELSE food END AS food, CASE WHEN ingredient_index = 1 THEN 'user_override' ELSE match_type END AS match_type) FROM chosen"))(
+    lambda s, d: (lambda x: analysis.analyse_lines(x, reference(s, d), x.where("ingredient_index = 1").select("recipe_id", "ingredient_index", F.lit(2700001).cast("long").alias("fdc_id"))))(asked_lines(s, d))
+)
+query("analyse_recipes", recipes_sql("SELECT recipe_id, servings_expected AS servings FROM recipes"))(lambda s, d: analysis.analyse_recipes(asked_lines(s, d), reference(s, d), table(s, d, "recipes").select("recipe_id", F.col("servings_expected").alias("servings"))))
 query("review_queue", None)(lambda s, d: analysis.review_queue(line(s, d).select("recipe_id", "ingredient_index", F.concat("raw", F.when(F.col("ingredient_index") % 3 == 0, " and seasoning mix").otherwise("")).alias("raw"))))
 
 # ---------------------------------------------------------------- models
