@@ -33,6 +33,8 @@ MEMORY = "250MB"
 BATCH, ROWS = 100_000, 800_000
 #: Bytes of a part from which on all places of its least pair are contracted at once.
 WIDE = 64
+#: Rows of one part that the queries hold within MEMORY; a longer part is contracted by whole arrays until so few are left.
+LONG = 400_000
 #: k is the word's number and, in its low 20 bits, the position; a contraction drops the left token, puts the new one in
 #: place of the right, and moves what stands before it one to the right, so positions stay next to each other.
 CONTRACT = """
@@ -49,24 +51,32 @@ WITH RECURSIVE step(round, k, id, after) AS (
 SELECT w, k & 1048575 AS pos, id, round
 FROM (SELECT *, k >> 20 AS w FROM step) JOIN (SELECT k >> 20 AS w, max(round) AS round FROM step GROUP BY 1) USING (w, round) ORDER BY w, pos
 """
-#: ``alone``: no pair that holds the new token has a lesser rank, so that contracting one place after another is the same.
+#: All places of a word's least pair in a round, from the left: of places that overlap every second one, up to the first after
+#: which a pair of a lesser rank stands there, with what is before the new token or behind it.  ``alone``: no pair that holds the
+#: new token has a lesser rank, so there is nothing to look up.
 CONTRACT_ALL = """
 WITH RECURSIVE step(round, w, pos, id) AS (
   SELECT 0, w, pos, id FROM start
   UNION ALL
   SELECT round + 1, w, pos, CASE WHEN taken THEN new ELSE id END
   FROM (
-    SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
+    SELECT round, w, pos, id, new, taken, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
     FROM (
-      SELECT *, least AND CASE WHEN best & 1 = 1 THEN (n - coalesce(max(CASE WHEN NOT least THEN n END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1
-        ELSE n = min(CASE WHEN least THEN n END) OVER (PARTITION BY w) END AS taken
+      SELECT round, w, pos, c.id, new, chosen AND n <= min(CASE WHEN chosen AND (p.id < new OR q.id < new) THEN n ELSE 2147483647 END) OVER (PARTITION BY w) AS taken
       FROM (
-        SELECT *, coalesce(new = best >> 1, false) AS least
+        SELECT *, CASE WHEN chosen AND NOT alone THEN CASE WHEN lag(chosen, 2, false) OVER (PARTITION BY w ORDER BY pos) THEN new ELSE lag(id) OVER (PARTITION BY w ORDER BY pos) END END AS before,
+          CASE WHEN chosen AND NOT alone THEN lead(id, 2) OVER (PARTITION BY w ORDER BY pos) END AS behind
         FROM (
-          SELECT x.*, m.id AS new, min(m.id * 2 + m.alone) OVER (PARTITION BY w) AS best
-          FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS after, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM step WHERE round < $rounds) x
-          LEFT JOIN merges m ON m.l = x.id AND m.r = x.after))
-      WHERE best IS NOT NULL))
+          SELECT round, w, pos, id, n, best >> 1 AS new, best & 1 = 1 AS alone, least AND (n - coalesce(max(CASE WHEN NOT least THEN n END) OVER (PARTITION BY w ORDER BY pos), 0)) % 2 = 1 AS chosen
+          FROM (
+            SELECT *, coalesce(pair = best, false) AS least
+            FROM (
+              SELECT x.*, m.id * 2 + m.alone AS pair, min(m.id * 2 + m.alone) OVER (PARTITION BY w) AS best
+              FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS after, CAST(row_number() OVER (PARTITION BY w ORDER BY pos) AS INTEGER) AS n FROM step WHERE round < $rounds) x
+              LEFT JOIN merges m ON m.l = x.id AND m.r = x.after)
+            WHERE best IS NOT NULL))) c
+      LEFT JOIN merges p ON p.l = c.before AND p.r = c.new
+      LEFT JOIN merges q ON q.l = c.new AND q.r = c.behind))
   WHERE NOT gone)
 SELECT w, pos, id, round FROM step JOIN (SELECT w, max(round) AS round FROM step GROUP BY w) USING (w, round) ORDER BY w, pos
 """
@@ -106,6 +116,7 @@ class Coder:
             less AS (SELECT l AS id FROM pair WHERE id < l UNION SELECT r FROM pair WHERE id < r)
             SELECT pair.*, CASE WHEN less.id IS NULL THEN 1 ELSE 0 END AS alone FROM pair LEFT JOIN less USING (id)""")
         self.db.unregister("words")
+        self.pairs: tuple | None = None
 
     def from_heap(self, piece: bytes) -> list[int]:
         """The same contractions one by one from a heap, for checks of the queries."""
@@ -143,10 +154,15 @@ class Coder:
     def fixpoint(self, w: np.ndarray, pos: np.ndarray, ids: np.ndarray, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows (word, position, token), ordered, until no word has a pair left."""
         done = []
+        if wide and len(w) > LONG:  # a part alone in its batch
+            pos, ids, open_ = self.shortened(pos, ids)
+            w = np.zeros(len(ids), w.dtype)
+            if not open_:
+                return w, pos, ids
         while len(w):
             rounds = max(1, ROWS // len(w))
             if wide:
-                start, sql = pa.table({"w": w, "pos": pos, "id": ids}), CONTRACT_ALL
+                start, sql = pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": ids}), CONTRACT_ALL
             else:
                 after = np.append(ids[1:], -1).astype(np.int32)
                 after[np.append(w[1:] != w[:-1], True)] = -1
@@ -161,6 +177,37 @@ class Coder:
         order = np.lexsort((pos, w)) if len(done) > 1 else slice(None)
         return w[order], pos[order], ids[order]
 
+    def shortened(self, pos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Places and tokens of one part after rounds as CONTRACT_ALL has them, until LONG are left, and whether a pair may be left."""
+        if self.pairs is None:
+            m = self.db.sql("SELECT (CAST(l AS BIGINT) << 32) | r AS k, id, alone FROM merges ORDER BY k").to_arrow_table()
+            self.pairs = tuple(m.column(c).to_numpy() for c in ("k", "id", "alone"))
+        keys, new, alone = self.pairs
+        none = np.int64(1 << 62)
+
+        def ranks(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            k = (left.astype(np.int64) << 32) | right.astype(np.int64)
+            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+            return np.where((keys[at] == k) & (left >= 0) & (right >= 0), new[at], none)
+
+        while len(ids) > LONG:
+            rank = ranks(ids[:-1], ids[1:])
+            best = rank.min()
+            if best == none:
+                return pos, ids, False
+            at = np.flatnonzero(rank == best)
+            order = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1] + 1), order, 0))
+            at = at[(order - run) % 2 == 0]
+            if not alone[new == best].all():
+                padded = np.concatenate([[-1], ids, [-1, -1]])
+                before = np.where(np.append(False, at[1:] == at[:-1] + 2), best, padded[at])
+                less = (ranks(before, np.full(len(at), best)) < best) | (ranks(np.full(len(at), best), padded[at + 3]) < best)
+                at = at[: int(less.argmax()) + 1] if less.any() else at
+            ids[at] = best
+            pos, ids = np.delete(pos, at + 1), np.delete(ids, at + 1)
+        return pos, ids, True
+
     def contracted(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all pieces one after another, and how many each has."""
         flat = np.frombuffer(b"".join(pieces), np.uint8)

@@ -84,3 +84,19 @@ def test_both_ways_in_one_worker(table):
     two = bb.digests(bb.decode(bb.encode(table(rows), PATH, PATTERN), PATH, PATTERN)).collect()
     assert sorted(map(str, bb.digests(bb.round_trip(table(rows), PATH, PATTERN)).collect())) == sorted(map(str, two))
     assert bb.digests(bb.round_trip(table([]), PATH, PATTERN)).count() == 0
+
+
+def test_very_long_pieces():
+    c = bb.Coder(PATH, PATTERN)
+    r = np.random.default_rng(2)
+    for piece in (b"a" * 1_000_000, b"a" * 3_000_001, b"-=" * 300_000, bytes(r.choice(list(b"acgt"), 100_000)), bytes(r.choice(list(b"ab"), 500_000))):
+        ids = np.array(c.contract([piece])[0])
+        assert ids.tolist() == c.from_heap(piece)
+
+
+def test_rounds_over_arrays_and_the_heap_agree(monkeypatch):
+    monkeypatch.setattr(bb, "LONG", 40)
+    c = bb.Coder(PATH, PATTERN)
+    r = np.random.default_rng(3)
+    pieces = ["".join(r.choice(list(a), r.integers(65, 300))).encode() for a in ("ab", "aaab", "acgt", "etaonrish", "-=", "0 ", "the", "ing tion") for _ in range(40)]
+    assert [c.contract([p])[0] for p in pieces] == [c.from_heap(p) for p in pieces]
