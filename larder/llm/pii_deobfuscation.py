@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -210,16 +210,21 @@ def digit_words(text: str) -> int:
 def spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, added) by kind, then start.  Spans that the rewritten text shows are added unless a plain one of their kind holds them.
 
-    A plain address of which a disguise hides only the first digits stays as it is, and so does a number beside which one
-    digit word stands, which is prose ("+1 (848) 555-1373. Un an").
+    A plain number beside which one digit word stands stays as it is, since that is prose ("+1 (848) 555-1373. Un an").
     """
     base = plain(text)
     more = {}
     if (t := disguised(text)) is not None:
         for kind, found in plain(t.text).items():
             own = base[kind]
-            places = sorted({(int(t.start[a]), int(t.end[b - 1])) for a, b in found})
-            more[kind] = [(a, b) for a, b in places if not any(a < y and x < b and ((x <= a or kind == "ip") and b <= y or digit_words(text[a:x] + " " + text[y:b]) == 1) for x, y in own)]
+            starts = [x for x, _ in own]
+            more[kind] = []
+            for a, b in sorted({(int(t.start[a]), int(t.end[b - 1])) for a, b in found}):
+                # Plain spans don't overlap, so those that meet this one stand side by side.
+                i = max(0, bisect_right(starts, a) - 1)
+                near = own[i : bisect_left(starts, b, i)]
+                if not any(y > a and (x <= a and b <= y or digit_words(text[a:x] + " " + text[y:b]) == 1) for x, y in near):
+                    more[kind].append((a, b))
     return [(k, a, b, added) for k in KINDS for a, b, added in sorted([(a, b, False) for a, b in base[k]] + [(a, b, True) for a, b in more.get(k, [])])]
 
 
