@@ -26,6 +26,8 @@ from larder.llm.common import WORD, bounded, cut, partitions
 
 #: Turns of a chunk (more than a conversation takes from another), turns of a batch that a task makes a trie of, and ids of a bin whose ends are put together.
 CHUNK, BATCH, BIN = 1024, 200_000, 65_536
+#: Nodes of so many children that their owners are sent to all tasks, at most, and the least number of children for that.
+MANY, HOT = 100_000, 100
 NODES = "a long, b long, pa long, pb long, depth long, words long, n long, owner long"
 SUMS = "a long, b long, weight long, leaves long"
 
@@ -315,9 +317,12 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     heavy = pieces.select("conv_id", "start", "a", "b", "pa", "pb", "w").join(weights, "conv_id", "left").na.fill(0, ["weight", "leaf"])
     sums = expanded(heavy, True).groupBy("a", "b").agg(F.sum("weight").alias("below"), F.sum("leaves").alias("n_leaves"))
 
-    # Below the first node that a conversation owns, parents are its own as well.
-    parent = nodes.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("owner").alias("parent"))
-    tops = full.where("depth = top and depth > 0").join(parent, ["pa", "pb"]).select("a", "b", "parent")
+    # Below the first node that a conversation owns, parents are its own as well.  Fewer than MANY nodes have more than one in
+    # MANY of all nodes as children; these are sent around, so that the join has no key of many rows.
+    parent = F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("owner").alias("parent")
+    many = F.col("n_children") > max(HOT, nodes.count() // MANY)
+    tops = full.where("depth = top and depth > 0").select("a", "b", "pa", "pb").join(F.broadcast(full.where(many).select(*parent)), ["pa", "pb"], "left")
+    tops = tops.where("parent is not null").unionByName(tops.where("parent is null").drop("parent").join(full.where(~many).select(*parent), ["pa", "pb"])).select("a", "b", "parent")
     out = full.join(sums, ["a", "b"]).join(ends(pieces), ["a", "b"], "left").join(tops, ["a", "b"], "left")
     return out.select(
         F.col("owner").alias("conv_id"),
