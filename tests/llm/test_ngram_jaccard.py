@@ -3,13 +3,13 @@ import re
 from larder.llm import ngram_jaccard as nj
 
 
-def brute(rows):
+def brute(rows, k=3, percent=90):
     """By the definition: every pair of sets, then the smallest id that links lead to."""
     sets = []
     for i, t in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
         w = re.findall(r"[^\x20\x09-\x0D]+", low)
-        sets.append((i, {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()))
+        sets.append((i, {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()))
     root = {i: i for i, _ in sets}
 
     def find(i):
@@ -19,7 +19,7 @@ def brute(rows):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 u, v = find(i), find(j)
                 root[max(u, v)] = min(u, v)
     return sorted((i, len(s), find(i)) for i, s in sets)

@@ -32,7 +32,7 @@ def test_run_as_a_plain_version(spark, tmp_path):
     kept = {x.doc_id for x in ro.judge(docs).where("kept").collect()}
     assert kept == {i for i, _ in rows} - {i for i, _ in junk} - {1400}
     left = [(i, t) for i, t in rows if i in kept]
-    left = [(i, dict(left)[i]) for i, _, c in linked(left) if i == c]
+    left = [(i, dict(left)[i]) for i, _, c in linked(left, 5, 80) if i == c]
     left = [(i, t) for i, t in left if not any(dp(s, dc.normal(t)) <= int(dc.RATE * len(s)) for _, s in items)]
     want = {}
     for i, t in left:
