@@ -11,6 +11,7 @@ into place when it is whole, so that a repeated task leaves one whole file.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -31,7 +32,7 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
 #: Marks that may close a word; the apostrophe may begin a part of its own.
-MARKS = ".,;:!?()*#$%&|<>-"
+MARKS = b".,;:!?()*#$%&|<>-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of a generation of words.
 WORDS = 80 << 20
@@ -63,11 +64,11 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
 
-        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str("az" + MARKS)
+        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str("az" + MARKS.decode())
         #: Whether marks are split off the letters before them, and whether ASCII letters are written in lower case.
         self.apart = bool(split) and [x for _, x in split] == [(0, 2), (2, 2 + len(MARKS))] and self.last.any()
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(UPPER) == UPPER.lower()
-        self.tails: dict[str, bytes] = {"": b""}
+        self.tails: dict[bytes, bytes] = {b"": b""}
         #: Characters whose normal form is letters, and others.
         self.safe: set[str] = set()
         self.unsafe: set[str] = set()
@@ -82,7 +83,7 @@ class Encoder:
         """
         if not core.isalpha():
             return False
-        if core.isascii() or self.tokenizer.normalizer is None or self.safe.issuperset(core):
+        if self.tokenizer.normalizer is None or self.safe.issuperset(core):
             return True
         if len(self.unsafe) > 100_000:
             self.unsafe.clear()
@@ -90,18 +91,23 @@ class Encoder:
             (self.safe if self.tokenizer.normalizer.normalize_str(c).isalpha() else self.unsafe).add(c)
         return self.safe.issuperset(core)
 
-    def learn(self, words: list[str]) -> list[bytes]:
+    def learn(self, words: list[bytes]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(words)
         cores, rest = [], []
-        for i, w in enumerate(words):
-            core = w.rstrip(MARKS) if self.apart else w
-            if self.between is not None and self.letters(core):
-                cores.append((i, core.lower() if self.folds and core.isascii() else core, w[len(core) :]))
-            else:
-                rest.append(i)
+        if self.between is None:
+            rest = list(range(len(words)))
+        else:
+            for i, w in enumerate(words):
+                core = w.rstrip(MARKS) if self.apart else w
+                if core.isalpha():  # of bytes: ASCII letters
+                    cores.append((i, core.lower() if self.folds else core, w[len(core) :]))
+                elif not core.isascii() and self.letters(core.decode("utf-8", "surrogatepass")):
+                    cores.append((i, core, w[len(core) :]))
+                else:
+                    rest.append(i)
         at = self.words.now
-        new = [c for c in {c for _, c, _ in cores} if c.encode() not in at]
-        text = " ".join(new)
+        new = [c for c in {c for _, c, _ in cores} if c not in at]
+        text = b" ".join(new).decode("utf-8", "surrogatepass")
         ids = self.ids(text)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(new) and (not new or ends[-1] == len(ids)) and not self.special.search(text):
@@ -110,20 +116,24 @@ class Encoder:
             known = dict(zip(new, ids_of, strict=True))
             for i, c, tail in cores:
                 if tail not in self.tails:
-                    self.tails[tail] = self.ids(tail).tobytes()
-                out[i] = (known.get(c) or at[c.encode()]) + self.tails[tail]
+                    self.tails[tail] = self.ids(tail.decode()).tobytes()
+                out[i] = (known.get(c) or at[c]) + self.tails[tail]
             if len(self.tails) > 10_000:
-                self.tails = {"": b""}
-            self.words.put([c.encode() for c in new], ids_of)
+                self.tails = {b"": b""}
+            self.words.put(new, ids_of)
         else:
             rest += [i for i, _, _ in cores]
-        for i in [i for i in rest if self.between is None or self.special.search(words[i])]:
-            out[i] = self.ids(words[i]).tobytes()
-        rest = [i for i in rest if out[i] is None]
-        if rest:
-            ids = self.ids(self.between[1].join([words[i] for i in rest]))
+        left = []
+        for i in rest:
+            text = words[i].decode("utf-8", "surrogatepass")
+            if self.between is None or self.special.search(text):
+                out[i] = self.ids(text).tobytes()
+            else:
+                left.append((i, text))
+        if left:
+            ids = self.ids(self.between[1].join([t for _, t in left]))
             ends = np.flatnonzero(ids == self.between[0])
-            self.place(out, rest, ids, np.append(0, ends + 1), np.append(ends, len(ids)))
+            self.place(out, [i for i, _ in left], ids, np.append(0, ends + 1), np.append(ends, len(ids)))
         return out
 
     @staticmethod
@@ -135,7 +145,14 @@ class Encoder:
     def encode(self, texts: list[str | bytes]) -> list[bytes]:
         """Each text's ids, as they stand in the files; a text may be given as its UTF-8."""
         words = [(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in texts]
-        return self.words.joined(words, lambda new: [ids for i in range(0, len(new), 10_000) for ids in self.learn([w.decode("utf-8", "surrogatepass") for w in new[i : i + 10_000]])])
+        # Many new strings and no cycle among them: the collector would walk all that is remembered, again and again.
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self.words.joined(words, lambda new: [ids for i in range(0, len(new), 10_000) for ids in self.learn(new[i : i + 10_000])])
+        finally:
+            if on:
+                gc.enable()
 
 
 class Writer:
