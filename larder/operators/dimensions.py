@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.sources.shared import cut
@@ -22,6 +22,23 @@ def assign_ids(df: DataFrame, order: str, start: int, name: str) -> DataFrame:
     return out.withColumn(name, (F.lit(start) + F.col("_before") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_before")
 
 
+def ranked(df: DataFrame, key: str, order: list[Column], name: str, of: str | None = None) -> DataFrame:
+    """df with each row's place among the rows of its key, from 1 on, and in ``of`` how many these are; a null key is a key.
+
+    Ranges of (key, order) are ranked by themselves and shifted by what the key has in earlier ranges, so no task holds a key.
+    """
+    ranged = cut(df).repartitionByRange(F.col(key), *order)
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    by = Window.partitionBy("_key")
+    before = F.coalesce(F.sum("_c").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_key", "_p", before.alias("_before"), F.sum("_c").over(by).alias("_of"))  # a row a key and range
+    n = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    out = ranged.withColumn("_n", n).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    out = out.withColumn(name, (F.col("_before") + F.col("_n")).cast("long"))
+    return (out.withColumn(of, F.col("_of")) if of else out).drop("_part", "_n", "_before", "_key", "_p", "_of")
+
+
 def get_or_create(names: DataFrame, master: DataFrame, key: str, order: str, id_name: str) -> DataFrame:
     """(key, id) of every distinct name: the master's id, or the next ones in order of first appearance."""
     seen = names.groupBy(key).agg(F.min(order).alias("_ord"))

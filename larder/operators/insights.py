@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larder.operators import dimensions
 from larder.operators.scoring import LEVELS, RISKS, rounded
 
 
@@ -15,14 +16,13 @@ def share(condition, of):
 
 
 def level_distribution(scores: DataFrame) -> DataFrame:
-    """Recipes and share of each level, levels without any too."""
+    """Recipes and share of each level, levels without any too; the total is that of the four rows."""
     spark = scores.sparkSession
-    every = spark.createDataFrame([(i, v) for i, v in enumerate(LEVELS)], "ord int, weighted_risk_level string")
+    every = spark.createDataFrame([(v,) for v in LEVELS], "weighted_risk_level string")
     n = scores.where("data_status = 'calculated'").groupBy("weighted_risk_level").agg(F.count("*").alias("recipes"))
     out = every.join(n, "weighted_risk_level", "left").withColumn("recipes", F.coalesce("recipes", F.lit(0)))
-    total = scores.where("data_status = 'calculated'").agg(F.count("*").alias("total"))
-    out = out.crossJoin(total)  # four rows by one
-    return out.select("weighted_risk_level", "recipes", F.when(F.col("total") > 0, rounded(F.col("recipes").cast("double") * 100 / F.col("total"), 1)).otherwise(0.0).alias("share_pct"))
+    total = F.sum("recipes").over(Window.partitionBy())
+    return out.select("weighted_risk_level", "recipes", F.when(total > 0, rounded(F.col("recipes").cast("double") * 100 / total, 1)).otherwise(0.0).alias("share_pct"))
 
 
 def bands_long(scores: DataFrame) -> DataFrame:
@@ -30,9 +30,10 @@ def bands_long(scores: DataFrame) -> DataFrame:
 
 
 def nutrient_breakdown(scores: DataFrame) -> DataFrame:
+    """Recipes and share of each band of each nutrient; the total is that of a nutrient's three rows."""
     n = bands_long(scores).groupBy("nutrient", "band").agg(F.count("*").alias("recipes"))
-    total = scores.where("data_status = 'calculated'").agg(F.count("*").alias("total"))
-    return n.crossJoin(total).select("nutrient", "band", "recipes", rounded(F.col("recipes").cast("double") * 100 / F.col("total"), 1).alias("share_pct"))
+    total = F.sum("recipes").over(Window.partitionBy("nutrient"))
+    return n.select("nutrient", "band", "recipes", rounded(F.col("recipes").cast("double") * 100 / total, 1).alias("share_pct"))
 
 
 def findings(scores: DataFrame) -> DataFrame:
@@ -66,6 +67,12 @@ def top_k(scores: DataFrame, metric: str, k: int) -> DataFrame:
     return scores.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), "recipe_id").limit(k).select("recipe_id", F.substring("recipe_name", 1, 40).alias("recipe_name"), metric)
 
 
+def explored(scores: DataFrame) -> DataFrame:
+    """(recipe_id, place): recipes of each level by score, the highest first, then by name and id."""
+    order = [F.col("weighted_risk_score").desc_nulls_last(), F.lower("recipe_name"), F.col("recipe_id")]
+    return dimensions.ranked(scores.select("recipe_id", "recipe_name", "weighted_risk_level", "weighted_risk_score"), "weighted_risk_level", order, "place").select("recipe_id", F.col("place").cast("int").alias("place"))
+
+
 def explore(scores: DataFrame, levels=None, flags=None, min_coverage: float = 0, contains: str = "", with_ingredient: DataFrame | None = None, include_insufficient: bool = False) -> DataFrame:
     df = scores if include_insufficient else scores.where("data_status = 'calculated'")
     if levels:

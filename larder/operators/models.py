@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.operators import dimensions
 from larder.operators.scoring import NUTRIENTS
+from larder.sources.shared import cut
 
 FEATURES = [*NUTRIENTS.values(), "ingredient_coverage_pct"]
-#: A depth of 30 stands for none; MLlib has no least size of a node that is split.
-GRID = {"numTrees": [100, 200, 300, 500], "maxDepth": [30, 10, 20], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2, 4]}
+#: MLlib's deepest trees; stands for no limit.
+DEEPEST = 30
+#: MLlib has no least size of a node that is split.
+GRID = {"numTrees": [100, 200, 300, 500], "maxDepth": [DEEPEST, 10, 20], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2, 4]}
 
 
 def features(scores: DataFrame) -> DataFrame:
@@ -27,11 +34,15 @@ def merged(scores: DataFrame) -> DataFrame:
     return features(scores).withColumn("label", F.when(F.col("weighted_risk_level").isin("High", "Very High"), "Elevated").otherwise(F.col("weighted_risk_level")))
 
 
+def hashed(key: str, seed: int) -> list[Column]:
+    """An order of rows by a hash of id and seed, for splits that repeat."""
+    return [F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), F.col(key)]
+
+
 def split(df: DataFrame, label: str, share: float = 0.8, seed: int = 42, key: str = "recipe_id") -> DataFrame:
     """train: the share of each class that comes first by a hash of id and seed."""
-    by = Window.partitionBy(label)
-    rn = F.row_number().over(by.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"-{seed}"))), key))
-    return df.withColumn("train", rn <= F.round(F.lit(share) * F.count("*").over(by)).cast("long"))
+    out = dimensions.ranked(df, label, hashed(key, seed), "_rn", "_all")
+    return out.withColumn("train", F.col("_rn") <= F.round(F.lit(share) * F.col("_all")).cast("long")).drop("_rn", "_all")
 
 
 def class_weights(df: DataFrame) -> DataFrame:
@@ -41,18 +52,22 @@ def class_weights(df: DataFrame) -> DataFrame:
     return n.crossJoin(total).select("label", (F.col("rows").cast("double") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
-def logistic(c: float = 1.0) -> list:
-    return [LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", maxIter=1000, regParam=1e-3 / c)]
+def logistic(c: float = 1.0) -> Callable[[float], list]:
+    """Stages for a sum of weights: MLlib averages the losses, so a penalty of 1/c on their sum is one of 1/(c * sum) here."""
+    return lambda total: [LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial", maxIter=1000, regParam=1 / (c * max(total, 1.0)))]
 
 
-def forest(trees: int = 200, depth: int = 10) -> list:
-    return [RandomForestClassifier(featuresCol="scaled", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42)]
+def forest(trees: int = 200, depth: int = DEEPEST) -> list:
+    return [RandomForestClassifier(featuresCol="scaled", labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, maxMemoryInMB=1024, seed=42)]
 
 
-def evaluated(scores: DataFrame, stages: list) -> tuple[PipelineModel, DataFrame]:
+def evaluated(scores: DataFrame, stages: list | Callable[[float], list]) -> tuple[PipelineModel, DataFrame]:
     """The model fitted on the training part, scaler included, and its predictions on the rest: recipe_id, label, predicted."""
-    df = split(features(scores), "label")
-    df = df.join(F.broadcast(class_weights(df.where("train"))), "label")  # a row a class
+    df = cut(split(features(scores), "label"))
+    weights = cut(class_weights(df.where("train")))
+    df = df.join(F.broadcast(weights), "label")  # a row a class
+    if callable(stages):  # balanced weights add up to the rows
+        stages = stages(float(df.where("train").count()))
     before = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True)]
     model = Pipeline(stages=[*before, *stages]).fit(df.where("train"))
     return model, predicted(model, df.where("not train"))
@@ -101,25 +116,30 @@ def importances(model: PipelineModel) -> DataFrame:
     return SparkSession.active().createDataFrame(sorted(((f, float(v)) for f, v in zip(FEATURES, found, strict=True)), key=lambda x: -x[1]), "feature string, importance double")
 
 
-def random_search(scores: DataFrame, combos: int = 30, folds: int = 5, seed: int = 42, grid: dict | None = None) -> DataFrame:
-    """Mean macro F1 of sampled parameter sets over stratified folds; the same folds for every set."""
-    from pyspark.sql import SparkSession
+class MacroF1(Evaluator):
+    """The mean of the classes' F1 over predictions(y, prediction)."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        counted = dataset.select(F.col("y").cast("string").alias("label"), F.col("prediction").cast("string").alias("predicted"))
+        return float(metrics(counted).where("class = 'macro'").first()["f1"])
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+def random_search(scores: DataFrame, combos: int = 30, folds: int = 5, seed: int = 42, grid: dict | None = None, parallelism: int = 4) -> DataFrame:
+    """(combo, parameters, macro_f1): mean macro F1 of sampled parameter sets over stratified folds, the same folds for every set.
 
+    The sets are fitted side by side; folds have the classes' shares, so the weights of all rows are those of each fold.
+    """
     grid = grid or GRID
     r = random.Random(seed)
     sets = [{k: r.choice(v) for k, v in grid.items()} for _ in range(combos)]
-    df = features(scores)
-    by = Window.partitionBy("label").orderBy(F.md5(F.concat(F.col("recipe_id").cast("string"), F.lit(f"-{seed}"))), "recipe_id")
-    df = df.withColumn("fold", F.row_number().over(by) % folds).cache()
-    rows = []
-    for i, p in enumerate(sets):
-        f1 = []
-        for k in range(folds):
-            train = df.where(F.col("fold") != k)
-            train = train.join(F.broadcast(class_weights(train)), "label")
-            before = [StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="scaled")]
-            model = Pipeline(stages=[*before, RandomForestClassifier(featuresCol="scaled", labelCol="y", weightCol="weight", seed=seed, **p)]).fit(train)
-            f1.append(metrics(predicted(model, df.where(F.col("fold") == k))).where("class = 'macro'").first()["f1"])
-        rows.append((i, str(sorted(p.items())), float(sum(f1) / len(f1))))
-    df.unpersist()
-    return SparkSession.active().createDataFrame(rows, "combo int, parameters string, macro_f1 double")
+    df = dimensions.ranked(features(scores), "label", hashed("recipe_id", seed), "_rn")
+    df = df.withColumn("fold", (F.col("_rn") % folds).cast("int")).drop("_rn")
+    df = cut(df.join(F.broadcast(cut(class_weights(df))), "label"))  # a row a class
+    tree = RandomForestClassifier(featuresCol="vector", labelCol="y", weightCol="weight", seed=seed, maxMemoryInMB=1024)
+    steps = Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=FEATURES, outputCol="vector"), tree])
+    search = CrossValidator(estimator=steps, estimatorParamMaps=[{tree.getParam(k): v for k, v in p.items()} for p in sets], evaluator=MacroF1(), numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed)
+    found = search.fit(df).avgMetrics
+    return df.sparkSession.createDataFrame([(i, str(sorted(p.items())), float(x)) for i, (p, x) in enumerate(zip(sets, found, strict=True))], "combo int, parameters string, macro_f1 double")

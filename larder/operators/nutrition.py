@@ -10,7 +10,11 @@ from larder.operators.scoring import NUTRIENTS, rounded
 
 def weighed(rif: DataFrame, measures: DataFrame, servings: DataFrame) -> DataFrame:
     """Each line with grams per serving: the extracted measure, already divided and rounded, else the parsed one by the recipe's servings (4 where unknown)."""
-    df = rif.join(measures, ["recipe_id", "ingredient_index"], "left").join(servings, "recipe_id", "left")
+    return with_grams(rif.join(measures, ["recipe_id", "ingredient_index"], "left").join(servings, "recipe_id", "left"))
+
+
+def with_grams(df: DataFrame) -> DataFrame:
+    """weighed() where grams_per_serving, fallback_grams and servings are columns of the lines."""
     servings_ = F.coalesce("servings", F.lit(4))
     return df.withColumns({
         "servings": servings_,
@@ -19,9 +23,9 @@ def weighed(rif: DataFrame, measures: DataFrame, servings: DataFrame) -> DataFra
     })
 
 
-def resolved(lines: DataFrame, mapping: DataFrame, foods_with_data: DataFrame) -> DataFrame:
-    """Lines with their food and the reason they count or don't: used, no_grams, no_fdc, no_usda."""
-    df = lines.join(mapping, "ingredient_id", "left").join(foods_with_data.select("fdc_id", F.lit(True).alias("has_data")), "fdc_id", "left")
+def resolved(lines: DataFrame, mapping: DataFrame, wide: DataFrame) -> DataFrame:
+    """Lines with their food, its nutrients, and the reason they count or don't: used, no_grams, no_fdc, no_usda."""
+    df = lines.join(mapping, "ingredient_id", "left").join(wide.withColumn("has_data", F.lit(True)), "fdc_id", "left")
     return df.withColumn("reason", F.when(F.col("grams").isNull(), "no_grams").when(F.col("fdc_id").isNull(), "no_fdc").when(F.col("has_data").isNull(), "no_usda").otherwise("used"))
 
 
@@ -32,15 +36,14 @@ def nutrient_pivot(nutrients: DataFrame, foods: DataFrame | None = None) -> Data
     return wide if foods is None else foods.join(wide, "fdc_id", "left")
 
 
-def rollup(lines: DataFrame, wide: DataFrame) -> DataFrame:
-    """Nutrients per serving of every recipe, rounded to 0.1; recipes with nothing usable have zeros.
+def rollup(lines: DataFrame) -> DataFrame:
+    """Nutrients per serving of every recipe of resolved() lines, rounded to 0.1; recipes with nothing usable have zeros.
 
-    The sums are decimal, and the nutrients are joined per food and line, so a recipe is one partial aggregation.
+    The sums are decimal, and a line has its food's nutrients, so a recipe is one partial aggregation.
     """
-    df = lines.join(wide, "fdc_id", "left")
     used = F.col("reason") == "used"
     sums = [rounded(F.coalesce(F.sum(F.when(used, F.col("grams") * F.col(n))), F.lit(0)).cast("double") / 100, 1).alias(n) for n in NUTRIENTS.values()]
-    return df.groupBy("recipe_id").agg(F.max("servings").alias("servings"), F.count("*").alias("ingredients_total"), F.count(F.when(used, 1)).alias("ingredients_used"), *sums)
+    return lines.groupBy("recipe_id").agg(F.max("servings").alias("servings"), F.count("*").alias("ingredients_total"), F.count(F.when(used, 1)).alias("ingredients_used"), *sums)
 
 
 def last_wins(df: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -12,6 +12,7 @@ from larder.plans.relational import scores
 from larder.plans.text import PERCENT, food_names, fuzzy_sql, joined, recipes_sql, reference, two_languages
 from larder.sources import tables
 from larder.sources.shared import cut, new_path
+from larder.streaming import recipes
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -40,7 +41,7 @@ def discovered(s: SparkSession, d: str) -> DataFrame:
     df.where("recipe_id % 2 = 0").select(F.col("recipe_id").alias("Recipe_URL"), "ingredients").write.option("header", True).csv(f"{base}/a.csv")
     df.where("recipe_id % 2 <> 0").select("ingredients", F.col("recipe_id").alias("source_url")).write.option("header", True).csv(f"{base}/b.csv")
     df.select("recipe_id").write.option("header", True).csv(f"{base}/c.csv")
-    return tables.discover(s, [f"{base}/{f}.csv" for f in "abc"]).select("source_url", F.size(F.split("ingredients", r"\|")).cast("long").alias("parts"))
+    return tables.discover(s, f"{base}/*.csv").select("source_url", F.size(F.split("ingredients", r"\|")).cast("long").alias("parts"))
 
 
 def appended(s: SparkSession, d: str) -> DataFrame:
@@ -64,6 +65,8 @@ def replaced(s: SparkSession, d: str) -> DataFrame:
     folder = new_path(s, "tables")
     tag = folder.rsplit("-", 1)[-1]
     counts = tables.replace_tables({f"larder_{n}_{tag}": table(s, d, n) for n in ("recipes", "food", "food_nutrient")}, folder=folder)
+    for k in counts:
+        s.sql(f"DROP TABLE {k}")
     return s.createDataFrame([(k.removeprefix("larder_").removesuffix(f"_{tag}"), n) for k, n in counts.items()], "name string, n long")
 
 
@@ -143,16 +146,23 @@ def mapping(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "food").selectExpr("ingredient_id", "upper(ingredient_name) AS name", "if(ingredient_id % 7 = 0, 'matched', 'skip') AS match_status", "if(ingredient_id % 5 = 0, 'by hand', 'scraped') AS notes", "CAST(NULL AS BIGINT) AS fdc_id", "CAST(NULL AS STRING) AS food", "'no_match' AS match_type")
 
 
+THINGS = "anvil bolt gear gizmo plate ring rod widget".split()
 NAMED = "SELECT ingredient_name AS name, min(fdc_id) AS fdc_id FROM food GROUP BY 1"
 query("fix_staged", f"""SELECT ingredient_id, CASE WHEN NOT open THEN status WHEN rule IN ('proxy_fix', 'manual_fix') THEN 'matched' ELSE 'skip' END AS match_status, CASE WHEN open AND rule IS NOT NULL THEN rule ELSE 'no_match' END AS match_type, CASE WHEN open THEN found END AS fdc_id
 FROM (SELECT f.ingredient_id, f.ingredient_id % 7 <> 0 AND f.ingredient_id % 5 <> 0 AS open, CASE WHEN f.ingredient_id % 7 = 0 THEN 'matched' ELSE 'skip' END AS status,
-  CASE WHEN n.fdc_id % 4 = 0 THEN 'proxy_fix' WHEN n.fdc_id % 4 = 1 OR contains(n.name, 'blue') OR contains(n.name, 'ed') THEN 'manual_fix' WHEN n.name LIKE 'a%' THEN 'negligible' WHEN n.name LIKE 'b%' THEN 'artifact' END AS rule,
+  CASE WHEN n.fdc_id % 4 = 0 THEN 'proxy_fix' WHEN n.fdc_id % 4 = 1 OR contains(n.name, 'blue') OR contains(n.name, 'ed') THEN 'manual_fix' WHEN n.name LIKE 'hot %' THEN 'negligible' WHEN n.name LIKE 'cold %' THEN 'artifact' END AS rule,
   CASE WHEN n.fdc_id % 4 IN (0, 1) THEN n.fdc_id WHEN contains(n.name, 'blue') THEN 1 WHEN contains(n.name, 'ed') THEN 2 END AS found
   FROM food f JOIN ({NAMED}) n ON n.name = f.ingredient_name)""")(
-    lambda s, d: (lambda n, listed: jobs.fix_staged(mapping(s, d), n.where("fdc_id % 4 = 0"), n.where("fdc_id % 4 = 1"), s.createDataFrame([(2, "ed", 2, "red"), (1, "blue", 1, "blue")], "priority int, keyword string, fdc_id long, food string"), [x for x in listed if x.startswith("a")], [x for x in listed if x.startswith("b")]).select("ingredient_id", "match_status", "match_type", "fdc_id"))(
-        table(s, d, "food").groupBy(F.col("ingredient_name").alias("name")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food")),
-        [r.name for r in food_names(s, d).where("name like 'a%' or name like 'b%'").collect()],  # a list that people keep
-    )
+    lambda s, d: (
+        lambda n: jobs.fix_staged(
+            mapping(s, d),
+            n.where("fdc_id % 4 = 0"),
+            n.where("fdc_id % 4 = 1"),
+            s.createDataFrame([(2, "ed", 2, "red"), (1, "blue", 1, "blue")], "priority int, keyword string, fdc_id long, food string"),
+            [f"hot {x}" for x in THINGS],
+            [f"cold {x}" for x in THINGS],
+        ).select("ingredient_id", "match_status", "match_type", "fdc_id")
+    )(table(s, d, "food").groupBy(F.col("ingredient_name").alias("name")).agg(F.min("fdc_id").alias("fdc_id"), F.min_by("description", "fdc_id").alias("food")))
 )
 STAGED = "SELECT ingredient_id, upper(ingredient_name) AS name, ingredient_id % 7 = 0 AS matched, CASE WHEN ingredient_id % 5 = 0 THEN 'by hand' ELSE 'scraped' END AS notes, ingredient_id % 7 <> 0 AND ingredient_id % 5 <> 0 AS open FROM food"
 LIKED = fuzzy_sql(f"SELECT lower(name) AS name FROM ({STAGED}) WHERE open", "SELECT lower(description) AS key, min(fdc_id) AS ord FROM food GROUP BY 1", 65)
@@ -184,6 +194,21 @@ query("reanalyse", "SELECT o.recipe_id, o.servings, " + ", ".join(f"CASE WHEN n.
 )
 
 
+def streamed(s: SparkSession, d: str) -> DataFrame:
+    """Scores of recipes that come as files of a stream, some twice."""
+    base = new_path(s, "stream")
+    lists = joined(s, d).select("recipe_id", F.split(F.col("ingredients"), r" \| ").alias("ingredients"))
+    new = table(s, d, "recipes").join(lists, "recipe_id").select(F.col("recipe_name").alias("name"), F.lit("west").alias("cuisine"), F.col("servings_expected").cast("string").alias("servings"), F.concat(F.lit("http://x.org/"), "recipe_id", F.lit("/")).alias("url"), "ingredients")
+    new.write.json(f"{base}/in")
+    new.where("hash(url) % 10 = 0").withColumn("url", F.upper("url")).write.mode("append").json(f"{base}/in")
+    recipes.add_recipes(s, f"{base}/in", f"{base}/out", f"{base}/state", reference(s, d)).awaitTermination()
+    url = recipes.committed(s, f"{base}/out", "recipes").select("recipe_id", F.regexp_extract(F.lower("recipe_url"), "([0-9]+)/$", 1).cast("long").alias("source_id"))
+    return recipes.committed(s, f"{base}/out", "scores").join(url, "recipe_id").select("source_id", "servings", *jobs.SCORED, "coverage_tier")
+
+
+query("add_recipes", "SELECT recipe_id AS source_id, servings, " + ", ".join(jobs.SCORED) + f", CASE WHEN ingredient_coverage_pct < 30 THEN 'warn' WHEN ingredient_coverage_pct < 60 THEN 'info' ELSE 'ok' END AS coverage_tier FROM ({recipes_sql('SELECT recipe_id, servings_expected AS servings FROM recipes')})")(streamed)
+
+
 def reloaded(s: SparkSession, d: str) -> DataFrame:
     """Predictions of a model that was saved and read again."""
     df = cut(scores(s, d))

@@ -93,11 +93,16 @@ def wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, d: str) -> DataFrame:
-    return nutrition.resolved(weighed(spark, d), table(spark, d, "ingredient_mapping"), wide(spark, d))
+    """One scan of the lines: the measure that measures() gives is worked out beside each."""
+    rif = table(spark, d, "recipe_ingredient").join(table(spark, d, "recipes").select("recipe_id", F.col("servings_expected").alias("servings")), "recipe_id", "left")
+    g = (F.col("qty_expected") * F.col("unit_grams")).cast("double")
+    measure = F.when(F.col("ingredient_index") % 5 != 0, F.round((g / F.col("servings")).cast("decimal(20,8)"), 2).cast("decimal(18,2)"))
+    lines = nutrition.with_grams(rif.withColumns({"fallback_grams": g, "grams_per_serving": measure}))
+    return nutrition.resolved(lines, table(spark, d, "ingredient_mapping"), wide(spark, d))
 
 
 def recipe_nutrition(spark: SparkSession, d: str) -> DataFrame:
-    return nutrition.rollup(resolved(spark, d), wide(spark, d))
+    return nutrition.rollup(resolved(spark, d))
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -249,9 +254,7 @@ query(
 
 for _metric in ("sodium_mg", "energy_kcal", "weighted_risk_score"):
     query(f"topk_{_metric}", f"SELECT recipe_id, left(recipe_name, 40) AS recipe_name, {_metric} FROM scores WHERE {_metric} IS NOT NULL ORDER BY {_metric} DESC, recipe_id LIMIT 10")(lambda s, d, m=_metric: insights.top_k(scores(s, d), m, 10))
-query("explore_sort", "SELECT recipe_id, CAST(row_number() OVER (PARTITION BY weighted_risk_level ORDER BY weighted_risk_score DESC NULLS LAST, lower(recipe_name), recipe_id) AS INTEGER) AS place FROM scores")(
-    lambda s, d: scores(s, d).withColumn("place", F.expr("row_number() OVER (PARTITION BY weighted_risk_level ORDER BY weighted_risk_score DESC NULLS LAST, lower(recipe_name), recipe_id)")).select("recipe_id", "place")
-)
+query("explore_sort", "SELECT recipe_id, CAST(row_number() OVER (PARTITION BY weighted_risk_level ORDER BY weighted_risk_score DESC NULLS LAST, lower(recipe_name), recipe_id) AS INTEGER) AS place FROM scores")(lambda s, d: insights.explored(scores(s, d)))
 query("head_n", "SELECT recipe_id, recipe_name FROM recipes ORDER BY recipe_id LIMIT 48")(lambda s, d: table(s, d, "recipes").orderBy("recipe_id").limit(48).select("recipe_id", "recipe_name"))
 query("union_sources", "SELECT recipe_name AS t FROM recipes UNION SELECT ingredient_name FROM food UNION SELECT description FROM food")(
     lambda s, d: table(s, d, "recipes").select(F.col("recipe_name").alias("t")).union(table(s, d, "food").select("ingredient_name")).union(table(s, d, "food").select("description")).distinct()

@@ -83,6 +83,9 @@ query("source_classify", "SELECT page_id, CASE WHEN strpos(lower(url), 'example.
 query("match_confidence", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'custom' WHEN 2 THEN 'medium' WHEN 3 THEN (CASE WHEN p_size + 50 >= 85 THEN 'medium' ELSE 'low' END) ELSE 'none' END AS bucket FROM part")(
     lambda s, d: table(s, d, "part").select("p_partkey", text.confidence(F.expr("CASE p_partkey % 5 WHEN 0 THEN 'manual_match' WHEN 1 THEN 'user_override' WHEN 2 THEN 'wafct' WHEN 3 THEN concat('fuzzy_', p_size + 50, '%') ELSE 'no_match' END")).alias("bucket"))
 )
+query("base_ingredient", "SELECT DISTINCT ingredient_name AS name, array_to_string(list_filter(string_split(ingredient_name, ' '), lambda w: w <> 'fresh'), ' ') AS base FROM food")(
+    lambda s, d: table(s, d, "food").select(F.col("ingredient_name").alias("name"), text.base_ingredient(F.concat(F.lit("2 cups freshly chopped "), "ingredient_name", F.lit("s (ripe), to taste"))).alias("base")).distinct()
+)
 query("form_and_key", None)(lambda s, d: table(s, d, "food").select("fdc_id", text.base_ingredient("description").alias("base"), text.form("description").alias("form"), text.lookup_key("description").alias("lookup")))
 query("cooking_methods", "SELECT doc_id, coalesce(array_to_string(list_filter(['bake', 'blend', 'boil', 'braise', 'broil', 'deep fry', 'deep-fry', 'fry', 'grill', 'knead', 'marinate', 'microwave', 'poach', 'pressure cook', 'roast', 'saute', 'sauté', 'simmer', 'slow cook', 'smoke', 'steam', 'stew', 'stir-fry', 'toast'], lambda w: contains(lower(text), w)), ', '), '') AS methods FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", text.cooking_methods("text").alias("methods"))
@@ -122,8 +125,9 @@ query("html_jsonld", f"SELECT CAST(recipe_id AS STRING) AS url, concat('Recipe '
 
 
 def plugin_pages(s: SparkSession, d: str) -> DataFrame:
-    item = lambda x: F.concat(F.lit('<li class="wprm-recipe-ingredient" data-uid="1"><span class="wprm-recipe-ingredient-amount">'), x.qty_text, F.lit('</span> <span class="wprm-recipe-ingredient-unit">'), x.unit, F.lit('</span> <span class="wprm-recipe-ingredient-name"><a href="/x">'), x.ingredient_name, F.lit("</a></span></li>"))
-    df = line(s, d).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("ingredient_index", "qty_text", "unit", "ingredient_name"))).alias("l"))
+    own = lambda x: F.when(x.nested, F.concat(F.lit("<span><span>"), x.unit, F.lit("</span></span>"))).otherwise(x.unit)
+    item = lambda x: F.concat(F.lit('<li class="wprm-recipe-ingredient" data-uid="1"><span class="wprm-recipe-ingredient-amount">'), x.qty_text, F.lit('</span> <span class="wprm-recipe-ingredient-unit">'), own(x), F.lit('</span> <span class="wprm-recipe-ingredient-name"><a href="/x">'), x.ingredient_name, F.lit("</a></span></li>"))
+    df = line(s, d).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("ingredient_index", "qty_text", "unit", "ingredient_name", (F.col("recipe_id") % 3 == 0).alias("nested")))).alias("l"))
     return df.select(F.col("recipe_id").cast("string").alias("url"), F.concat(F.lit("<ul>"), F.array_join(F.transform("l", item), "\n"), F.lit("</ul>")).alias("html"))
 
 
@@ -138,11 +142,37 @@ query("html_instructions", "SELECT recipe_id, concat('Wash ', recipe_name_clean,
 query("html_image_url", "SELECT page_id, concat(url, '/p.jpg') AS image FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 2 == 0, "<meta property='og:image' content='").otherwise("<meta content='"), "url", F.lit("/p.jpg'"), F.when(F.col("page_id") % 2 == 0, ">").otherwise(" property='og:image'>")).alias("h")).select("page_id", html.image_url("h").alias("image"))
 )
-query("html_links", "SELECT DISTINCT link FROM (SELECT unnest(regexp_extract_all(html, '(?is)<a[^>]*href=[\"'']([^\"'']+)[\"'']', 1)) AS link FROM pages) WHERE length(link) - length(replace(link, '/', '')) = 4 AND NOT regexp_matches(link, '/(category|tag|author|page)/')")(
-    lambda s, d: html.links(table(s, d, "pages"))
-)
-query("html_site_list", "SELECT page_id, len(list_filter(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), lambda x: trim(regexp_replace(x, '<[^>]+>', ' ', 'g')) <> '')) AS items FROM pages")(
-    lambda s, d: table(s, d, "pages").select("page_id", F.size(html.listed("html")).cast("long").alias("items"))
+LINKED = "<a class='x' href='"
+
+
+def linking_pages(s: SparkSession, d: str) -> DataFrame:
+    """The given pages, each with links of an article, of a tag and of a listing before what it holds."""
+    link = lambda tail: F.concat(F.lit(LINKED), F.lit("https://food.example/"), tail, F.lit("'>more</a>"))
+    n = F.col("page_id").cast("string")
+    return table(s, d, "pages").select("page_id", F.concat(link(F.concat((F.col("page_id") % 50).cast("string"), F.lit("/"))), link(F.concat(F.lit("tag/"), n)), link(F.concat(n, F.lit("/a/b"))), "html").alias("html"))
+
+
+query(
+    "html_links",
+    "SELECT DISTINCT link FROM (SELECT concat('https://food.example/', CAST(page_id % 50 AS VARCHAR), '/') AS link FROM pages UNION ALL SELECT unnest(regexp_extract_all(html, '(?is)<a[^>]*href=[\"'']([^\"'']+)[\"'']', 1)) FROM pages) WHERE length(link) - length(replace(link, '/', '')) = 4 AND NOT regexp_matches(link, '/(category|tag|author|page)/')",
+)(lambda s, d: html.links(linking_pages(s, d)))
+
+
+def site_pages(s: SparkSession, d: str) -> DataFrame:
+    """The given pages behind a structured list: parts that nest, an item without a unit, items that end where the next begins."""
+    n = F.col("page_id").cast("string")
+    item = lambda q, u, name: F.concat(F.lit('<li class="x mm-recipes-structured-ingredients__list-item"><p><span data-ingredient-quantity="true">'), q, F.lit("</span>"), u, F.lit('<span data-ingredient-name="true"><b>'), name, F.lit("</b> <i>fresh</i></span></p>"))
+    unit = F.lit(' <span data-ingredient-unit="true">cup<span>s</span></span> ')
+    block = F.concat(
+        F.lit("<html><body><h1> Dish <b>"), n, F.lit("</b></h1><div data-ingredient-serving-size=''>"), ((F.col("page_id") % 9) + 1).cast("string"), F.lit("</div><ul>"),
+        item(F.concat(n, F.lit("½")), unit, F.lit("rice &amp; peas")), item(F.lit("2"), F.lit(""), F.concat(F.lit("yam "), n)),
+        F.lit("</ul><div class='mm-recipes-steps__content'><p>Wash.<p>Boil all of it for <b>"), n, F.lit("</b> minutes.</p></div><p>Not a step of this recipe at all.</p>"), "html",
+    )
+    return table(s, d, "pages").select("page_id", block.alias("html"))
+
+
+query("html_site_list", "SELECT page_id, concat('Dish ', CAST(page_id AS VARCHAR)) AS title, CAST(page_id % 9 + 1 AS VARCHAR) AS servings, concat(CAST(page_id AS VARCHAR), ' 1/2 cup s rice & peas fresh|2 yam ', CAST(page_id AS VARCHAR), ' fresh') AS ingredients, concat('Boil all of it for ', CAST(page_id AS VARCHAR), ' minutes.') AS directions, 'boil' AS cooking_methods FROM pages")(
+    lambda s, d: html.site_lists(site_pages(s, d), "page_id").withColumn("ingredients", F.array_join("ingredients", "|"))
 )
 
 # ---------------------------------------------------------------- densities
@@ -391,6 +421,9 @@ query("ml_logreg", None)(lambda s, d: models.evaluated(scores(s, d), models.logi
 query("ml_forest", None)(lambda s, d: models.evaluated(models.merged(scores(s, d)), models.forest())[1])
 query("ml_coefficients", None)(lambda s, d: models.coefficients(models.evaluated(scores(s, d), models.logistic())[0]))
 query("ml_importance", None)(lambda s, d: models.importances(models.evaluated(models.merged(scores(s, d)), models.forest())[0]))
+#: Small trees, so that thirty sets over five folds take a minute or two and not hours; models.GRID is the surveyed grid.
+SMALL_GRID = {"numTrees": [2, 4, 6], "maxDepth": [2, 4], "featureSubsetStrategy": ["sqrt", "log2"], "minInstancesPerNode": [1, 2, 4]}
+query("ml_random_search", None)(lambda s, d: models.random_search(models.merged(scores(s, d)), grid=SMALL_GRID))
 query("ml_metrics", None)(lambda s, d: models.metrics(models.evaluated(scores(s, d), models.logistic())[1]))
 
 __all__ = ["line", "recipe_nutrition"]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import col, entities_decoded, yield_count
+from larder.functions.text import col, cooking_methods, entities_decoded, glyphs_expanded, yield_count
+from larder.sources import markup
 
 MOST_INGREDIENTS = 100
 
@@ -46,16 +49,60 @@ def jsonld(pages: DataFrame) -> DataFrame:
     return first.select("url", "r.*")
 
 
+PLUGIN_PARTS = ("amount", "unit", "name", "notes")
+PLUGIN_RULES: dict[str, markup.Rule] = {"item": ("li", "class", "wprm-recipe-ingredient"), "title": (None, "class", "wprm-recipe-name"), "servings": (None, "class", "wprm-recipe-servings"), **{f"item/{p}": (None, "class", f"wprm-recipe-ingredient-{p}") for p in PLUGIN_PARTS}}
+
+
+def _plugin_page(found: list, text: str) -> dict:
+    lines = [" ".join(x for x in i.values() if x) for i in markup.items(found, "item", PLUGIN_PARTS) if i["name"]]
+    first = lambda name: next((t for n, _, t in found if n == name), None)
+    return {"title": first("title"), "ingredients": lines[:MOST_INGREDIENTS], "stated": first("servings")}
+
+
 def wprm(pages: DataFrame) -> DataFrame:
-    """Recipe-plugin list items: amount, unit, name and notes, joined; items without a name are dropped."""
+    """pages(url, html): recipe-plugin list items: amount, unit, name and notes, joined; items without a name are dropped.
+
+    Pages whose parts hold spans of their own go through a tree parser, all others through regular expressions.
+    """
+    nested = F.coalesce(F.col("html").rlike(r"(?is)wprm-recipe-(?:ingredient-(?:amount|unit|name|notes)|name|servings)[^>]*>[^<]*<span"), F.lit(False))
     items = F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*wprm-recipe-ingredient[\"\s][^>]*>(.*?)</li>"), F.lit(1))
 
     def part(item: Column, which: str) -> Column:
         return plain(F.regexp_extract(item, rf"(?is)wprm-recipe-ingredient-{which}[^>]*>(.*?)</span>", 1))
 
-    lines = F.transform(F.filter(items, lambda i: part(i, "name") != ""), lambda i: F.concat_ws(" ", *(F.nullif(part(i, w), F.lit("")) for w in ("amount", "unit", "name", "notes"))))
+    lines = F.transform(F.filter(items, lambda i: part(i, "name") != ""), lambda i: F.concat_ws(" ", *(F.nullif(part(i, w), F.lit("")) for w in PLUGIN_PARTS)))
     title = plain(F.regexp_extract("html", r"(?is)wprm-recipe-name[^>]*>(.*?)</", 1))
-    return pages.select("url", title.alias("title"), F.slice(lines, 1, MOST_INGREDIENTS).alias("ingredients"), yield_count(F.regexp_extract("html", r"(?is)wprm-recipe-servings[^>]*>(.*?)</", 1)).alias("servings")).where(F.size("ingredients") > 0)
+    flat = pages.where(~nested).select("url", title.alias("title"), F.slice(lines, 1, MOST_INGREDIENTS).alias("ingredients"), yield_count(F.regexp_extract("html", r"(?is)wprm-recipe-servings[^>]*>(.*?)</", 1)).alias("servings"))
+    deep = markup.over_pages(pages.where(nested), "url", PLUGIN_RULES, "title string; ingredients array<string>; stated string", _plugin_page)
+    both = flat.unionByName(deep.select("url", F.coalesce("title", F.lit("")).alias("title"), "ingredients", yield_count("stated").alias("servings")))
+    return both.where(F.size("ingredients") > 0)
+
+
+# How a site with structured lists marks their parts.
+SITE_PARTS = ("quantity", "unit", "name")
+SITE_RULES: dict[str, markup.Rule] = {"title": ("h1", None, None), "servings": (None, "data-ingredient-serving-size", None), "item": ("li", "class", "mm-recipes-structured-ingredients__list-item"), **{f"item/{p}": (None, f"data-ingredient-{p}", "true") for p in SITE_PARTS}, "steps": ("div", "class", "mm-recipes-steps__content"), "steps/p": ("p", None, None)}
+LEAST_STEP = 20
+
+
+def _site_page(found: list, text: str) -> dict:
+    first = lambda name: next((t for n, _, t in found if n == name), "")
+    stated = re.search(r"(?i)([0-9]+)\s+servings?", text)
+    return {
+        "title": first("title"),
+        "servings": first("servings") or (stated[1] if stated else ""),
+        "ingredients": [" ".join(x for x in i.values() if x) for i in markup.items(found, "item", SITE_PARTS)],
+        "directions": " ".join(t for n, _, t in found if n == "steps/p" and len(t) > LEAST_STEP),
+    }
+
+
+def site_lists(pages: DataFrame, key: str = "url") -> DataFrame:
+    """pages(key, html) -> (key, title, servings, ingredients, directions, cooking_methods) of a site's structured lists.
+
+    Ingredients are quantity, unit and name with fractions written out; directions are steps of more than 20 characters.
+    Pages without such lists give empty ones; a null page is an empty one.
+    """
+    out = markup.over_pages(pages, key, SITE_RULES, "title string; servings string; ingredients array<string>; directions string", _site_page)
+    return out.withColumns({"ingredients": F.transform("ingredients", lambda x: F.trim(glyphs_expanded(x))), "cooking_methods": cooking_methods("directions")})
 
 
 def microdata(pages: DataFrame) -> DataFrame:

@@ -25,3 +25,25 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and stored in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = files(spark, path)
+    return fs.exists(p)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = files(spark, path)
+    fs.delete(p, True)
+
+
+def move(spark: SparkSession, old: str, new: str) -> None:
+    fs, p = files(spark, old)
+    if not fs.rename(p, files(spark, new)[1]):
+        raise OSError(f"{old} could not be moved to {new}")

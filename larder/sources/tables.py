@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.operators.scoring import NUTRIENTS
-from larder.sources.shared import cut
+from larder.sources.shared import exists, move, remove
 
 SCRAPED = T.StructType([T.StructField(c, T.StringType()) for c in ("recipe_title", "servings", "ingredients", "cooking_methods", "source_url")])
 NUTRIENT = "fdc_id bigint, nutrient_id int, amount double"
@@ -22,13 +23,25 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return df.toDF(*(c.lstrip("﻿") for c in df.columns))
 
 
-def discover(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """(source_url, ingredients) of those files that have an ingredients column and one with url in its name."""
+def discover(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
+    """(source_url, ingredients) of those files that have an ingredients column and one with url in its name.
+
+    paths: a folder, a pattern, or several paths.  Files are listed once and their first lines found in one pass; files of the same
+    header are read together, so a plan has as many scans as there are headers.  Nothing that fits gives no row.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
     out = spark.createDataFrame([], "source_url string, ingredients string")
-    for p in paths:
-        df = read_csv(spark, p)
-        url = next((c for c in df.columns if "url" in c.lower()), None)
-        if url and "ingredients" in df.columns:
+    if not paths:
+        return out
+    first = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    heads = first.where("block = 0").groupBy("path").agg(F.min_by("value", "n").alias("head"))
+    for head, own in heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect():  # names of files, as the listing has them
+        names = [c.strip('"').lower() for c in head.lstrip("\ufeff").split(",")]
+        if "ingredients" not in names or not any("url" in c for c in names):
+            continue
+        df = read_csv(spark, own)
+        url = next(c for c in df.columns if "url" in c.lower())
+        if "ingredients" in df.columns:
             out = out.unionByName(df.select(F.col(url).alias("source_url"), "ingredients"))
     return out
 
@@ -63,27 +76,63 @@ def food_table_clean(raw: DataFrame) -> DataFrame:
 
 
 def replace_tables(frames: dict[str, DataFrame], database: str = "default", folder: str | None = None) -> dict[str, int]:
-    """Overwrites tables, in folder if one is named, and counts the rows of each in what was written.
+    """Puts tables in place of those of their names, and counts the rows of each in what was written.
 
-    An Observation would count while writing, but a session that has observed can't run a binary MLlib model any more.
+    Every table is first written to a folder of its own, in ``folder`` or the warehouse; only when all are whole does the catalog point to
+    them, and what it pointed to before goes last.  A failure before that leaves all tables as they were.  Frames may read the tables they replace.
     """
-    out = {}
+    spark = next(iter(frames.values())).sparkSession if frames else None
+    made, out = {}, {}
     for name, df in frames.items():
-        writer = df.write.mode("overwrite")
-        (writer.option("path", f"{folder}/{name}") if folder else writer).saveAsTable(f"{database}.{name}")
-        out[name] = df.sparkSession.table(f"{database}.{name}").count()
+        path = f"{folder or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made[name], out[name] = path, spark.read.schema(df.schema).parquet(path).count()
+    for name, path in made.items():
+        point(spark, f"{database}.{name}", path)
     return out
 
 
+def point(spark: SparkSession, table: str, path: str) -> None:
+    """Lets the catalog's table be the Parquet files at path, and removes those it was before."""
+    old = None
+    if spark.catalog.tableExists(table):
+        detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+        old = detail.get("Location")
+        spark.sql(f"DROP TABLE {table}")
+    spark.catalog.createTable(table, path=path, source="parquet")
+    if old and old.rstrip("/") != path.rstrip("/"):
+        remove(spark, old)
+
+
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def swapped(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """What ``write`` writes, in place of what path holds: beside it first, then renamed.  What was there goes last.
+
+    A failure while writing leaves the old files; one between the two renames leaves them under the name of ``before``, and the
+    next call puts them back first.
+    """
+    path = path.rstrip("/")
+    before, new = f"{path}.before", f"{path}.{uuid.uuid4().hex}"
+    if exists(spark, before):
+        if exists(spark, path):
+            remove(spark, before)
+        else:
+            move(spark, before, path)
+    write(new)
+    if exists(spark, path):
+        move(spark, path, before)
+    move(spark, new, path)
+    remove(spark, before)
+
+
 def overwrite(df: DataFrame, path: str) -> None:
-    """Never the path that df reads from: Spark would remove it before reading."""
-    df.write.mode("overwrite").parquet(path)
+    """df as Parquet in place of what path holds, which df may read."""
+    swapped(df.sparkSession, path, lambda new: df.write.parquet(new))
 
 
 def overwrite_csv(df: DataFrame, path: str) -> None:
-    """df as CSV with a header in place of what path holds, which df may read: its rows are stored in the shared folder first."""
-    cut(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """df as CSV with a header in place of what path holds, which df may read."""
+    swapped(df.sparkSession, path, lambda new: df.write.option("header", True).option("escape", '"').csv(new))
