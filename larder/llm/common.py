@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -140,11 +141,21 @@ def own(key, make: Callable[[], object]):
     """What a Python worker keeps from task to task: one thing, since workers outlive stages; asking for another lets go of it."""
     if key not in _OWN:
         _OWN.clear()
-        gc.collect()
+        give_back()
         _OWN[key] = make()
     return _OWN[key]
 
 
+def give_back() -> None:
+    """Memory that this worker has freed goes back to its machine, where the C library can say so."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that edges (a, b) lead to, for each node of an edge between two nodes.
 

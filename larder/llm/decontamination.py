@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import slices, texts
+from larder.llm.common import own, slices, texts
 
 RATE, MIN_CHARS = 0.05, 25
 #: Characters of items that one pass over the documents carries.
@@ -116,6 +116,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars
 
 def one_pass(docs: DataFrame, items, rate: float) -> DataFrame:
     def run(batches):
+        own("decontamination", bool)  # lets go of what another operator has kept in this worker
         held = Items(items.value, rate) if items.value else None
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             out = [(i, *x) for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for x in (held.search(t).items() if held else ())]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import slices, texts
+from larder.llm.common import own, slices, texts
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -216,13 +216,13 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
     more = {}
     if (t := disguised(text)) is not None:
         for kind, found in plain(t.text).items():
-            own = base[kind]
-            starts = [x for x, _ in own]
+            plain_ones = base[kind]
+            starts = [x for x, _ in plain_ones]
             more[kind] = []
             for a, b in sorted({(int(t.start[a]), int(t.end[b - 1])) for a, b in found}):
                 # Plain spans don't overlap, so those that meet this one stand side by side.
                 i = max(0, bisect_right(starts, a) - 1)
-                near = own[i : bisect_left(starts, b, i)]
+                near = plain_ones[i : bisect_left(starts, b, i)]
                 if not any(y > a and (x <= a and b <= y or digit_words(text[a:x] + " " + text[y:b]) == 1) for x, y in near):
                     more[kind].append((a, b))
     return [(k, a, b, added) for k in KINDS for a, b, added in sorted([(a, b, False) for a, b in base[k]] + [(a, b, True) for a, b in more.get(k, [])])]
@@ -240,6 +240,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        own("pii", bool)  # lets go of what another operator has kept in this worker
         for batch in (s for b in batches for s in slices(b, 16 << 20)):
             found, masked = [], []
             for t in batch.column("text").to_pylist():
@@ -279,7 +280,8 @@ def mask_texts(docs: DataFrame) -> DataFrame:
     order = docs.schema.names
 
     def run(batches):
-        for batch in (s for b in batches for s in slices(b, 8 << 20)):
+        own("pii", bool)
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             new = [mask(t, s) if t is not None and (s := spans(t)) else t for t in batch.column("text").to_pylist()]
             at = order.index("text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 :]], order)
