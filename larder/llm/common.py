@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of what isn't an ASCII blank; ``bytes.split()`` cuts at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-BATCH_BYTES = 16 << 20
+#: Bytes of an Arrow batch: the JVM and the worker hold some copies of it at a time.
+BATCH_BYTES = 4 << 20
 #: Bytes of a generation's keys and values.  What the one before has is taken over when it is seen again, so frequent parts stay known.
-REMEMBERED = 28 << 20
+REMEMBERED = 16 << 20
 #: What an entry takes beside them, about.
 ENTRY = 180
 
@@ -141,14 +142,14 @@ def own(key, make: Callable[[], object]):
     """What a Python worker keeps from task to task: one thing, since workers outlive stages; asking for another lets go of it."""
     if key not in _OWN:
         _OWN.clear()
-        give_back()
+        gc.collect()
         _OWN[key] = make()
+    give_back()  # once a task: what the one before has freed
     return _OWN[key]
 
 
 def give_back() -> None:
     """Memory that this worker has freed goes back to its machine, where the C library can say so."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
