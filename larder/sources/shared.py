@@ -12,6 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-larder-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
