@@ -123,7 +123,7 @@ class Remembered:
         found = [list(map(self.now.get, keys)) for keys in sequences]
         gaps = [[i for i, x in enumerate(values) if x is None] for values in found]
         new = {keys[i] for keys, own in zip(sequences, gaps, strict=True) for i in own}
-        known = list(new.intersection(self.before))
+        known = [k for k in new if k in self.before]  # an intersection would walk all that is remembered
         self.put(known, list(map(self.before.__getitem__, known)))
         if new := list(new.difference(known)):
             self.put(new, learn(new))
