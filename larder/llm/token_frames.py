@@ -35,7 +35,7 @@ LEVEL = 3
 MARKS = b".,;:!?()*#$%&|<>-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of a generation of words.
-WORDS = 80 << 20
+WORDS = 140 << 20
 NULL_ID = -(1 << 63)
 
 
