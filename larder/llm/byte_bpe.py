@@ -29,8 +29,8 @@ from larder.llm.ngram_jaccard import mixed
 #: White space as the pattern's \s has it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 MEMORY = "250MB"
-#: Bytes of a batch of words, and rows of all rounds of a query.
-BATCH, ROWS = 100_000, 800_000
+#: Bytes of a batch of words, and rows of all rounds of a query, of short parts and of wide ones.
+BATCH, ROWS, WIDE_ROWS = 200_000, 2_000_000, 800_000
 #: Bytes of a part from which on all places of its least pair are contracted at once.
 WIDE = 64
 #: Rows of one part that the queries hold within MEMORY; a longer part is contracted by whole arrays until so few are left.
@@ -160,7 +160,7 @@ class Coder:
             if not open_:
                 return w, pos, ids
         while len(w):
-            rounds = max(1, ROWS // len(w))
+            rounds = max(1, (WIDE_ROWS if wide else ROWS) // len(w))
             if wide:
                 start, sql = pa.table({"w": w.astype(np.int32), "pos": pos.astype(np.int32), "id": ids}), CONTRACT_ALL
             else:
@@ -337,7 +337,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 2 << 20)):
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in c.encode(batch.column("text").to_pylist())], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -348,7 +348,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 2 << 20)):
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             ids = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -362,7 +362,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 2 << 20)):
+        for batch in (s for b in batches for s in slices(b, 4 << 20)):
             ids = c.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
