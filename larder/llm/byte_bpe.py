@@ -35,6 +35,8 @@ BATCH, ROWS, WIDE_ROWS = 200_000, 2_000_000, 800_000
 WIDE = 64
 #: Rows of one part that the queries hold within MEMORY; a longer part is contracted by whole arrays until so few are left.
 LONG = 400_000
+#: Bytes of texts whose parts a worker holds at a time.  Parts come from memory, so smaller slices take no more time.
+SLICE = 512 << 10
 #: k is the word's number and, in its low 20 bits, the position; a contraction drops the left token, puts the new one in
 #: place of the right, and moves what stands before it one to the right, so positions stay next to each other.
 CONTRACT = """
@@ -337,7 +339,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, SLICE)):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.astype(np.int32) for x in c.encode(batch.column("text").to_pylist())], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -348,7 +350,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, SLICE)):
             ids = [np.array(x or [], np.int64) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
@@ -362,7 +364,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = coder(path, pattern)
-        for batch in (s for b in batches for s in slices(b, 4 << 20)):
+        for batch in (s for b in batches for s in slices(b, SLICE)):
             ids = c.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(c.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 

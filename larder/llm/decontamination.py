@@ -105,7 +105,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // block_chars)
-    out = spark.createDataFrame([], "doc_id long, item_id long, distance int")
+    # createDataFrame() would start Python workers of another kind, which stay beside those of the operators.
+    out = spark.range(0).select(*(F.lit(None).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("item_id", "long"), ("distance", "int"))))
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         own = [(i, n) for i, t in own if len(n := normal(t)) >= min_chars]

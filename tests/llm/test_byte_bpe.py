@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import subprocess
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -100,3 +102,35 @@ def test_rounds_over_arrays_and_the_heap_agree(monkeypatch):
     r = np.random.default_rng(3)
     pieces = ["".join(r.choice(list(a), r.integers(65, 300))).encode() for a in ("ab", "aaab", "acgt", "etaonrish", "-=", "0 ", "the", "ing tion") for _ in range(40)]
     assert [c.contract([p])[0] for p in pieces] == [c.from_heap(p) for p in pieces]
+
+
+MEMORY = """
+import re
+import numpy as np
+import pyarrow as pa
+import public_tokenizers
+from larder.llm import byte_bpe as bb
+
+class Docs:
+    def mapInArrow(self, run, schema):
+        r = np.random.default_rng(4)
+        words = np.array(["".join(r.choice(list("abcdefghijklmnop"), 7)) for _ in range(200_000)])
+        file = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+        bb.coder(*file)
+        before = peak()
+        texts = (pa.array([" ".join(r.choice(words, 300)) for _ in range(1700)]) for _ in range(3))
+        list(run(pa.RecordBatch.from_arrays([pa.array(range(len(t))), t], ["doc_id", "text"]) for t in texts))
+        print(peak() - before)
+
+def peak():
+    return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+bb.texts = lambda docs: docs
+bb.round_trip(Docs(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+"""
+
+
+def test_a_worker_takes_little_memory():
+    """Two workers stand beside an executor's JVM, whose heap the stages before have filled."""
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[0]) < 200

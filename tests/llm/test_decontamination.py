@@ -57,3 +57,11 @@ def test_edges(spark, table):
     assert sorted(map(tuple, out.collect())) == [(3, 1, 0), (3, 1, 0)]
     assert dc.matches(table([]), bench).count() == 0
     assert dc.matches(table([(1, "a")]), bench.limit(0)).count() == 0
+
+
+def test_no_rows_come_from_the_driver(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "'some words' AS text")
+    items = spark.range(1).selectExpr("id AS item_id", "'an item of more than twenty-five characters' AS text")
+    for found in (dc.matches(docs, items), dc.matches(docs, items.limit(0))):
+        assert found.schema.simpleString() == "struct<doc_id:bigint,item_id:bigint,distance:int>" and found.count() == 0
+        assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString()
