@@ -132,6 +132,21 @@ class Remembered:
                 values[i] = self.now[keys[i]]
         return [b"".join(values) for values in found]
 
+    def values(self, keys: list, learn: Callable[[list], list[bytes]]) -> list[bytes]:
+        """The values of keys, each of which is there once."""
+        if self.held > self.most:
+            self.before, self.now, self.held = self.now, {}, 0
+        found = list(map(self.now.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        for i in gaps:
+            found[i] = self.before.get(keys[i])
+        new = [i for i in gaps if found[i] is None]
+        if new:
+            for i, x in zip(new, learn([keys[i] for i in new]), strict=True):
+                found[i] = x
+        self.put([keys[i] for i in gaps], [found[i] for i in gaps])
+        return found
+
     def put(self, keys: list, values: list[bytes]) -> None:
         self.now.update(zip(keys, values, strict=True))
         self.held += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)

@@ -16,9 +16,12 @@ import os
 import re
 import struct
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -32,8 +35,10 @@ SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
 LEVEL = 3
 #: Marks that may close a word; the apostrophe may begin a part of its own.
-MARKS = b".,;:!?()*#$%&|<>-"
+MARKS = ".,;:!?()*#$%&|<>-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of texts whose words are looked up together.
+BATCH = 8 << 20
 #: Bytes of a generation of words.
 WORDS = 140 << 20
 NULL_ID = -(1 << 63)
@@ -42,11 +47,11 @@ NULL_ID = -(1 << 63)
 class Encoder:
     """The tokens of texts by a tokenizer that never looks across ASCII white space, so that words are encoded once.
 
-    New words go to the library many at a time, as one text.  Where the tokenizer marks the ends of what it splits texts
-    into, words of letters are joined by spaces and told apart by these ends; if there are more or fewer ends than words, or
-    for other words, a special token stands between them, at which the library cuts texts before anything else.  Words that
-    hold a special token go alone.  Where the tokenizer splits closing marks off and writes ASCII in lower case, as it says of
-    itself, they are put together from what is known of the word and the marks.
+    Arrow cuts texts into words and finds the distinct ones; only these are looked up, and Arrow puts their ids in place.  New
+    words go to the library many at a time, as one text, with a special token between them, at which the library cuts texts
+    before anything else.  Words that hold a special token go alone.  Where the tokenizer marks the ends of what it splits
+    texts into and splits closing marks off, as it says of itself, words are put together from what is known of their
+    letters, in lower case if it writes ASCII so, and their marks; letters are joined by blanks and told apart by the ends.
     """
 
     def __init__(self, path: str):
@@ -55,6 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: Ids of cores, and of whole words, which stand under a blank before them: no core holds one.
         self.words = Remembered(WORDS)
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = re.compile("|".join(re.escape(x.content) for x in added.values()) or "(?!)")
@@ -64,11 +70,10 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for x, i in vocabulary.items() if suffix and x.endswith(suffix)]] = True
 
-        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str("az" + MARKS.decode())
+        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str("az" + MARKS)
         #: Whether marks are split off the letters before them, and whether ASCII letters are written in lower case.
         self.apart = bool(split) and [x for _, x in split] == [(0, 2), (2, 2 + len(MARKS))] and self.last.any()
         self.folds = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str(UPPER) == UPPER.lower()
-        self.tails: dict[bytes, bytes] = {b"": b""}
         #: Characters whose normal form is letters, and others.
         self.safe: set[str] = set()
         self.unsafe: set[str] = set()
@@ -91,41 +96,27 @@ class Encoder:
             (self.safe if self.tokenizer.normalizer.normalize_str(c).isalpha() else self.unsafe).add(c)
         return self.safe.issuperset(core)
 
-    def learn(self, words: list[bytes]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        cores, rest = [], []
-        if self.between is None:
-            rest = list(range(len(words)))
-        else:
-            for i, w in enumerate(words):
-                core = w.rstrip(MARKS) if self.apart else w
-                if core.isalpha():  # of bytes: ASCII letters
-                    cores.append((i, core.lower() if self.folds else core, w[len(core) :]))
-                elif not core.isascii() and self.letters(core.decode("utf-8", "surrogatepass")):
-                    cores.append((i, core, w[len(core) :]))
-                else:
-                    rest.append(i)
-        at = self.words.now
-        new = [c for c in {c for _, c, _ in cores} if c not in at]
-        text = b" ".join(new).decode("utf-8", "surrogatepass")
+    def cores(self, cores: list[bytes]) -> list[bytes]:
+        """Ids of words of letters that the tokenizer takes as one piece each; nothing for others."""
+        out = [b""] * len(cores)
+        fit = [i for i, c in enumerate(cores) if c.isalpha() or not c.isascii() and self.letters(c.decode("utf-8", "surrogatepass"))]  # of bytes: ASCII letters
+        text = b" ".join([cores[i] for i in fit]).decode("utf-8", "surrogatepass")
         ids = self.ids(text)
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) == len(new) and (not new or ends[-1] == len(ids)) and not self.special.search(text):
-            ids_of: list[bytes] = [b""] * len(new)
-            self.place(ids_of, range(len(new)), ids, np.append(0, ends)[:-1], ends)
-            known = dict(zip(new, ids_of, strict=True))
-            for i, c, tail in cores:
-                if tail not in self.tails:
-                    self.tails[tail] = self.ids(tail.decode()).tobytes()
-                out[i] = (known.get(c) or at[c]) + self.tails[tail]
-            if len(self.tails) > 10_000:
-                self.tails = {b"": b""}
-            self.words.put(new, ids_of)
+        if len(ends) == len(fit) and (not fit or ends[-1] == len(ids)) and not self.special.search(text):
+            self.place(out, fit, ids, np.append(0, ends)[:-1], ends)
         else:
-            rest += [i for i, _, _ in cores]
-        left = []
-        for i in rest:
-            text = words[i].decode("utf-8", "surrogatepass")
+            for i, own in zip(fit, self.whole([cores[i] for i in fit]), strict=True):
+                last = self.last[np.frombuffer(own, "<u4")]
+                if last.sum() == 1 and last[-1] and not self.special.search(cores[i].decode("utf-8", "surrogatepass")):
+                    out[i] = own
+        return out
+
+    def whole(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word by itself."""
+        out, left = [b""] * len(words), []
+        for i, w in enumerate(words):
+            text = w.decode("utf-8", "surrogatepass")
             if self.between is None or self.special.search(text):
                 out[i] = self.ids(text).tobytes()
             else:
@@ -142,17 +133,89 @@ class Encoder:
         for i, a, b in zip(which, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
             out[i] = raw[a:b]
 
-    def encode(self, texts: list[str | bytes]) -> list[bytes]:
-        """Each text's ids, as they stand in the files; a text may be given as its UTF-8."""
-        words = [(t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t).split() for t in texts]
+    def known(self, words: pa.Array, learn: Callable[[list[bytes]], list[bytes]], before: bytes = b"") -> pa.Array:
+        """learn's ids of distinct words, kept under what stands before them; null where there are none."""
+        keys = objects(words)
+        if before:
+            keys = [before + k for k in keys]
+
+        def some(new: list[bytes]) -> list[bytes]:
+            return [ids for i in range(0, len(new), 10_000) for ids in learn([k[len(before) :] for k in new[i : i + 10_000]])]
+
+        return pa.array([ids or None for ids in self.words.values(keys, some)], pa.large_binary())
+
+    def known_whole(self, words: pa.Array) -> pa.Array:
+        return self.known(words, self.whole, b" ").fill_null(b"")
+
+    def distinct(self, words: pa.StringArray) -> pa.Array:
+        """The ids of distinct words."""
+        if not self.apart:
+            return self.known_whole(words)
+        cores = pc.ascii_rtrim(words, MARKS)
+        marks = np.asarray(pc.binary_length(words)) - np.asarray(pc.binary_length(cores))
+        with_marks = np.flatnonzero(marks)
+        cores = (pc.ascii_lower(cores) if self.folds else cores).dictionary_encode()
+        ids = self.known(cores.dictionary, self.cores).take(cores.indices)
+        tails = endings(words, with_marks, marks[with_marks]).dictionary_encode()
+        which = np.zeros(len(words), np.int32)
+        which[with_marks] = np.asarray(tails.indices) + 1
+        tails = pa.concat_arrays([pa.array([b""], pa.large_binary()), self.known_whole(tails.dictionary)]).take(pa.array(which))
+        ids = pc.binary_join_element_wise(ids, tails, pa.scalar(b"", pa.large_binary()))
+        rest = ids.is_null()
+        return pc.replace_with_mask(ids, rest, self.known_whole(words.filter(rest))) if ids.null_count else ids
+
+    def encode(self, texts: list[str | bytes] | pa.Array) -> list[bytes]:
+        """Each text's ids, as they stand in the files; a text may be given as its UTF-8, texts as Arrow's array without nulls."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t for t in texts], pa.binary())
+        words = pc.ascii_split_whitespace(strings(texts.cast(pa.binary())))
+        coded = words.flatten().dictionary_encode()
         # Many new strings and no cycle among them: the collector would walk all that is remembered, again and again.
         on = gc.isenabled()
         gc.disable()
         try:
-            return self.words.joined(words, lambda new: [ids for i in range(0, len(new), 10_000) for ids in self.learn(new[i : i + 10_000])])
+            ids = self.distinct(coded.dictionary)
         finally:
             if on:
                 gc.enable()
+        # Arrow cuts at each end of a text too; such empty words have no ids.
+        ids = ids.take(coded.indices)
+        _, at, raw = ids.buffers()
+        ends = np.frombuffer(at, "<i8")[np.asarray(words.offsets)] if len(ids) else np.zeros(len(texts) + 1, int)
+        raw = memoryview(raw or b"")
+        return [bytes(raw[a:b]) for a, b in pairwise(ends.tolist())]
+
+
+def strings(binary: pa.BinaryArray) -> pa.StringArray:
+    """The same bytes as Arrow's strings, whether or not they are UTF-8."""
+    return pa.StringArray.from_buffers(len(binary), *binary.buffers()[1:], offset=binary.offset)
+
+
+def objects(words: pa.StringArray) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+
+
+def endings(words: pa.StringArray, which: np.ndarray, lengths: np.ndarray) -> pa.StringArray:
+    """The last bytes of some of the words, as many as lengths say."""
+    _, at, raw = words.buffers()
+    ends = np.frombuffer(at, "<i4")[words.offset + 1 + which]
+    offsets = np.append(0, np.cumsum(lengths, dtype=np.int64))
+    places = np.repeat(ends - lengths - offsets[:-1], lengths) + np.arange(offsets[-1])
+    data = np.frombuffer(raw or b"", np.uint8)[places]
+    return pa.StringArray.from_buffers(len(which), pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(data))
+
+
+def gathered(batches: Iterable[pa.RecordBatch], at_least: int) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of some bytes or more, but for the last."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= at_least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 class Writer:
@@ -225,13 +288,13 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
         store, base = fs.FileSystem.from_uri(folder)
         part = TaskContext.get().partitionId()
         try:
-            for batch in (s for b in batches for s in slices(b, 8 << 20)):
+            for batch in gathered((s for b in batches for s in slices(b, BATCH)), BATCH):
                 if mine is None:
                     encoder = own(("frames", tokenizer), lambda: Encoder(tokenizer))
                     mine = f"{base}/.{part}-{uuid.uuid4().hex}"
                     stream = store.open_output_stream(mine)
                     writer = Writer(stream)
-                for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").cast(pa.binary()).to_pylist()), strict=True):
+                for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                     writer.add(i, ids + end)
                     tokens += len(ids) // 4 + 1
             if mine is None:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyarrow import fs
@@ -39,6 +40,44 @@ def test_ids_do_not_depend_on_what_a_worker_met_before():
     assert [(t, x, y) for t, x, y in zip(texts, got, want, strict=True) if x != y] == []
 
 
+def test_words_are_looked_up_once_a_batch():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    encoder = tf.Encoder(PATH)
+    encoder.words.now = Counted()
+    got = encoder.encode(["word Word, 12 " * 10_000] * 3)
+    want = LIBRARY.encode("word Word, 12 ", add_special_tokens=False).ids * 10_000
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [want] * 3
+    assert Counted.asked < 100
+
+
+def test_letters_known_from_the_generation_before_are_not_encoded_again(monkeypatch):
+    encoder = tf.Encoder(PATH)
+    encoder.encode(["alpha straße"])
+    encoder.words.held = encoder.words.most + 1
+    asked, ids = [], encoder.ids
+    monkeypatch.setattr(encoder, "ids", lambda text: asked.append(text) or ids(text))
+    got = encoder.encode(["ALPHA; straße?"])[0]
+    assert np.frombuffer(got, "<u4").tolist() == LIBRARY.encode("ALPHA; straße?", add_special_tokens=False).ids
+    assert not any(c.isalpha() for text in asked for c in text.replace("<|startoftext|>", "").replace("<|endoftext|>", ""))
+
+
+def test_arrow_arrays_in_slices_and_bytes_that_are_no_text():
+    texts = ["", " \x0b", "a\tb\x0cc\r\nd\x1ce", "Größe, GRÖSSE!", " ", "x" * 3000, "日本. <|endoftext|>.,", ""]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    encoder = tf.Encoder(PATH)
+    for array in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array([t.encode() for t in texts])):
+        for a in range(len(texts) + 1):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(array.slice(a))] == want[a:]
+    with pytest.raises(UnicodeDecodeError):
+        tf.Encoder(PATH).encode([b"a \xff"])
+
+
 def test_tables_of_one_word(spark, table):
     for text in ("123", "...", "word."):
         folder = new_path(spark, "tokens")
