@@ -154,9 +154,11 @@ def mapping_status(matched: Column, proxy: Column, fragment: Column) -> Column:
 def review_queue(df: DataFrame) -> DataFrame:
     """Lines that a person should look at, with the reasons.
 
-    The limits are ours: a long base has more than three words, a long line more than eight.
+    The limits are ours: a long base has more than three words, a long line more than eight.  Distinct lines are read once and
+    stored in between: a filter on the reasons would be worked out from the line itself, with each step as often as the next one names it.
     """
-    parsed = lines.parsed_live(df).withColumn("base_ingredient", text.base_ingredient("name_raw"))
+    each = cut(lines.parsed_live(df.select("raw").distinct()).select("raw", "name_raw"))
+    parsed = cut(each.select("raw", "name_raw", text.base_ingredient("name_raw").alias("base_ingredient"), text.form("name_raw").alias("form")))
     words = lambda c: F.size(F.split(F.trim(c), r"\s+"))
     low = F.lower("raw")
     reasons = F.concat_ws(
@@ -167,5 +169,7 @@ def review_queue(df: DataFrame) -> DataFrame:
         F.when(low.rlike(r"seasoning|spice mix"), "mixed_seasoning"),
     )
     empty = F.col("base_ingredient") == ""
-    out = parsed.withColumns({"form": text.form("name_raw"), "review_reason": F.when(~low.rlike("[a-z]"), "non_ingredient_text").when(empty, "empty_base_after_cleaning").otherwise(reasons), "parse_status": F.when(empty | ~low.rlike("[a-z]"), "dropped").otherwise("flagged")})
-    return out.where("review_reason <> ''").select("recipe_id", "ingredient_index", F.col("raw").alias("ingredient_line_raw"), F.col("name_raw").alias("ingredient_name_clean"), "base_ingredient", "form", "parse_status", "review_reason")
+    out = parsed.withColumns({"review_reason": F.when(~low.rlike("[a-z]"), "non_ingredient_text").when(empty, "empty_base_after_cleaning").otherwise(reasons), "parse_status": F.when(empty | ~low.rlike("[a-z]"), "dropped").otherwise("flagged")})
+    flagged = out.where("review_reason <> ''").withColumnRenamed("raw", "_raw")
+    out = df.select("recipe_id", "ingredient_index", "raw").join(flagged, F.col("raw").eqNullSafe(F.col("_raw")))
+    return out.select("recipe_id", "ingredient_index", F.col("raw").alias("ingredient_line_raw"), F.col("name_raw").alias("ingredient_name_clean"), "base_ingredient", "form", "parse_status", "review_reason")
