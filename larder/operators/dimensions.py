@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.sources.shared import cut
+from larder.sources.shared import cut, forget
+
+#: Counts of keys and ranges are sent around up to this many.
+BROADCAST_ROWS = 100_000
 
 
 def assign_ids(df: DataFrame, order: str, start: int, name: str) -> DataFrame:
@@ -27,16 +30,20 @@ def ranked(df: DataFrame, key: str, order: list[Column], name: str, of: str | No
 
     Ranges of (key, order) are ranked by themselves and shifted by what the key has in earlier ranges, so no task holds a key.
     """
-    ranged = cut(df).repartitionByRange(F.col(key), *order)
-    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"))
+    base = cut(df)
+    # Stored in their order, rows are numbered by where they lie, and not moved once more for it.
+    ranged = cut(base.repartitionByRange(F.col(key), *order).sortWithinPartitions(F.col(key), *order))
+    forget(base)
+    ranged = ranged.withColumn("_n", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_n", 33))
+    counts = ranged.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_p")).agg(F.count("*").alias("_c"), F.min("_n").alias("_first"))
     by = Window.partitionBy("_key")
     before = F.coalesce(F.sum("_c").over(by.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_key", "_p", before.alias("_before"), F.sum("_c").over(by).alias("_of"))  # a row a key and range
-    n = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
-    out = ranged.withColumn("_n", n).join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
-    out = out.withColumn(name, (F.col("_before") + F.col("_n")).cast("long"))
-    return (out.withColumn(of, F.col("_of")) if of else out).drop("_part", "_n", "_before", "_key", "_p", "_of")
+    offsets = cut(counts.select("_key", "_p", "_first", before.alias("_before"), F.sum("_c").over(by).alias("_of")))  # a row a key and range
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    out = ranged.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    out = out.withColumn(name, (F.col("_before") + F.col("_n") - F.col("_first") + 1).cast("long"))
+    return (out.withColumn(of, F.col("_of")) if of else out).drop("_part", "_n", "_before", "_key", "_p", "_of", "_first")
 
 
 def get_or_create(names: DataFrame, master: DataFrame, key: str, order: str, id_name: str) -> DataFrame:

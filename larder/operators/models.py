@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from larder.operators import dimensions
 from larder.operators import forest as forests
 from larder.operators.scoring import NUTRIENTS
-from larder.sources.shared import cut, exists
+from larder.sources.shared import cut, cut_in_passes, exists
 
 FEATURES = [*NUTRIENTS.values(), "ingredient_coverage_pct"]
 #: Stands for no limit, as MLlib's deepest trees do.
@@ -30,6 +30,11 @@ def features(scores: DataFrame) -> DataFrame:
     return df if "label" in df.columns else df.withColumn("label", F.col("weighted_risk_level"))
 
 
+def narrow(scores: DataFrame) -> DataFrame:
+    """What models are fitted on, and no more, stored.  A recipe's scores come from its own lines, so they are worked out in passes."""
+    return cut_in_passes(features(scores).select("recipe_id", "label", *FEATURES), "recipe_id")
+
+
 def merged(scores: DataFrame) -> DataFrame:
     """High and Very High as one class, Elevated."""
     return features(scores).withColumn("label", F.when(F.col("weighted_risk_level").isin("High", "Very High"), "Elevated").otherwise(F.col("weighted_risk_level")))
@@ -86,7 +91,7 @@ class SavedForest:
 
 def evaluated(scores: DataFrame, stages: forests.Trees | list | Callable[[float], list]) -> tuple[PipelineModel | Forest, DataFrame]:
     """The model fitted on the training part, scaler included, and its predictions on the rest: recipe_id, label, predicted."""
-    df = cut(split(features(scores), "label"))
+    df = cut(split(narrow(scores), "label"))
     weights = cut(class_weights(df.where("train")))
     if isinstance(stages, forests.Trees):
         train = df.where("train")
@@ -177,7 +182,7 @@ def random_search(scores: DataFrame, combos: int = 30, folds: int = 5, seed: int
     grid = grid or GRID
     r = random.Random(seed)
     sets = [{k: r.choice(v) for k, v in grid.items()} for _ in range(combos)]
-    df = dimensions.ranked(features(scores), "label", hashed("recipe_id", seed), "_rn")
+    df = dimensions.ranked(narrow(scores), "label", hashed("recipe_id", seed), "_rn")
     df = cut(df.withColumn("fold", (F.col("_rn") % folds).cast("int")).drop("_rn"))
     weights = {x.label: x.weight for x in class_weights(df).collect()}  # a row a class
     rows = forests.binned(df, "fold", FEATURES, weights, forests.edges_of(df, FEATURES))
