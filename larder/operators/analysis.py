@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.functions import lines, text
 from larder.operators import density, resolve, scoring
 from larder.operators.nutrition import nutrient_pivot
-from larder.sources.shared import cut
+from larder.sources.shared import cut, cut_in_passes
 
 NAMES = list(scoring.NUTRIENTS.values())
 
@@ -89,16 +89,23 @@ def weighed(parsed: DataFrame, ref: Reference) -> DataFrame:
 DETAIL = ["qty", "unit", "name_raw", "cleaned", "fdc_id", "code", "food", "match_type", "grams", "status", *NAMES]
 
 
+#: Entries of the dictionary of lines are sent to the lines up to this many; beyond it both are shuffled.
+BROADCAST_ENTRIES = 50_000
+
+
 def line_dictionary(df: DataFrame, ref: Reference, overrides: DataFrame | None = None) -> DataFrame:
-    """A row for each distinct line (raw), or, with overrides, for each line and food that a person chose for it."""
+    """A row for each distinct line (raw), and, with overrides, for each line and food (chosen) that a person chose for it."""
     each = cut(lines.parsed_live(df.select("raw").where("raw is not null").distinct()))
     names = resolved_names(each.select(F.col("name_raw").alias("name")), ref)
+    names = cut(names.withColumnRenamed("name", "name_raw"))
+    known = weighed(each.join(names, "name_raw"), ref).select("raw", *DETAIL)
     if overrides is None:
-        return weighed(each.join(names.withColumnRenamed("name", "name_raw"), "name_raw"), ref).select("raw", *DETAIL)
+        return known
     chosen = df.join(overrides, ["recipe_id", "ingredient_index"]).select("raw", "fdc_id").where("fdc_id is not null").distinct()
     chosen = chosen.join(ref.foods.select("fdc_id", F.col("description").alias("food")), "fdc_id", "left").withColumn("food", F.coalesce("food", F.concat(F.lit("USDA "), F.col("fdc_id").cast("string"))))
-    cleaned = names.select(F.col("name").alias("name_raw"), "cleaned")
-    return weighed(chosen.withColumns({"code": F.lit(None).cast("string"), "match_type": F.lit("user_override")}).join(each.join(cleaned, "name_raw"), "raw"), ref).select("raw", *DETAIL)
+    chosen = chosen.withColumns({"code": F.lit(None).cast("string"), "match_type": F.lit("user_override")})
+    own = weighed(chosen.join(each.join(names.select("name_raw", "cleaned"), "name_raw"), "raw"), ref).select("raw", *DETAIL)
+    return known.withColumn("chosen", F.lit(None).cast("long")).unionByName(own.withColumn("chosen", F.col("fdc_id")))
 
 
 def analyse_lines(df: DataFrame, ref: Reference, overrides: DataFrame | None = None) -> DataFrame:
@@ -108,17 +115,32 @@ def analyse_lines(df: DataFrame, ref: Reference, overrides: DataFrame | None = N
     Null lines stay, without any of this; repeated lines are lines each; other columns of df are left behind.
     """
     df = df.select("recipe_id", "ingredient_index", "raw")
-    known = cut(line_dictionary(df, ref))
     if overrides is None:
-        out = df.join(known, "raw", "left")
+        out = df.join(cut(line_dictionary(df, ref)), "raw", "left")
     else:
         o = overrides.select("recipe_id", "ingredient_index", "fdc_id").where("fdc_id is not null")
-        own = cut(line_dictionary(df, ref, o))
-        free = df.join(o, ["recipe_id", "ingredient_index"], "left_anti").join(known, "raw", "left")
-        out = free.unionByName(df.join(o, ["recipe_id", "ingredient_index"]).join(own, ["raw", "fdc_id"], "left").select(*free.columns))
+        out = overridden(df, line_dictionary(df, ref, o), o)
     return out.select("recipe_id", "ingredient_index", "raw", *DETAIL[:8], text.confidence("match_type").alias("confidence"), *DETAIL[8:])
 
 
+def overridden(df: DataFrame, dictionary: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Each line with its entry of dictionary(raw, chosen, ...).
+
+    Lines meet what was chosen for them in passes over the recipes, and only the number of the entry is stored for each.
+    """
+    entries = cut(cut(dictionary).withColumn("_entry", F.monotonically_increasing_id()))
+    sent = F.broadcast if entries.count() <= BROADCAST_ENTRIES else lambda x: x
+    keys = sent(entries.select(F.col("raw").alias("_raw"), F.col("chosen").alias("_key"), "_entry"))
+    o = overrides.select("recipe_id", "ingredient_index", F.col("fdc_id").cast("long").alias("_chosen"))
+    placed = df.join(o, ["recipe_id", "ingredient_index"], "left")
+    placed = placed.join(keys, (F.col("raw") == F.col("_raw")) & F.col("_chosen").eqNullSafe(F.col("_key")), "left")
+    # A line that is null has no entry and keeps its food.
+    kept = F.when(F.col("_entry").isNull(), F.col("_chosen")).alias("_kept")
+    placed = cut_in_passes(placed.select("recipe_id", "ingredient_index", "_entry", kept), "recipe_id")
+    out = placed.join(sent(entries), "_entry", "left")
+    return out.withColumn("fdc_id", F.coalesce("fdc_id", "_kept")).drop("_entry", "_kept", "chosen")
+
+
 def analyse_recipes(df: DataFrame, ref: Reference, servings: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """One row a recipe: nutrients per serving rounded to 0.1, coverage, and the risk of the rounded values.
 
