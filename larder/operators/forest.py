@@ -358,7 +358,7 @@ def importances(rows: Rows, how: Trees, held: int, seed: int) -> list[float]:
     return (total / max(total.sum(), 1e-300)).tolist()
 
 
-def confusions(rows: Rows, sets: list[Trees], folds: int, seed: int) -> dict[tuple[int, int], dict[tuple[int, int], int]]:
+def confusions(rows: Rows, sets: list[Trees], folds: int, seed: int, at_least: int = 1) -> dict[tuple[int, int], dict[tuple[int, int], int]]:
     """Of each set of parameters and fold: (class, predicted class) and how many rows of the fold have them."""
     k = len(rows.labels)
 
@@ -368,7 +368,8 @@ def confusions(rows: Rows, sets: list[Trees], folds: int, seed: int) -> dict[tup
         yield pa.RecordBatch.from_pydict({"unit": [job.unit] * len(n), "fold": [job.held] * len(n), "y": (pairs // k).tolist(), "p": (pairs % k).tolist(), "n": n.tolist()})
 
     jobs = sorted((Job(i, 0, how.trees, how, f) for i, how in enumerate(sets) for f in range(folds)), key=lambda j: -j.how.trees * j.how.depth)
-    dealt = [jobs[i :: min(len(jobs), tasks(rows.chunks))] for i in range(min(len(jobs), tasks(rows.chunks)))]
+    n = min(len(jobs), max(at_least, tasks(rows.chunks)))
+    dealt = [jobs[i::n] for i in range(n)]
     out: dict = {}
     for r in worked(rows, dealt, counted, "unit long, fold long, y long, p long, n long", seed).collect():
         out.setdefault((r.unit, r.fold), {})[r.y, r.p] = r.n
